@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantlens.plans import pay, quality, stability
+from vacantlens.plans import cleaning, pay, quality, stability
 
-MODULES = [pay, quality, stability]
+MODULES = [pay, quality, stability, cleaning]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
