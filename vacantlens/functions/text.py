@@ -13,19 +13,24 @@ from vacantlens.config import BLANK_VALUES, NO_INFO
 
 # Body of a character class: every Unicode whitespace character.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same characters one by one, for trimming, which looks at the ends of a text only.
+WS_CHARS = (
+    "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680]))
+    + "".join(map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+)
 
 
 def _drop(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, pattern, "")
 
 
-def strip(c: Column) -> Column:
-    return _drop(c, rf"^[{WS}]+|[{WS}]+\z")
+def strip(c: Column, extra: str = "") -> Column:
+    return F.btrim(c, F.lit(extra + WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
     """One blank for each run of whitespace, none at the ends."""
-    return F.btrim(F.regexp_replace(c, rf"[{WS}]+", " "))
+    return F.btrim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def clean_text(
@@ -41,16 +46,18 @@ def clean_text(
     """
     out = strip(c) if trim else c
     if remove_quotes:
-        out = _drop(out, r"""^["']+|["']+\z""")
+        out = F.btrim(out, F.lit("\"'"))
     if remove_punctuation:
-        out = _drop(out, rf"^[¿¡{WS}]+|[¿¡{WS}]+\z")
+        out = strip(out, "¿¡")
         out = _drop(out, rf"(?md)^[{WS}\-–•*.]+")
     out = squeeze(out) if remove_extra_spaces else strip(out)
-    return F.when(c == "", None).otherwise(F.when(out == "", NO_INFO).otherwise(out))
+    # The replacement names the chain of rules once; a comparison with '' would run it twice.
+    return F.when(c != "", F.regexp_replace(out, r"^\z", NO_INFO))
 
 
 def null_if_no_info(c: Column) -> Column:
-    return F.nullif(c, F.lit(NO_INFO))
+    """``nullif(c, 'NO INFO')`` that evaluates ``c`` once."""
+    return F.try_element_at(F.array_remove(F.array(c), NO_INFO), F.lit(1))
 
 
 def clean_free_text(c: Column) -> Column:
@@ -61,9 +68,11 @@ def clean_free_text(c: Column) -> Column:
 def clean_listing(c: Column) -> Column:
     """Knowledge, competencies, specialization: one blank after ',' and ';'."""
     out = null_if_no_info(clean_text(c))
-    out = F.regexp_replace(out, rf"[{WS}]*,[{WS}]*", ", ")
-    out = F.regexp_replace(out, rf"[{WS}]*;[{WS}]*", "; ")
-    return squeeze(out)
+    # Clean text has single blanks only, so plain replacements do.
+    for mark in ",;":
+        for found, put in ((f" {mark}", mark), (f"{mark} ", mark), (mark, f"{mark} ")):
+            out = F.replace(out, F.lit(found), F.lit(put))
+    return F.btrim(out)
 
 
 def clean_title(

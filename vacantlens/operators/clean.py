@@ -118,7 +118,13 @@ def run_statistics(raw: DataFrame, split: DataFrame) -> DataFrame:
     return one.unpivot([], names, "statistic", "rows")
 
 
-def status_counts(complete: DataFrame, incomplete: DataFrame) -> DataFrame:
+def status_counts(split: DataFrame) -> DataFrame:
+    """Rows a split adds to each phase table."""
+    stored = split.where(F.col("outcome") != "failed")
+    return stored.groupBy(F.col("outcome").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def stored_counts(complete: DataFrame, incomplete: DataFrame) -> DataFrame:
     """Rows per phase table; their sum is the number of postings stored."""
     return (
         complete.select(F.lit("complete").alias("status"))

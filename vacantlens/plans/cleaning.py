@@ -109,8 +109,7 @@ def outcome_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, root: str) -> DataFrame:
-    split = split_postings(spark, root)
-    return clean.status_counts(clean.complete_rows(split), clean.quarantine_rows(split))
+    return clean.status_counts(split_postings(spark, root))
 
 
 def classified_contracts(spark: SparkSession, root: str) -> DataFrame:
