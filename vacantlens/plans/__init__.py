@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantlens.plans import cleaning, pay, quality, stability
+from vacantlens.plans import catalogs, cleaning, lookups, pay, quality, stability, upkeep
 
-MODULES = [pay, quality, stability, cleaning]
+MODULES = [pay, quality, stability, cleaning, lookups, catalogs, upkeep]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
