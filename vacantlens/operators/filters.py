@@ -72,4 +72,4 @@ def plausibility(c: Column, low: float, high: float) -> Column:
 
 def seeded_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """``size`` rows picked by a hash of the key and the seed: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(size)

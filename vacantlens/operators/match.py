@@ -72,8 +72,8 @@ def match_topk(
         F.col(key).alias("_key"),
         (F.col(key_text) if fuzzy else no_text).alias("_text"),
         (F.col(key_vector).cast("array<double>") if semantic else no_vector).alias("_vector"),
-        (F.explode(F.array_distinct(search_levels)) if search_levels else F.lit(0)).cast("string").alias("_level"),
-    )
+        (F.explode(F.array_distinct(search_levels)) if search_levels else F.lit(0)).alias("_level"),
+    ).withColumn("_level", F.col("_level").cast("string"))
     c_rows = catalog.where(F.col(code).isNotNull()).select(
         F.col(code).alias("_code"),
         F.col(order).cast("long").alias("_position"),

@@ -103,3 +103,17 @@ def perplexity_table(spark: SparkSession, model: PipelineModel, texts: DataFrame
         F.lit(len(model.stages[-2].vocabulary)).alias("vocabulary"),
         F.lit(float(log_perplexity(model, texts))).alias("log_perplexity"),
     )
+
+
+def term_counts(texts: DataFrame, vocabulary: int = config.TOPIC_VOCABULARY, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
+    """The bag-of-words vocabulary as a table: most frequent words with their document counts.
+
+    Words are counted within each text first, so the shuffle carries one row per text and word.
+    """
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\b\w\w+\b)"), F.lit(1)))
+    id_col = texts.columns[0]
+    per_text = texts.select(id_col, words.alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n"))
+    counts = per_text.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("_n").alias("occurrences"))
+    total = texts.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    kept = counts.where((F.col("documents") >= min_df) & (F.col("documents") <= F.lit(max_df) * total))
+    return kept.orderBy(F.desc("occurrences"), "word").limit(vocabulary)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantlens.plans import catalogs, cleaning, lookups, pay, quality, stability, upkeep
+from vacantlens.plans import catalogs, cleaning, features, flow, lookups, matching, pay, quality, stability, upkeep
 
-MODULES = [pay, quality, stability, cleaning, lookups, catalogs, upkeep]
+MODULES = [pay, quality, stability, cleaning, lookups, catalogs, upkeep, matching, flow, features]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -109,6 +109,8 @@ ORACLES = {
       SELECT o_orderkey, c_name AS institution, CAST(o_orderdate AS DATE) AS posted
       FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_name ILIKE '%mer#00000001%'""",
     "point_lookup": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey = 77",
+    "seeded_sample": """
+      SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 50""",
     "completeness": """
       SELECT d.doc_id, concat_ws(', ', CASE WHEN lang IS NULL THEN 'lang' END, CASE WHEN quality IS NULL THEN 'quality' END,
                                  CASE WHEN toxic IS NULL THEN 'toxic' END) AS missing,
