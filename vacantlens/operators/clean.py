@@ -62,19 +62,23 @@ def clean_postings(raw: DataFrame, keep: Sequence[str] = (), null_no_info: bool
 
 
 def clean_split(raw: DataFrame, known_ids: DataFrame | None, order: Sequence[str]) -> DataFrame:
-    """New postings only: ids not yet known, one row per id, cleaned and routed.
+    """Postings to store: usable ids not yet known, one row per id, cleaned and routed.
 
-    Known ids and repeated copies are dropped on the raw rows, before the text rules run.
-    Ids are compared in their cleaned form, so '738213B' is recognised on a rerun.
+    Known ids and repeated copies are dropped on the raw rows, before the text rules run;
+    the anti join and the choice of the first copy share one shuffle by id. Ids are compared
+    in their cleaned form, so '738213B' is recognised on a rerun. Rows without a usable id
+    are stored nowhere; ``failed_rows`` lists them.
     """
-    keyed = raw.withColumn("_id", parsing.parse_posting_id(F.col("posting_unique_id")))
-    fresh = keyed.where(F.col("_id").isNotNull())
+    fresh = raw.withColumn("_id", parsing.parse_posting_id(F.col("posting_unique_id"))).where(F.col("_id").isNotNull())
     if known_ids is not None:
         known = known_ids.select(F.col("posting_unique_id").cast("long").alias("_id"))
         fresh = fresh.join(known, "_id", "left_anti")
-    first = keep_first(fresh, ["_id"], order).select(*raw.columns)
-    unusable = keyed.where(F.col("_id").isNull()).select(*raw.columns)
-    return clean_postings(first.unionByName(unusable), [c for c in order if c not in CLEAN_FIELDS and c in raw.columns])
+    first = keep_first(fresh, ["_id"], order).drop("_id")
+    return clean_postings(first, [c for c in order if c not in CLEAN_FIELDS])
+
+
+def failed_rows(raw: DataFrame) -> DataFrame:
+    return raw.where(parsing.parse_posting_id(F.col("posting_unique_id")).isNull())
 
 
 def complete_rows(split: DataFrame) -> DataFrame:
@@ -94,24 +98,23 @@ def quarantine_rows(split: DataFrame) -> DataFrame:
 
 
 def failures_by_field(split: DataFrame) -> DataFrame:
-    """How often each field made a row incomplete or failed."""
+    """How often each field kept a row from being complete."""
     return (
-        split.select(F.explode("failed_fields").alias("field"), "outcome")
-        .groupBy("field", "outcome")
+        split.select(F.explode("failed_fields").alias("field"))
+        .groupBy("field")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
 def run_statistics(raw: DataFrame, split: DataFrame) -> DataFrame:
-    """One row per outcome; rows that were neither new nor failed are duplicates."""
-    seen = raw.agg(F.count(F.lit(1)).alias("encountered"))
-    by_outcome = split.groupBy().agg(
+    """One row per outcome; rows that were neither stored nor failed are duplicates."""
+    no_id = parsing.parse_posting_id(F.col("posting_unique_id")).isNull()
+    seen = raw.agg(F.count(F.lit(1)).alias("encountered"), F.count_if(no_id).alias("failed"))
+    stored = split.agg(
         F.count_if(F.col("outcome") == "complete").alias("complete"),
         F.count_if(F.col("outcome") == "incomplete").alias("incomplete"),
-        F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    # Both sides are one row.
-    one = seen.withColumn("_one", F.lit(1)).join(by_outcome.withColumn("_one", F.lit(1)), "_one")
+    one = stored.withColumns({c: seen.select(c).scalar() for c in ("encountered", "failed")})
     one = one.withColumn("duplicate", F.expr("encountered - complete - incomplete - failed"))
     one = one.withColumn("new_rows", F.expr("complete + incomplete"))
     names = ["encountered", "complete", "incomplete", "failed", "duplicate", "new_rows"]
@@ -120,8 +123,7 @@ def run_statistics(raw: DataFrame, split: DataFrame) -> DataFrame:
 
 def status_counts(split: DataFrame) -> DataFrame:
     """Rows a split adds to each phase table."""
-    stored = split.where(F.col("outcome") != "failed")
-    return stored.groupBy(F.col("outcome").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+    return split.groupBy(F.col("outcome").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def stored_counts(complete: DataFrame, incomplete: DataFrame) -> DataFrame:

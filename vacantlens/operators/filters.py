@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,20 +50,19 @@ def outcome(identifier: str, required: Sequence[str]) -> Column:
 def outliers(
     df: DataFrame, rules: dict[str, tuple[str, float]], columns: Sequence[str], tie: Sequence[str], top: int = 10
 ) -> DataFrame:
-    """For each named rule (column, bound): the ``top`` largest values above the bound."""
-    parts = []
-    for name, (column, bound) in rules.items():
-        part = (
-            df.where(F.col(column) > bound)
-            .select(F.lit(name).alias("rule"), *columns, F.col(column).cast("double").alias("value"))
-            .orderBy(F.desc("value"), *tie)
-            .limit(top)
-        )
-        parts.append(part)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """For each named rule (column, bound): the ``top`` largest values above the bound.
+
+    One scan serves all rules; each task keeps ``top`` rows per rule before the shuffle.
+    """
+    hits = F.array(
+        *[
+            F.when(F.col(column) > bound, F.struct(F.lit(name).alias("rule"), F.col(column).cast("double").alias("value")))
+            for name, (column, bound) in rules.items()
+        ]
+    )
+    long = df.select(*columns, F.explode(F.array_compact(hits)).alias("_hit")).select(*columns, "_hit.*")
+    ranked = long.withColumn("rank", F.row_number().over(W.partitionBy("rule").orderBy(F.desc("value"), *tie)).cast("long"))
+    return ranked.where(F.col("rank") <= top)
 
 
 def plausibility(c: Column, low: float, high: float) -> Column:

@@ -109,8 +109,7 @@ def attach_quantiles(
         *[F.col(quantile_name(p)).alias(name) for p, name in names.items()],
     )
     if not keys:
-        # Both sides are a single row.
-        return stats.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        return stats.withColumns({name: q.select(name).scalar() for name in names.values()})
     return stats.join(q, same_keys(keys, "_q_"), "left").drop(*[f"_q_{k}" for k in keys])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantlens import config
 from vacantlens.functions.text import blank_special
+from vacantlens.session import spread
 
 
 def topic_text(df: DataFrame, id_col: str, text: str, blank_values: bool) -> DataFrame:
@@ -45,7 +46,7 @@ def fit_topics(
     )
     # The fit reads its input once per iteration, so the counts are kept; they spill to disk.
     words = Pipeline(stages=word_stages(vocabulary, min_df)).fit(texts)
-    counted = words.transform(texts).select("counts").persist()
+    counted = spread(words.transform(texts).select("counts")).persist()
     try:
         model = lda.fit(counted)
     finally:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantlens.operators.topics import word_stages
+from vacantlens.session import spread
 
 
 def fit_text_vectors(texts: DataFrame, text: str, width: int = 384, gram: int = 3) -> PipelineModel:
@@ -68,7 +69,7 @@ def text_clusters(
         IDF(inputCol="counts", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features"),
     ]
-    features = Pipeline(stages=stages).fit(ready).transform(ready).select("features").persist()
+    features = spread(Pipeline(stages=stages).fit(ready).transform(ready).select("features")).persist()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
     found = []
     for k in ks:

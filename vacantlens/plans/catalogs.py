@@ -45,7 +45,8 @@ def coded_orders(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, root: str) -> list[DataFrame]:
-    coded = coded_orders(spark, root).withColumn("label_1", F.concat(F.lit("region "), "code_1"))
+    # Reduced to distinct entries once; the four levels share that shuffle.
+    coded = coded_orders(spark, root).distinct().withColumn("label_1", F.concat(F.lit("region "), "code_1"))
     labels = ["label_1", "n_name", "c_mktsegment", "o_orderstatus"]
     return [hierarchy.hierarchy_level(coded, f"code_{i}", label, i) for i, label in enumerate(labels, 1)]
 

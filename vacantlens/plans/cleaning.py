@@ -100,6 +100,10 @@ def complete_postings(spark: SparkSession, root: str) -> DataFrame:
     return clean.complete_rows(split_postings(spark, root)).drop("scraped_at", "doc_id")
 
 
+def failed_rows(spark: SparkSession, root: str) -> DataFrame:
+    return clean.failed_rows(raw_postings(spark, root)).select("doc_id", "posting_unique_id")
+
+
 def clean_failures_by_field(spark: SparkSession, root: str) -> DataFrame:
     return clean.failures_by_field(split_postings(spark, root))
 
@@ -146,6 +150,7 @@ QUERIES = {
     "clean_split": clean_split,
     "complete_postings": complete_postings,
     "quarantine": quarantine,
+    "failed_rows": failed_rows,
     "clean_failures_by_field": clean_failures_by_field,
     "outcome_stats": outcome_stats,
     "status_counts": status_counts,
@@ -248,12 +253,9 @@ CLEANED_SQL = f"""
   ids AS (SELECT *, {_id('posting_unique_id')} AS pid FROM raw),
   fresh AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY scraped_at, doc_id) AS copy FROM ids
             WHERE pid IS NOT NULL AND pid NOT IN (SELECT doc_id FROM labels)),
-  kept AS (SELECT * EXCLUDE (copy) FROM fresh WHERE copy = 1 UNION ALL SELECT * FROM ids WHERE pid IS NULL),
-  cleaned AS (SELECT pid AS posting_unique_id, {', '.join(f'{e} AS {n}' for n, e in _RULES.items())}, doc_id FROM kept),
-  routed AS (SELECT *, CASE WHEN posting_unique_id IS NULL THEN 'posting_unique_id' ELSE concat_ws(', ', {_MISSING}) END AS failed_fields
-             FROM cleaned),
-  split AS (SELECT *, CASE WHEN posting_unique_id IS NULL THEN 'failed' WHEN failed_fields = '' THEN 'complete'
-                           ELSE 'incomplete' END AS outcome FROM routed)"""
+  cleaned AS (SELECT pid AS posting_unique_id, {', '.join(f'{e} AS {n}' for n, e in _RULES.items())}, doc_id FROM fresh WHERE copy = 1),
+  routed AS (SELECT *, concat_ws(', ', {_MISSING}) AS failed_fields FROM cleaned),
+  split AS (SELECT *, CASE WHEN failed_fields = '' THEN 'complete' ELSE 'incomplete' END AS outcome FROM routed)"""
 
 
 def _level_sql(value) -> str:
@@ -277,16 +279,18 @@ ORACLES = {
     "complete_postings": f"WITH {CLEANED_SQL} SELECT * EXCLUDE (failed_fields, outcome, doc_id) FROM split WHERE outcome = 'complete'",
     "quarantine": f"""WITH {CLEANED_SQL}
       SELECT posting_unique_id, failed_fields, false AS reviewed, CAST(NULL AS VARCHAR) AS notes FROM split WHERE outcome = 'incomplete'""",
+    "failed_rows": f"""
+      SELECT doc_id, posting_unique_id FROM ({RAW_SQL}) WHERE NOT regexp_matches(posting_unique_id, '[0-9]')""",
     "clean_failures_by_field": f"""WITH {CLEANED_SQL}
-      SELECT field, outcome, count(*) AS rows
-      FROM (SELECT unnest(string_split(failed_fields, ', ')) AS field, outcome FROM split WHERE outcome <> 'complete') GROUP BY ALL""",
+      SELECT field, count(*) AS rows
+      FROM (SELECT unnest(string_split(failed_fields, ', ')) AS field FROM split WHERE outcome <> 'complete') GROUP BY field""",
     "outcome_stats": f"""WITH {CLEANED_SQL},
       s AS (SELECT (SELECT count(*) FROM raw) AS e, count(*) FILTER (outcome = 'complete') AS c,
-                   count(*) FILTER (outcome = 'incomplete') AS i, count(*) FILTER (outcome = 'failed') AS f FROM split)
+                   count(*) FILTER (outcome = 'incomplete') AS i, (SELECT count(*) FROM ids WHERE pid IS NULL) AS f FROM split)
       SELECT unnest(['encountered', 'complete', 'incomplete', 'failed', 'duplicate', 'new_rows']) AS statistic,
              unnest([e, c, i, f, e - c - i - f, c + i]) AS rows FROM s""",
     "status_counts": f"""WITH {CLEANED_SQL}
-      SELECT outcome AS status, count(*) AS rows FROM split WHERE outcome <> 'failed' GROUP BY outcome""",
+      SELECT outcome AS status, count(*) AS rows FROM split GROUP BY outcome""",
     "classify_contract": f"""
       WITH c AS (SELECT doc_id, {contract_sql('contract_type_raw')} AS contract_type FROM ({RAW_SQL}))
       SELECT *, CASE WHEN contract_type LIKE 'D.LEG 1057%' THEN 'D.LEG 1057' WHEN contract_type LIKE 'DOCENTES%' THEN 'LEY 30220'

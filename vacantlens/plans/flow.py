@@ -33,7 +33,7 @@ def written_split(spark: SparkSession, root: str) -> DataFrame:
 def enriched_postings(spark: SparkSession, root: str) -> DataFrame:
     """Raw text to the enriched table: clean, match titles and institutions, enrich, write by
     month, read back."""
-    rows = stored_split(spark, root).where(F.col("outcome") != "failed").drop("failed_fields", "outcome", "scraped_at", "doc_id")
+    rows = stored_split(spark, root).drop("failed_fields", "outcome", "scraped_at", "doc_id")
     segments = table(spark, root, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.min("c_custkey").alias("isco_code"))
     titles = match.match_topk(
         distinct_keys(rows, "job_title"), segments, "job_title", "isco_code", "isco_code",
@@ -83,7 +83,7 @@ QUERIES = {
 
 ORACLES = {
     "written_split": f"""WITH {CLEANED_SQL}
-      SELECT outcome AS status, count(*) AS rows FROM split WHERE outcome <> 'failed' GROUP BY outcome""",
+      SELECT outcome AS status, count(*) AS rows FROM split GROUP BY outcome""",
     "stream_ingest": """
       SELECT event_id, user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value,
              CASE WHEN event_type <> 'error' THEN 'complete' ELSE 'incomplete' END AS outcome FROM events""",

@@ -151,11 +151,12 @@ ORACLES = {
     "tier_describe": f"""
       SELECT c_mktsegment, {_described('o_totalprice')} FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""",
     "outlier_listing": """
-      (SELECT 'price' AS rule, o_orderkey, o_orderstatus, o_totalprice AS value FROM orders
+      (SELECT 'price' AS rule, o_orderkey, o_orderstatus, o_totalprice AS value,
+              row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
        WHERE o_totalprice > 400000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)
       UNION ALL
-      (SELECT 'customer', o_orderkey, o_orderstatus, CAST(o_custkey AS DOUBLE) FROM orders
-       WHERE o_custkey > 100 ORDER BY o_custkey DESC, o_orderkey LIMIT 10)""",
+      (SELECT 'customer', o_orderkey, o_orderstatus, CAST(o_custkey AS DOUBLE), row_number() OVER (ORDER BY o_custkey DESC, o_orderkey)
+       FROM orders WHERE o_custkey > 100 ORDER BY o_custkey DESC, o_orderkey LIMIT 10)""",
     "null_profile": f"""
       WITH t AS ({_LABELLED}),
       m AS (SELECT unnest(['doc_id','lang','source','n_chars','quality','toxic','vector_label']) AS column_name,
