@@ -143,8 +143,9 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50)
         joined = rows.join(bounds, same_keys(by, "_h_"))
     else:
         joined = rows.withColumns({c: bounds.select(c).scalar() for c in ("lo", "hi")})
-    scaled = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * bins)
-    number = F.coalesce(F.least(scaled, F.lit(bins - 1)), F.lit(bins // 2)).cast("int")
+    span = F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))
+    scaled = F.least(F.floor((F.col(value) - F.col("lo")) / span * bins), F.lit(bins - 1))
+    number = F.when(span.isNull(), bins // 2).otherwise(scaled).cast("int")
     return (
         joined.withColumn("bin", number)
         .groupBy(*by, "bin")

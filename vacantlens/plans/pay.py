@@ -172,14 +172,14 @@ ORACLES = {
     "count_histogram": f"""
       WITH v AS (SELECT c_name, tier, count(*) AS n FROM ({ORDER_POSTINGS}) WHERE tier IS NOT NULL GROUP BY ALL),
       b AS (SELECT tier, min(n) AS lo, max(n) AS hi, {r('median(n)')} AS median FROM v GROUP BY tier)
-      SELECT tier, CAST(coalesce(least(floor((n - lo) / nullif(CAST(hi - lo AS DOUBLE), 0) * 30), 29), 15) AS INT) AS bin,
+      SELECT tier, CAST(CASE WHEN hi = lo THEN 15 ELSE least(floor((n - lo) / CAST(hi - lo AS DOUBLE) * 30), 29) END AS INT) AS bin,
              count(*) AS rows, lo, hi, median
       FROM v JOIN b USING (tier) GROUP BY ALL""",
     "numeric_histograms": """
       WITH u AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
                  ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME variable VALUE value),
       b AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM u GROUP BY variable)
-      SELECT variable, CAST(coalesce(least(floor((value - lo) / nullif(hi - lo, 0) * 50), 49), 25) AS INT) AS bin,
+      SELECT variable, CAST(CASE WHEN hi = lo THEN 25 ELSE least(floor((value - lo) / (hi - lo) * 50), 49) END AS INT) AS bin,
              count(*) AS rows, lo, hi
       FROM u JOIN b USING (variable) GROUP BY ALL""",
 }
