@@ -23,11 +23,14 @@ def topic_text(df: DataFrame, id_col: str, text: str, blank_values: bool) -> Dat
     return df.select(id_col, (blank_special(c) if blank_values else F.coalesce(c, F.lit(""))).alias("text"))
 
 
-def word_stages(vocabulary: int = config.TOPIC_VOCABULARY, min_df: float = 2, max_df: float = 0.8) -> list:
-    """Lower-cased words of two or more characters, then counts over the most frequent ones."""
+def word_stages(vocabulary: int = config.TOPIC_VOCABULARY, min_df: float = 2, max_df: float | None = 0.8) -> list:
+    """Lower-cased words of two or more characters, then counts over the most frequent ones.
+
+    ``min_df`` and ``max_df`` below 1 are shares of the texts, from 1 on numbers of texts.
+    """
     words = RegexTokenizer(inputCol="text", outputCol="words", gaps=False, pattern=r"(?U)\b\w\w+\b")
-    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary, minDF=min_df, maxDF=max_df)
-    return [words, counts]
+    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary, minDF=min_df)
+    return [words, counts if max_df is None else counts.setMaxDF(max_df)]
 
 
 def fit_topics(

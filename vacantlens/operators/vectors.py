@@ -65,7 +65,7 @@ def text_clusters(
     """
     ready = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     stages = [
-        *word_stages(words, min_df=1, max_df=1.0),
+        *word_stages(words, min_df=1, max_df=None),
         IDF(inputCol="counts", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features"),
     ]
