@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vacantlens import config
 from vacantlens.functions.numeric import fixed_mean, fixed_sum, round_even
 from vacantlens.operators.filters import plausibility
-from vacantlens.operators.quantiles import attach_quantiles, describe, histogram
+from vacantlens.operators.quantiles import attach_quantiles, describe, histogram, with_keys
 
 
 def plausible(df: DataFrame, pay: str, low: float = config.SALARY_MIN, high: float = config.SALARY_MAX) -> DataFrame:
@@ -82,15 +82,17 @@ def institution_pay(df: DataFrame, keys: Sequence[str], institution: str, pay: s
     keys = list(keys)
     group = [*keys, institution]
     c = F.col(pay)
-    stats = df.groupBy(*group).agg(
+    stats = with_keys(df, group).groupBy(*group).agg(
         F.count(c).alias("postings"),
         fixed_mean(c).alias("avg_salary"),
         F.stddev_samp(c).alias("std_salary"),
         F.min(c).alias("min_salary"),
         F.max(c).alias("max_salary"),
     )
-    stats = attach_quantiles(stats, df, group, pay, {0.5: "median_salary"})
-    return attach_quantiles(stats, df, keys, pay, {0.5: "overall_median"})
+    # Values are counted once per institution; the overall median adds up those counts.
+    counted = with_keys(df, [*group, pay]).groupBy(*group, pay).agg(F.count(F.lit(1)).alias("_f"))
+    stats = attach_quantiles(stats, counted, group, pay, {0.5: "median_salary"}, "_f")
+    return attach_quantiles(stats, counted, keys, pay, {0.5: "overall_median"}, "_f")
 
 
 def tier_pay(df: DataFrame, keys: Sequence[str], tier: str, pay: str) -> DataFrame:

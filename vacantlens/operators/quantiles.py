@@ -33,90 +33,77 @@ def quantile_name(prob: float) -> str:
     return "q" + f"{prob * 100:g}".replace(".", "_")
 
 
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all present: a missing key forms no group."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:
-    """One row per key: ``n`` non-null values and one linearly interpolated column per probability."""
+    """One row per key: ``n`` non-null values and one linearly interpolated column per probability.
+
+    With ``weight`` a row stands for that many equal values, so that rows counted once for a
+    fine key also serve the coarser keys.
+    """
     keys = list(keys)
+    repeats = F.count(F.lit(1)) if weight is None else F.sum("_w")
     counted = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
+        with_keys(df, keys)
+        .where(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"), (F.lit(1) if weight is None else F.col(weight)).alias("_w"))
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_f"))
+        .agg(repeats.alias("_f"))
         .withColumn("_b", value_bucket(F.col("_v")))
+        # Always true; stated here so that both uses below have one plan and share its shuffle.
+        .where(F.col("_b").isNotNull())
     )
-    running = W.partitionBy(*keys).orderBy("_b")
+    running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     buckets = (
         counted.groupBy(*keys, "_b")
         .agg(F.sum("_f").alias("_bf"))
-        .withColumn("_to", F.sum("_bf").over(running.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_to", F.sum("_bf").over(running))
         .withColumn("_n", F.sum("_bf").over(W.partitionBy(*keys)))
-        .withColumn("_from", F.col("_to") - F.col("_bf"))
     )
-    ranks = []
-    for prob in probs:
-        position = F.lit(float(prob)) * (F.col("_n") - 1)
-        ranks += [F.floor(position), F.ceil(position)]
-    wanted = F.filter(
-        F.array_distinct(F.array(*ranks)),
-        lambda r: (r >= F.col("_from")) & (r < F.col("_to")),
-    )
-    targets = (
-        buckets.withColumn("_ranks", wanted)
-        .where(F.size("_ranks") > 0)
-        .select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_b").alias("_tb"), "_from", "_n", "_ranks")
-    )
-    same = F.col("_b") == F.col("_tb")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    positions = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    ends = [end for p in positions for end in (F.floor(p), F.ceil(p))]
+    holds_rank = F.lit(False)
+    for rank in ends:
+        holds_rank = holds_rank | ((rank >= F.col("_to") - F.col("_bf")) & (rank < F.col("_to")))
+    targets = buckets.where(holds_rank).select(*keys, "_b", (F.col("_to") - F.col("_bf")).alias("_from"), "_n")
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    located = (
-        counted.join(targets, same)
-        .withColumn("_end", F.col("_from") + F.sum("_f").over(inside))
-        .withColumn(
-            "_hits",
-            F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_f")) & (r < F.col("_end"))),
-        )
-        .where(F.size("_hits") > 0)
-        .select(*keys, "_n", "_v", F.explode("_hits").alias("_r"))
-    )
+    located = counted.join(targets, [*keys, "_b"]).withColumn("_end", F.col("_from") + F.sum("_f").over(inside))
+
+    def value_at(rank: Column) -> Column:
+        here = (rank >= F.col("_end") - F.col("_f")) & (rank < F.col("_end"))
+        return F.max(F.when(here, F.col("_v")))
+
     out = []
-    for prob in probs:
-        position = F.lit(float(prob)) * (F.col("_n") - 1)
-        low = F.max(F.when(F.col("_r") == F.floor(position), F.col("_v")))
-        high = F.max(F.when(F.col("_r") == F.ceil(position), F.col("_v")))
+    for prob, position in zip(probs, positions):
+        low, high = value_at(F.floor(position)), value_at(F.ceil(position))
         share = F.max(position - F.floor(position))
         out.append((low + (high - low) * share).alias(quantile_name(prob)))
     return located.groupBy(*keys).agg(F.max("_n").alias("n"), *out)
 
 
-def same_keys(left: Sequence[str], prefix: str) -> Column:
-    """Null-safe equality of ``k`` and ``prefix + k`` for every key."""
-    out = F.lit(True)
-    for k in left:
-        out = out & F.col(k).eqNullSafe(F.col(prefix + k))
-    return out
-
-
 def attach_quantiles(
-    stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, names: dict[float, str]
+    stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, names: dict[float, str], weight: str | None = None
 ) -> DataFrame:
     """Add exact quantile columns to a one-row-per-key aggregate of the same rows."""
     keys = list(keys)
-    q = exact_quantiles(df, keys, value, list(names))
-    q = q.select(
-        *[F.col(k).alias(f"_q_{k}") for k in keys],
-        *[F.col(quantile_name(p)).alias(name) for p, name in names.items()],
-    )
+    q = exact_quantiles(df, keys, value, list(names), weight)
+    q = q.select(*keys, *[F.col(quantile_name(p)).alias(name) for p, name in names.items()])
     if not keys:
         return stats.withColumns({name: q.select(name).scalar() for name in names.values()})
-    return stats.join(q, same_keys(keys, "_q_"), "left").drop(*[f"_q_{k}" for k in keys])
+    return stats.join(q, keys, "left")
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles, max of one column, optionally per key."""
     c = F.col(value)
-    stats = df.groupBy(*by).agg(
+    stats = with_keys(df, by).groupBy(*by).agg(
         F.count(c).alias("count"),
         fixed_mean(c).alias("mean"),
         F.stddev_samp(c).alias("std"),
@@ -135,12 +122,10 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50) -> DataFrame:
     """Equal-width bins between each key's own minimum and maximum; the last bin is closed."""
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_f"))
-    bounds = rows.groupBy(*[F.col(k).alias(f"_h_{k}") for k in by]).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
+    rows = with_keys(df, [*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_f"))
+    bounds = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     if by:
-        joined = rows.join(bounds, same_keys(by, "_h_"))
+        joined = rows.join(bounds, by)
     else:
         joined = rows.withColumns({c: bounds.select(c).scalar() for c in ("lo", "hi")})
     span = F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))

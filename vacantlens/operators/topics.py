@@ -28,7 +28,7 @@ def word_stages(vocabulary: int = config.TOPIC_VOCABULARY, min_df: float = 2, ma
 
     ``min_df`` and ``max_df`` below 1 are shares of the texts, from 1 on numbers of texts.
     """
-    words = RegexTokenizer(inputCol="text", outputCol="words", gaps=False, pattern=r"(?U)\b\w\w+\b")
+    words = RegexTokenizer(inputCol="text", outputCol="words", gaps=False, pattern=r"(?U)\w{2,}")
     counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary, minDF=min_df)
     return [words, counts if max_df is None else counts.setMaxDF(max_df)]
 
@@ -114,7 +114,7 @@ def term_counts(texts: DataFrame, vocabulary: int = config.TOPIC_VOCABULARY, min
 
     Words are counted within each text first, so the shuffle carries one row per text and word.
     """
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\b\w\w+\b)"), F.lit(1)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0)))
     id_col = texts.columns[0]
     per_text = texts.select(id_col, words.alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n"))
     counts = per_text.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("_n").alias("occurrences"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, RegexTokenizer, StandardScaler
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +16,13 @@ from vacantlens.operators.topics import word_stages
 from vacantlens.session import spread
 
 
-def fit_text_vectors(texts: DataFrame, text: str, width: int = 384, gram: int = 3) -> PipelineModel:
-    """Character n-grams hashed to ``width`` weights and brought to unit length: the stand-in
-    for a sentence encoder where none is available."""
+def fit_text_vectors(texts: DataFrame, text: str, width: int = 384) -> PipelineModel:
+    """Words hashed to ``width`` weighted counts of unit length: the stand-in for a sentence
+    encoder where none is available. Vectors from elsewhere can be passed to the matcher as
+    they are."""
     stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_chars", gaps=False, pattern="(?s).", toLowercase=True),
-        NGram(n=gram, inputCol="_chars", outputCol="_grams"),
-        HashingTF(numFeatures=width, inputCol="_grams", outputCol="_tf"),
+        RegexTokenizer(inputCol="_text", outputCol="_words", gaps=False, pattern=r"(?U)\w+", toLowercase=True),
+        HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf"),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_unit"),
     ]

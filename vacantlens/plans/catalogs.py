@@ -11,7 +11,7 @@ from vacantlens.plans.cleaning import posting_sources
 from vacantlens.session import scratch_path
 from vacantlens.sources import pages, sinks, tables
 from vacantlens.sources.schemas import strings
-from vacantlens.sources.tables import table
+from vacantlens.sources.tables import table, text_table
 
 
 def catalog_distinct(spark: SparkSession, root: str) -> DataFrame:
@@ -123,7 +123,7 @@ def csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 
 def page_fields(spark: SparkSession, root: str) -> DataFrame:
-    return pages.article_fields(table(spark, root, "pages"), "html", ["page_id"])
+    return pages.article_fields(text_table(spark, root, "pages"), "html", ["page_id"])
 
 
 def rendered_pages(spark: SparkSession, root: str) -> DataFrame:

@@ -10,7 +10,7 @@ from vacantlens.functions.parsing import classify_contract, parse_academic, pars
 from vacantlens.functions.text import WS
 from vacantlens.operators import clean
 from vacantlens.operators.enrich import contract_columns
-from vacantlens.sources.tables import table
+from vacantlens.sources.tables import table, text_table
 
 # A document with the order and customer of the same number, rendered as a raw posting. Status
 # and priority decide which field is damaged, so that every rule and every failure occurs.
@@ -60,7 +60,7 @@ def _expression(name: str, dialect: dict[str, str]) -> str:
 
 
 def posting_sources(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents")
+    documents = text_table(spark, root, "documents")
     orders = table(spark, root, "orders")
     customer = table(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return documents.join(orders, F.col("doc_id") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -135,12 +135,12 @@ ACADEMIC_TEXT = """CASE lang
 
 
 def parsed_experience(spark: SparkSession, root: str) -> DataFrame:
-    texts = table(spark, root, "documents").select("doc_id", F.expr(EXPERIENCE_TEXT).alias("t"))
+    texts = text_table(spark, root, "documents").select("doc_id", F.expr(EXPERIENCE_TEXT).alias("t"))
     return texts.select("doc_id", *[c.alias(n) for n, c in parse_experience(F.col("t")).items()])
 
 
 def parsed_academic(spark: SparkSession, root: str) -> DataFrame:
-    texts = table(spark, root, "documents").select("doc_id", F.expr(ACADEMIC_TEXT).alias("t"))
+    texts = text_table(spark, root, "documents").select("doc_id", F.expr(ACADEMIC_TEXT).alias("t"))
     columns = parse_academic(F.col("t"))
     columns["search_levels"] = F.array_join(columns["search_levels"].cast("array<string>"), ",")
     return texts.select("doc_id", *[c.alias(n) for n, c in columns.items()])

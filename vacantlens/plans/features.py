@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from vacantlens.functions.text import normalize_text
 from vacantlens.operators import topics, vectors
 from vacantlens.session import scratch_path
-from vacantlens.sources.tables import table
+from vacantlens.sources.tables import table, text_table
 
 
 def _texts(spark: SparkSession, root: str) -> DataFrame:
-    return topics.topic_text(table(spark, root, "documents"), "doc_id", "text", blank_values=True)
+    return topics.topic_text(text_table(spark, root, "documents"), "doc_id", "text", blank_values=True)
 
 
 def topic_features(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +33,7 @@ def topic_reload(spark: SparkSession, root: str) -> DataFrame:
     """Topics fitted on documents, saved, loaded, and applied to conversations."""
     path = scratch_path(spark, "topic-model")
     topics.save_topics(topics.fit_topics(_texts(spark, root)), path)
-    turns = table(spark, root, "conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    turns = text_table(spark, root, "conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
     fresh = topics.topic_text(turns, "turn_id", "text", blank_values=False)
     return topics.topic_features(topics.load_topics(path), fresh, "turn_id", "knowledge")
 
@@ -44,7 +44,7 @@ def document_terms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def text_vectors(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents")
+    documents = text_table(spark, root, "documents")
     model = vectors.fit_text_vectors(documents, "text", width=384)
     return vectors.text_vectors(model, documents, "text", ["doc_id"])
 
@@ -64,7 +64,7 @@ def pca_variance(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cluster_silhouette(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents").select(normalize_text(F.col("text")).alias("text"))
+    documents = text_table(spark, root, "documents").select(normalize_text(F.col("text")).alias("text"))
     return vectors.text_clusters(documents, "text")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantlens.operators.incremental import distinct_keys, pending_keys
 from vacantlens.operators.match import candidate_table, match_topk
-from vacantlens.sources.tables import table
+from vacantlens.sources.tables import table, text_table
 
 
 def part_names(spark: SparkSession, root: str) -> DataFrame:
@@ -17,16 +17,16 @@ def part_names(spark: SparkSession, root: str) -> DataFrame:
 
 def token_set_topk(spark: SparkSession, root: str) -> DataFrame:
     """Three most similar part names of every distinct conversation turn."""
-    keys = distinct_keys(table(spark, root, "conversations"), "text")
+    keys = distinct_keys(text_table(spark, root, "conversations"), "text")
     return match_topk(keys, part_names(spark, root), "text", "code", "code", key_text="text", catalog_text="p_name", k=3)
 
 
 def pending_title_matches(spark: SparkSession, root: str) -> DataFrame:
     """Candidate rows for page headings not matched before, against the benchmark texts."""
-    titles = table(spark, root, "pages").select(
+    titles = text_table(spark, root, "pages").select(
         F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title")
     )
-    seen = table(spark, root, "conversations").select(F.col("text").alias("title"))
+    seen = text_table(spark, root, "conversations").select(F.col("text").alias("title"))
     catalog = table(spark, root, "benchmark")
     matches = match_topk(
         pending_keys(titles, seen, "title"), catalog, "title", "item_id", "item_id", key_text="title", catalog_text="text", k=2

@@ -9,7 +9,7 @@ from vacantlens.operators import filters, repeats
 from vacantlens.operators.quantiles import describe
 from vacantlens.plans.pay import rounded
 from vacantlens.plans.sql import mean, norm, r, total
-from vacantlens.sources.tables import table
+from vacantlens.sources.tables import table, text_table
 
 
 def titled_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -22,7 +22,7 @@ def titled_lines(spark: SparkSession, root: str) -> DataFrame:
 def dated_documents(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the date and customer of the order of the same number."""
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", "o_custkey")
-    return table(spark, root, "documents").join(orders, "doc_id")
+    return text_table(spark, root, "documents").join(orders, "doc_id")
 
 
 def pair_repetition(spark: SparkSession, root: str) -> DataFrame:
@@ -39,7 +39,7 @@ def repeat_postings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stability_profile(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents")
+    documents = text_table(spark, root, "documents")
     return repeats.stability_profile(documents, ["n_chars", "text"], ["source", "lang"], texts=["text"])
 
 
@@ -49,8 +49,8 @@ def pair_drilldown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def normalize_text_variants(spark: SparkSession, root: str) -> DataFrame:
-    documents = repeats.normalization_effect(table(spark, root, "documents"), ["text"], ["lang"])
-    turns = repeats.normalization_effect(table(spark, root, "conversations"), ["text"], ["role"])
+    documents = repeats.normalization_effect(text_table(spark, root, "documents"), ["text"], ["lang"])
+    turns = repeats.normalization_effect(text_table(spark, root, "conversations"), ["text"], ["role"])
     named = [
         (documents, "lang", "documents"),
         (turns, "role", "conversations"),
@@ -75,7 +75,7 @@ def regime_matrix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def regime_consistency(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents").join(table(spark, root, "labels"), "doc_id", "left")
+    documents = text_table(spark, root, "documents").join(table(spark, root, "labels"), "doc_id", "left")
     return repeats.regime_consistency(documents, "quality", ["text"], "n_chars")
 
 

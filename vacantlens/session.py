@@ -43,7 +43,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of an iterative fit over at least one partition per core; a table that already
-    has that many partitions is left as it is."""
+    """Input of costly work over at least one partition per core; one that already has that
+    many partitions is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

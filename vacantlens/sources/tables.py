@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantlens.operators.filters import newest_first
+from vacantlens.session import spread
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+def text_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table whose texts cost far more to process than to move: a copy stored in fewer
+    pieces than there are cores is spread over all of them."""
+    return spread(table(spark, root, name))
+
+
 def phase_table(spark: SparkSession, path: str, at: str, tie: Sequence[str], limit: int | None = None) -> DataFrame:
     """A stored phase table, newest rows first."""
     return newest_first(spark.read.parquet(path), at, tie, limit)
