@@ -51,13 +51,16 @@ def clean_text(
         out = strip(out, "¿¡")
         out = _drop(out, rf"(?md)^[{WS}\-–•*.]+")
     out = squeeze(out) if remove_extra_spaces else strip(out)
-    # The replacement names the chain of rules once; a comparison with '' would run it twice.
-    return F.when(c != "", F.regexp_replace(out, r"^\z", NO_INFO))
+    return F.when(c != "", F.coalesce(_null_if(out, ""), F.lit(NO_INFO)))
+
+
+def _null_if(c: Column, value: str) -> Column:
+    """``nullif`` that names ``c`` once, so that a long chain of rules is not run twice."""
+    return F.try_element_at(F.array_remove(F.array(c), value), F.lit(1))
 
 
 def null_if_no_info(c: Column) -> Column:
-    """``nullif(c, 'NO INFO')`` that evaluates ``c`` once."""
-    return F.try_element_at(F.array_remove(F.array(c), NO_INFO), F.lit(1))
+    return _null_if(c, NO_INFO)
 
 
 def clean_free_text(c: Column) -> Column:

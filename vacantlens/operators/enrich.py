@@ -58,13 +58,16 @@ def enrich(
     """Cleaned postings with best candidates, contract classes, parsed flags and topics.
 
     ``titles``, ``institutions`` and ``programs`` hold one best row per key; ``topics``
-    is joined by posting id.
+    is joined by posting id. With ``programs``, a profile without a program requires no thesis.
     """
     out = cleaned
     for best, on in ((titles, "job_title"), (institutions, "institution"), (programs, "academic_profile")):
         if best is not None:
             out = attach_best(out, on, best, best.columns[0])
     academic = parse_academic(F.col("academic_profile"))
+    if programs is not None:
+        has_program = F.col(programs.columns[1]).isNotNull()
+        academic["thesis_required"] = F.when(has_program, academic["thesis_required"]).otherwise(0)
     wanted = ["thesis_required", "accepts_related_fields", "requires_colegiado", "requires_habilitado"]
     out = out.withColumns(
         {

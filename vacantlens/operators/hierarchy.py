@@ -68,15 +68,11 @@ def forward_fill(
     blocked = df.withColumn("_block", F.floor(F.col(row_number) / block_rows))
     inside = W.partitionBy(part, "_block").orderBy(row_number).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(part).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    ends = blocked.groupBy(part, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(row_number))).alias(f"_end_{c}") for c in columns]
-    )
+    local = blocked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    ends = local.groupBy(part, "_block").agg(*[F.max_by(c, row_number).alias(f"_end_{c}") for c in columns])
     carried = ends.select(
         part, "_block", *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
-    local = blocked
-    for c in columns:
-        local = local.withColumn(c, F.last(c, ignorenulls=True).over(inside))
     out = local.join(carried, [part, "_block"])
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}")))

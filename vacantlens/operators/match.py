@@ -2,9 +2,10 @@
 
 Scoring every key against every entry is what the operator means, but no pair is ever a
 row: each task scores its keys against a block of the catalog and hands on at most ``k``
-rows per key. A catalog below ``max_broadcast`` rows (counted, not assumed) is one block,
-sent to every task. A larger catalog is split into blocks and the keys into chunks; chunk
-and block meet in a co-group and a final top-k merges the blocks. Both ways are exact.
+rows per key. A catalog within ``max_broadcast`` rows and ``MAX_BLOCK_BYTES`` (measured, not
+assumed) is one block, sent to every task. A larger catalog is split into blocks and the
+keys into chunks of such sizes; chunk and block meet in a co-group and a final top-k merges
+the blocks. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from vacantlens.operators.scoring import as_matrix, comparable, prepare_catalog
 
 MAX_BROADCAST_ROWS = 20_000
 KEY_CHUNK_ROWS = 20_000
+MAX_BLOCK_BYTES = 128 << 20
 _SCORE_ROWS = 512  # keys scored per matrix product, bounds memory in the task
 
 
@@ -91,11 +93,12 @@ def match_topk(
             T.StructField("best_confidence", T.LongType()),
         ]
     )
-    head = c_rows.limit(max_broadcast + 1).toPandas()
-    if len(head) <= max_broadcast:
-        partial = _against_broadcast(k_rows, head, schema, fuzzy, semantic, k, threshold)
+    blocks = _pieces(c_rows, max_broadcast)
+    if blocks == 1:
+        partial = _against_broadcast(k_rows, c_rows.toPandas(), schema, fuzzy, semantic, k, threshold)
     else:
-        partial = _against_blocks(k_rows, c_rows, schema, fuzzy, semantic, k, threshold, max_broadcast, key_chunk)
+        chunks = _pieces(k_rows, key_chunk)
+        partial = _against_blocks(k_rows, c_rows, schema, fuzzy, semantic, k, threshold, blocks, chunks)
     best_first = W.partitionBy("_key").orderBy(F.desc("best_confidence"), "_position", "_code")
     return (
         partial.withColumn("rank", F.row_number().over(best_first).cast("long"))
@@ -107,6 +110,14 @@ def match_topk(
     )
 
 
+def _pieces(rows: DataFrame, max_rows: int) -> int:
+    """How many pieces keep each within ``max_rows`` rows and ``MAX_BLOCK_BYTES`` bytes."""
+    text_bytes = F.coalesce(F.octet_length("_text"), F.lit(0))
+    vector_bytes = F.coalesce(F.size("_vector"), F.lit(0)) * 8
+    found = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((text_bytes + vector_bytes).cast("long")), F.lit(0))).first()
+    return max(1, ceil(found[0] / max_rows), ceil(found[1] / MAX_BLOCK_BYTES))
+
+
 def _blocks_by_level(catalog: pd.DataFrame, width: int, semantic: bool) -> dict:
     """Prepared entries per level, in catalog order."""
     out = {}
@@ -140,12 +151,10 @@ def _against_broadcast(keys: DataFrame, head: pd.DataFrame, schema: T.StructType
 
 
 def _against_blocks(
-    keys: DataFrame, catalog: DataFrame, schema: T.StructType, fuzzy: bool, semantic: bool, k: int, threshold: int, block_rows: int, chunk_rows: int
+    keys: DataFrame, catalog: DataFrame, schema: T.StructType, fuzzy: bool, semantic: bool, k: int, threshold: int, blocks: int, chunks: int
 ) -> DataFrame:
-    """Chunks of keys meet blocks of the catalog. Chunk and block come from a hash, so their
-    sizes do not depend on the data; each key goes to each block once."""
-    blocks = ceil(catalog.count() / block_rows)
-    chunks = max(1, ceil(keys.count() / chunk_rows))
+    """Chunks of keys meet blocks of the catalog. Chunk and block come from a hash of distinct
+    keys, so no chunk is hot; each key goes to each block once."""
     left = keys.withColumn("_chunk", F.pmod(F.xxhash64("_key", "_level"), F.lit(chunks))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
