@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -57,11 +59,12 @@ def explained_variance(model: PipelineModel) -> list[float]:
 
 
 def text_clusters(
-    texts: DataFrame, text: str, ks: Sequence[int] = (3, 4, 5, 6), words: int = 50, seed: int = 42, restarts: int = 10
+    texts: DataFrame, text: str, ks: Sequence[int] = (3, 4, 5, 6), words: int = 50, seed: int = 42, restarts: int = 10,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Silhouette of k-means over TF-IDF of the most frequent words, one row per k.
 
-    Each k keeps the cheapest of ``restarts`` fits.
+    Each k keeps the cheapest of ``restarts`` fits; ``parallelism`` fits are submitted at a time.
     """
     ready = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     stages = [
@@ -71,10 +74,19 @@ def text_clusters(
     ]
     features = spread(Pipeline(stages=stages).fit(ready).transform(ready).select("features")).persist()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+
+    def fit(job: tuple[int, int]) -> tuple[float, KMeansModel]:
+        k, start = job
+        model = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster").fit(features)
+        return model.summary.trainingCost, model
+
+    features.count()
+    with ThreadPool(parallelism) as pool:
+        jobs = [(k, start) for k in ks for start in range(restarts)]
+        fits = pool.map(inheritable_thread_target(texts.sparkSession)(fit), jobs)
     found = []
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(features) for i in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        found.append((k, float(best.summary.trainingCost), float(evaluator.evaluate(best.transform(features)))))
+    for i, k in enumerate(ks):
+        cost, best = min(fits[i * restarts : (i + 1) * restarts], key=lambda f: f[0])
+        found.append((k, float(cost), float(evaluator.evaluate(best.transform(features)))))
     features.unpersist()
     return texts.sparkSession.createDataFrame(found, "k int, cost double, silhouette double")

@@ -274,6 +274,30 @@ def _years_sql(patterns) -> str:
 
 
 _NONE_NEEDED = _any_sql(config.NO_EXPERIENCE_KEYWORDS)
+
+
+def experience_sql() -> str:
+    """Columns of the experience parser over a relation with the upper-case text ``u``."""
+    return f"""{_years_sql(config.GENERAL_YEARS_PATTERNS)} AS experience_general_years,
+             {_years_sql(config.SPECIFIC_YEARS_PATTERNS)} AS experience_specific_years,
+             CAST(NOT {_NONE_NEEDED} AND {_any_sql(config.PUBLIC_SECTOR_KEYWORDS)} AS INT) AS sector_public_required,
+             CAST(NOT {_NONE_NEEDED} AND {_any_sql(config.PRIVATE_SECTOR_KEYWORDS)} AS INT) AS sector_private_required"""
+
+
+def academic_flags_sql() -> str:
+    return f"""{_level_sql(lambda levels, name, thesis: thesis)} ELSE 0 END AS thesis_required,
+             CAST({_any_sql(config.RELATED_FIELDS_KEYWORDS)} AS INT) AS accepts_related_fields,
+             CAST({_any_sql(config.COLEGIADO_KEYWORDS)} AS INT) AS requires_colegiado,
+             CAST({_any_sql(config.HABILITADO_KEYWORDS)} AS INT) AS requires_habilitado"""
+
+
+def contract_classes_sql() -> str:
+    return """CASE WHEN contract_type LIKE 'D.LEG 1057%' THEN 'D.LEG 1057' WHEN contract_type LIKE 'DOCENTES%' THEN 'LEY 30220'
+                     ELSE contract_type END AS contract_regime,
+             CASE WHEN contract_type LIKE '%1057 DETERMINADO%' THEN 'TEMPORARY' WHEN contract_type IS NOT NULL THEN 'PERMANENT' END
+               AS contract_temporal_nature"""
+
+
 ORACLES = {
     "clean_split": f"WITH {CLEANED_SQL} SELECT * FROM split",
     "complete_postings": f"WITH {CLEANED_SQL} SELECT * EXCLUDE (failed_fields, outcome, doc_id) FROM split WHERE outcome = 'complete'",
@@ -293,23 +317,14 @@ ORACLES = {
       SELECT outcome AS status, count(*) AS rows FROM split GROUP BY outcome""",
     "classify_contract": f"""
       WITH c AS (SELECT doc_id, {contract_sql('contract_type_raw')} AS contract_type FROM ({RAW_SQL}))
-      SELECT *, CASE WHEN contract_type LIKE 'D.LEG 1057%' THEN 'D.LEG 1057' WHEN contract_type LIKE 'DOCENTES%' THEN 'LEY 30220'
-                     ELSE contract_type END AS contract_regime,
-             CASE WHEN contract_type LIKE '%1057 DETERMINADO%' THEN 'TEMPORARY' WHEN contract_type IS NOT NULL THEN 'PERMANENT' END
-               AS contract_temporal_nature FROM c""",
+      SELECT *, {contract_classes_sql()} FROM c""",
     "parse_experience": f"""
       WITH t AS (SELECT doc_id, upper({EXPERIENCE_TEXT}) AS u FROM documents)
-      SELECT doc_id, {_years_sql(config.GENERAL_YEARS_PATTERNS)} AS experience_general_years,
-             {_years_sql(config.SPECIFIC_YEARS_PATTERNS)} AS experience_specific_years,
-             CAST(NOT {_NONE_NEEDED} AND {_any_sql(config.PUBLIC_SECTOR_KEYWORDS)} AS INT) AS sector_public_required,
-             CAST(NOT {_NONE_NEEDED} AND {_any_sql(config.PRIVATE_SECTOR_KEYWORDS)} AS INT) AS sector_private_required FROM t""",
+      SELECT doc_id, {experience_sql()} FROM t""",
     "parse_academic": f"""
       WITH t AS (SELECT doc_id, upper({ACADEMIC_TEXT}) AS u FROM documents)
       SELECT doc_id, {_level_sql(lambda levels, name, thesis: "'" + ','.join(map(str, levels)) + "'")} ELSE '' END AS search_levels,
              {_level_sql(lambda levels, name, thesis: f"'{name}'")} END AS level_name,
-             {_level_sql(lambda levels, name, thesis: thesis)} ELSE 0 END AS thesis_required,
-             CAST({_any_sql(config.RELATED_FIELDS_KEYWORDS)} AS INT) AS accepts_related_fields,
-             CAST({_any_sql(config.COLEGIADO_KEYWORDS)} AS INT) AS requires_colegiado,
-             CAST({_any_sql(config.HABILITADO_KEYWORDS)} AS INT) AS requires_habilitado,
+             {academic_flags_sql()},
              CAST({_any_sql(config.MULTIPLE_OPTIONS_KEYWORDS)} AS INT) AS multiple_options_allowed FROM t""",
 }

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from vacantlens.operators import clean, enrich, filters, match
 from vacantlens.operators.incremental import distinct_keys
 from vacantlens.operators.profile import coverage
-from vacantlens.plans.cleaning import CLEANED_SQL, known_postings, raw_postings
+from vacantlens.plans.cleaning import (
+    CLEANED_SQL,
+    academic_flags_sql,
+    contract_classes_sql,
+    experience_sql,
+    known_postings,
+    raw_postings,
+)
+from vacantlens.plans.matching import token_set_sql
+from vacantlens.plans.sql import r
 from vacantlens.session import scratch_path
 from vacantlens.sources import sinks
 from vacantlens.sources.schemas import EVENTS
@@ -81,7 +90,33 @@ QUERIES = {
     "stream_ingest": stream_ingest,
 }
 
+_SEGMENTS = "SELECT min(c_custkey) AS cid, c_mktsegment AS ct FROM customer GROUP BY c_mktsegment"
+_TITLES = "SELECT DISTINCT job_title AS kid, job_title AS kt FROM split WHERE job_title IS NOT NULL"
+_ENRICHED = f"""WITH {CLEANED_SQL}, {token_set_sql(_TITLES, _SEGMENTS)},
+  titles AS (SELECT kid, cid FROM fuzzy WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY kid ORDER BY score DESC, cid) = 1),
+  names AS (SELECT c_name, min(c_custkey) AS ejecutora FROM customer GROUP BY c_name),
+  e AS (SELECT posting_unique_id AS pe, {experience_sql()} FROM (SELECT *, coalesce(upper(experience_requirements), '') AS u FROM split)),
+  a AS (SELECT posting_unique_id AS pa, {academic_flags_sql()} FROM (SELECT *, coalesce(upper(academic_profile), '') AS u FROM split)),
+  enriched AS (
+    SELECT posting_unique_id, job_title, institution, posting_start_date, posting_end_date, salary_amount, number_of_vacancies,
+           contract_type, titles.cid AS isco_code, ejecutora, {contract_classes_sql()}, e.* EXCLUDE (pe), a.* EXCLUDE (pa),
+           CAST(date_trunc('month', posting_start_date) AS DATE) AS year_month
+    FROM split LEFT JOIN titles ON kid = job_title LEFT JOIN names ON c_name = institution
+    JOIN e ON pe = posting_unique_id JOIN a ON pa = posting_unique_id)"""
+
+
+def _share(part: str) -> str:
+    return r(f"(CAST({part} AS DOUBLE) / (SELECT count(*) FROM enriched)) * 100", 2)
+
+
 ORACLES = {
+    "enriched_postings": f"{_ENRICHED} SELECT * FROM enriched",
+    "enriched_coverage": f"""{_ENRICHED},
+      m AS (SELECT unnest(['title', 'institution', 'contract', 'all']) AS metric,
+                   unnest([count(isco_code), count(ejecutora), count(contract_regime),
+                           count(*) FILTER (isco_code IS NOT NULL AND ejecutora IS NOT NULL AND contract_regime IS NOT NULL)]) AS rows
+            FROM enriched)
+      SELECT metric, rows, {_share('rows')} AS percent FROM m""",
     "written_split": f"""WITH {CLEANED_SQL}
       SELECT outcome AS status, count(*) AS rows FROM split GROUP BY outcome""",
     "stream_ingest": """

@@ -84,7 +84,7 @@ def _comparable(x: str) -> str:
     return rf"trim(regexp_replace({plain}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'))"
 
 
-def _token_set(keys: str, catalog: str) -> str:
+def token_set_sql(keys: str, catalog: str) -> str:
     """CTEs up to ``fuzzy(kid, cid, score)`` for keys(kid, kt) and catalog(cid, ct).
 
     The longest common subsequence runs over the letters of the key with one bit per letter
@@ -122,7 +122,7 @@ def _cosine(a: str, b: str) -> str:
 
 ORACLES = {
     "token_set_topk": f"""
-      WITH {_token_set("SELECT DISTINCT text AS kid, text AS kt FROM conversations WHERE text IS NOT NULL", f"SELECT code AS cid, p_name AS ct FROM ({_PART_NAMES})")},
+      WITH {token_set_sql("SELECT DISTINCT text AS kid, text AS kt FROM conversations WHERE text IS NOT NULL", f"SELECT code AS cid, p_name AS ct FROM ({_PART_NAMES})")},
       ranked AS (SELECT kid AS text, cid AS code, CAST(0 AS BIGINT) AS semantic_confidence, score AS fuzzy_confidence, score AS best_confidence,
                         row_number() OVER (PARTITION BY kid ORDER BY score DESC, cid) AS rank FROM fuzzy)
       SELECT * FROM ranked WHERE rank <= 3""",
@@ -132,7 +132,7 @@ ORACLES = {
                         row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0)
       SELECT * FROM ranked WHERE rank <= 3""",
     "combined_best": f"""
-      WITH {_token_set("SELECT item_id AS kid, text AS kt FROM benchmark", f"SELECT code AS cid, p_name AS ct FROM ({_PART_NAMES})")},
+      WITH {token_set_sql("SELECT item_id AS kid, text AS kt FROM benchmark", f"SELECT code AS cid, p_name AS ct FROM ({_PART_NAMES})")},
       sem AS (SELECT f.*, greatest(coalesce({_cosine('k.embedding', 'c.embedding')}, 0), 0) AS sem
               FROM fuzzy f LEFT JOIN embeddings k ON k.vec_id = kid LEFT JOIN embeddings c ON c.vec_id = cid),
       ranked AS (SELECT kid AS item_id, cid AS code, sem AS semantic_confidence, score AS fuzzy_confidence, greatest(sem, score) AS best_confidence,
