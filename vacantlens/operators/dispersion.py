@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from vacantlens import config
 from vacantlens.functions.numeric import fixed_mean, fixed_sum, round_even
-from vacantlens.operators.filters import plausibility
 from vacantlens.operators.quantiles import attach_quantiles, describe, histogram, with_keys
 
 
 def plausible(df: DataFrame, pay: str, low: float = config.SALARY_MIN, high: float = config.SALARY_MAX) -> DataFrame:
-    return df.where(plausibility(F.col(pay), low, high) == "ok")
+    """Rows whose plausibility flag is 'ok', as a condition that reaches the Parquet scan."""
+    return df.where(F.col(pay).between(low, high) | F.col(pay).isNull())
 
 
 def occupation_volume(df: DataFrame, code: str, institution: str, pay: str) -> DataFrame:
