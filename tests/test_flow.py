@@ -215,3 +215,15 @@ def test_scratch_follows_the_session_setting(spark):
         conf = Conf()
 
     assert scratch_path(Session(), "x").startswith("hdfs://shared/folder/x-")
+
+
+def test_append_new_and_newest_first(spark):
+    path = scratch_path(spark, "phase")
+    first = raw(spark, {}, {"posting_unique_id": "2"})
+    first.write.parquet(path)
+    batch = raw(spark, {"posting_unique_id": "2"}, {"posting_unique_id": "3", "job_title": "B"}, {"posting_unique_id": "3"}, at=10)
+    for _ in range(2):
+        sinks.append_new(spark.read.parquet(path), batch, ["posting_unique_id"], ["scraped_at"], path)
+    newest = tables.phase_table(spark, path, "scraped_at", ["posting_unique_id"], limit=2).collect()
+    assert [(r.posting_unique_id, r.job_title) for r in newest] == [("3", "B"), ("2", GOOD["job_title"])]
+    assert tables.phase_table(spark, path, "scraped_at", ["posting_unique_id"]).count() == 3
