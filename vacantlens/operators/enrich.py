@@ -59,17 +59,28 @@ def enrich(
 
     ``titles``, ``institutions`` and ``programs`` hold one best row per key; ``topics``
     is joined by posting id. With ``programs``, a profile without a program requires no thesis.
+
+    Topics need a join of the whole rows by id. The candidates then ride along on the topic
+    side: only ids and keys are moved for them, and the whole rows are shuffled once.
     """
-    out = cleaned
-    for best, on in ((titles, "job_title"), (institutions, "institution"), (programs, "academic_profile")):
-        if best is not None:
-            out = attach_best(out, on, best, best.columns[0])
+    matched = [
+        (best, on)
+        for best, on in ((titles, "job_title"), (institutions, "institution"), (programs, "academic_profile"))
+        if best is not None
+    ]
+    keys = [on for _, on in matched]
+    out = cleaned if topics is None else cleaned.select("posting_unique_id", *keys)
+    for best, on in matched:
+        out = attach_best(out, on, best, best.columns[0])
+    if topics is not None:
+        codes = out.drop(*keys).join(topics, "posting_unique_id", "left")
+        out = cleaned.join(codes, "posting_unique_id", "left")
     academic = parse_academic(F.col("academic_profile"))
     if programs is not None:
         has_program = F.col(programs.columns[1]).isNotNull()
         academic["thesis_required"] = F.when(has_program, academic["thesis_required"]).otherwise(0)
     wanted = ["thesis_required", "accepts_related_fields", "requires_colegiado", "requires_habilitado"]
-    out = out.withColumns(
+    return out.withColumns(
         {
             **contract_columns(F.col("contract_type")),
             **parse_experience(F.col("experience_requirements")),
@@ -77,4 +88,3 @@ def enrich(
             "year_month": month_start(F.col("posting_start_date")),
         }
     )
-    return out if topics is None else out.join(topics, "posting_unique_id", "left")
