@@ -54,17 +54,16 @@ def captures(pages: DataFrame, page_id: str = "page_id", uri: str = "url", html:
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long"))
     # Counted per page and payload first: groups of equal payloads can be very large.
     keyed = rows.groupBy("digest", "bytes", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    last = keyed.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.sum("n").alias("n"))
-    several = last.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes)).select("digest", "bytes", "last")
+    groups = keyed.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n"))
+    several = groups.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes)).select("digest", "bytes", F.col("top.page_id").alias("last"), F.col("top.n").alias("times"))
     marked = rows.join(several, ["digest", "bytes"], "left")
-    chosen = F.col("last").isNull() | (F.col("page_id") == F.col("last"))
-    # Repeats of the chosen page itself: the first is the response. Only those rows are ordered,
-    # so a hot payload does not meet in one task.
-    again = W.partitionBy("digest", "bytes", "page_id").orderBy("uri")
-    first = marked.where(chosen).withColumn("copy", F.row_number().over(again))
-    rest = marked.where(~F.coalesce(chosen, F.lit(False))).withColumn("copy", F.lit(0))
-    typed = first.unionByName(rest)
-    response = (F.col("copy") == 1) | F.col("last").isNull()
+    at_last = F.col("times").isNotNull() & F.col("page_id").eqNullSafe(F.col("last"))
+    plain = marked.where(~(at_last & (F.col("times") > 1))).withColumn("copy", F.when(F.col("times").isNull() | at_last, 1).otherwise(0))
+    # Only repeats of the chosen page itself are ordered: the first of them is the response.
+    again = W.partitionBy("digest", "bytes").orderBy("uri")
+    repeated = rows.join(several.where("times > 1"), ["digest", "bytes"]).where(F.col("page_id").eqNullSafe(F.col("last")))
+    typed = plain.unionByName(repeated.withColumn("copy", F.row_number().over(again)).select(*plain.columns))
+    response = F.col("copy") == 1
     return typed.select(
         "page_id",
         "uri",
@@ -85,8 +84,9 @@ def _record(kind: str, head: list[Column | str], block: Column) -> Column:
 def write_archives(rows: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", files: int | None = None) -> None:
     """Write the rows of ``captures`` as archives under ``path``."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    # A capture's identifier: page, and a draw that tells repeated rows apart.
-    unique = rows.withColumn("_key", F.concat_ws(":", page, F.uuid()))
+    # A response is named by page and digest; a draw tells revisits of one page apart.
+    revisits = F.col("record_type") == "revisit"
+    unique = rows.withColumn("_key", F.concat_ws(":", page, "digest", F.when(revisits, F.uuid())))
     key = F.col("_key")
     ident = lambda part: F.concat(F.lit("<urn:capture:"), key, F.lit(f":{part}>"))
     uri = F.regexp_replace(F.coalesce(F.col("uri"), F.lit("")), r"[\r\n]", " ")
@@ -98,14 +98,13 @@ def write_archives(rows: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
         [[F.lit("WARC-Record-ID: "), ident("request")], *common, [F.lit("WARC-Concurrent-To: "), ident("response")], ["Content-Type: application/http; msgtype=request"]],
         request_block,
     )
-    revisits = F.col("record_type") == "revisit"
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(revisits, head).otherwise(F.concat(head, F.col("payload")))
     body = [[F.lit("WARC-Record-ID: "), ident("response")], *common, [F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")]]
     response = _record("response", [*body, ["Content-Type: application/http; msgtype=response"]], block)
     revisit = _record(
         "revisit",
-        [*body, [f"WARC-Profile: {REVISIT}"], [F.lit("WARC-Refers-To: <urn:capture:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(":response>")], ["Content-Type: application/http; msgtype=response"]],
+        [*body, [f"WARC-Profile: {REVISIT}"], [F.lit("WARC-Refers-To: <urn:capture:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(":"), F.col("digest"), F.lit(":response>")], ["Content-Type: application/http; msgtype=response"]],
         block,
     )
     metadata = _record(
@@ -263,11 +262,10 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(rows, path)
     whole = transactions(read_records(spark, path, payloads=False))
-    number = F.regexp_extract("refers_to", r"^<urn:capture:(-?\d+):", 1)
     return whole.select(
         F.expr("try_cast(metadata[0].fields['page-id'] AS bigint)").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("kind").alias("record_type"),
-        F.when(F.col("kind") == "revisit", F.expr("try_cast(" + "regexp_extract(refers_to, '^<urn:capture:(-?[0-9]+):', 1)" + " AS bigint)")).alias("refers_to"),
+        F.when(F.col("kind") == "revisit", F.expr("try_cast(regexp_extract(refers_to, '^<urn:capture:(-?[0-9]+):', 1) AS bigint)")).alias("refers_to"),
     )
