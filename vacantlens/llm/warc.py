@@ -2,9 +2,10 @@
 
 A capture is three records: the request, the response (or a revisit of an earlier-named payload)
 and a metadata record; request and metadata name the response in WARC-Concurrent-To. Archives
-are plain WARC/1.1 files, written by Spark's text writer (a row is one capture, the separator
-ends its last record) and read whole as binary files, by Content-Length, so any payload is safe.
-Files ending in .gz are read too. ``files_of`` bounds their size.
+are gzipped WARC/1.1 files, written by Spark's text writer (a row is one capture, the separator
+ends its last record) and read whole as binary files, by Content-Length, so any payload is safe;
+plain files are read too. One file holds one task's rows, or ``files`` sets their number, for
+which ``files_of`` aims at FILE_BYTES.
 
 Defined cases: a null payload is empty; a null URI is written as an empty one and read as null;
 a null page_id is written as an empty one and read as null; rows that repeat a page_id and
@@ -31,6 +32,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 #: Payload bytes per archive file, on average.
 FILE_BYTES = 16 << 20
+#: Parts a group of equal payloads is dealt over.
+SALTS = 32
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = (
@@ -56,13 +59,14 @@ def captures(pages: DataFrame, page_id: str = "page_id", uri: str = "url", html:
     keyed = rows.groupBy("digest", "bytes", "page_id").agg(F.count(F.lit(1)).alias("n"))
     groups = keyed.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n"))
     several = groups.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes)).select("digest", "bytes", F.col("top.page_id").alias("last"), F.col("top.n").alias("times"))
-    marked = rows.join(several, ["digest", "bytes"], "left")
-    at_last = F.col("times").isNotNull() & F.col("page_id").eqNullSafe(F.col("last"))
-    plain = marked.where(~(at_last & (F.col("times") > 1))).withColumn("copy", F.when(F.col("times").isNull() | at_last, 1).otherwise(0))
-    # Only repeats of the chosen page itself are ordered: the first of them is the response.
-    again = W.partitionBy("digest", "bytes").orderBy("uri")
-    repeated = rows.join(several.where("times > 1"), ["digest", "bytes"]).where(F.col("page_id").eqNullSafe(F.col("last")))
-    typed = plain.unionByName(repeated.withColumn("copy", F.row_number().over(again)).select(*plain.columns))
+    # A payload's pages are dealt over SALTS parts, so that a hot payload does not meet in one
+    # task; the repeats of one page stay together and the first of them is the response.
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    spread = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    marked = rows.withColumn("salt", salt).join(spread, ["digest", "bytes", "salt"], "left")
+    again = W.partitionBy("digest", "bytes", "salt", "page_id").orderBy("uri")
+    at_last = F.col("page_id").eqNullSafe(F.col("last")) & (F.row_number().over(again) == 1)
+    typed = marked.withColumn("copy", F.when(F.col("times").isNull() | at_last, 1).otherwise(0))
     response = F.col("copy") == 1
     return typed.select(
         "page_id",
@@ -116,7 +120,7 @@ def write_archives(rows: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
     out = unique.select(value.alias("value"))
     if files:
         out = out.repartition(files)
-    out.write.option("lineSep", CRLF * 2).text(path)
+    out.write.option("lineSep", CRLF * 2).text(path, compression="gzip")
 
 
 def files_of(rows: DataFrame) -> int:
