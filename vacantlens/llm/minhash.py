@@ -8,11 +8,12 @@ of two independent minima. Bands of ``ROWS`` values put documents into buckets.
 Links are confirmed on full shingle sets. No bucket emits its pairs:
 
 1. Documents with the same word sequence form one class (map-side combine, any group size).
-2. Every class is compared with one hub per bucket, drawn by hash for each bucket anew.
+2. Every class is compared with ``HUBS`` hubs per bucket, drawn by hash for each bucket anew.
 3. Buckets whose members are still in several components hold every link not yet found. There,
    each class outside the bucket's largest component meets all others by an exact join on its
    rarest shingles: sets with a similarity of t or more share one of the first
-   n - ceil(t n) + 1 shingles in order of rising frequency.
+   n - ceil(t n) + 1 shingles in order of rising frequency, at places that leave room for the
+   overlap they need.
 
 Defined cases: a null or wordless text has no shingle, links with nothing and is kept; a row
 without doc_id links with nothing, gets a null component and is kept; rows that share a doc_id
@@ -35,6 +36,8 @@ from vacantlens.session import ship, stored
 
 BANDS, ROWS = 24, 4
 PERMUTATIONS = BANDS * ROWS // 2
+#: Hubs drawn per bucket.
+HUBS = 2
 #: Sketch agreement below which a pair of bucket mates is not confirmed on full sets: 0.2 under
 #: the 0.8 threshold, five standard deviations of the estimate over 2 * PERMUTATIONS values.
 SKETCH_MARGIN = 20
@@ -152,28 +155,32 @@ def _pairs_with(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
 
 
-def _rare_pairs(minors: DataFrame, pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a from ``minors``, b from ``pool`` (id, comp), of different components that
-    share one of their rarest shingles; holds every pair at the threshold or above."""
-    # int64 arrays unpacked in the JVM would need a UDF; the sets are small per row.
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]
-            sizes = np.array([len(v) for v in own], np.int64)
-            owner = np.repeat(np.arange(len(own)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(sizes[owner]), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))],
-                names=["id", "comp", "n", "s"],
-            )
-
-    items = pool.join(sets, "id").select("id", "comp", "set").mapInArrow(unpacked, "id long, comp long, n long, s long")
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp, minor, set) to a row (id, comp, minor, n, s) per shingle."""
+    for batch in batches:
+        own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(3)]
+        sizes = np.array([len(v) for v in own], np.int64)
+        owner = np.repeat(np.arange(len(own)), sizes)
+        kept = [batch.column(k).take(pa.array(owner)) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes[owner]), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))], names=["id", "comp", "minor", "n", "s"])
+
+
+def _rare_pairs(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``pool`` (id, comp, minor) in different components, one of them minor,
+    that share one of their rarest shingles early enough: what comes before the first shared
+    shingle on either side is not shared, so its place bounds the overlap. Holds every such pair
+    at the threshold or above."""
+    items = pool.join(sets, "id").select("id", "comp", "minor", "set").mapInArrow(_unpacked, "id long, comp long, minor boolean, n long, s long")
     frequency = items.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = items.join(frequency, "s").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "s")))
     first = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1
-    rare = stored(ranked.where(F.col("place") <= first).select("id", "comp", "s"), "rare")
-    own = rare.join(minors.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("comp").alias("_ca"), "s")
-    other = rare.select(F.col("id").alias("b"), F.col("comp").alias("_cb"), "s")
-    return own.join(other, "s").where(F.col("_ca") != F.col("_cb")).select("a", "b").distinct()
+    rare = stored(ranked.where(F.col("place") <= first).select("id", "comp", "minor", "n", "s", "place"), "rare")
+    own = rare.where("minor").select(F.col("id").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), F.col("place").alias("_pa"), "s")
+    other = rare.select(F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("minor").alias("_mb"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), "s")
+    overlap = 1 + F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    enough = (F.lit(100 + percent) * overlap >= F.lit(percent) * (F.col("_na") + F.col("_nb"))) & (F.lit(100) * F.least("_na", "_nb") >= F.lit(percent) * F.greatest("_na", "_nb"))
+    apart = (F.col("_ca") != F.col("_cb")) & (~F.col("_mb") | (F.col("a") < F.col("b")))
+    return own.alias("x").join(other.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,11 +201,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     classes = stored(classes, "classes")
     # One row per class and band; only buckets of several classes go on.
     entries = classes.select(F.explode("_bands").alias("key"), "id", "n")
-    drawn = F.min(F.struct(F.xxhash64("id", "key").alias("draw"), F.col("id"), F.col("n")))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), drawn.alias("hub")).where("size > 1")
-    members = stored(entries.join(buckets, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
-    fits = (F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")) & (F.col("id") != F.col("hub"))
-    pairs = members.where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    drawn = [F.min(F.struct(F.xxhash64("id", "key", F.lit(k)).alias("draw"), F.col("id"), F.col("n"))).alias(f"hub{k}") for k in range(HUBS)]
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *drawn).where("size > 1")
+    hubs = F.array_distinct(F.array(*[F.struct(F.col(f"hub{k}.id").alias("id"), F.col(f"hub{k}.n").alias("n")) for k in range(HUBS)]))
+    members = stored(entries.join(buckets, "key").select("key", "id", "n", hubs.alias("hubs")), "members")
+    met = members.select("id", "n", F.explode("hubs").alias("hub"))
+    fits = (F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")) & (F.col("id") != F.col("hub.id"))
+    pairs = met.where(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
     least = (percent - SKETCH_MARGIN) / 100
     sketched = _pairs_with(pairs, classes.select("id", F.col("_sketch")), "_sketch")
     likely = sketched.mapInArrow(lambda batches: _agreeing(batches, least), "a long, b long")
@@ -219,8 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     placed = members.join(sized, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
     apart = placed.groupBy("key").agg(F.max(F.struct("weight", "comp")).alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
     residue = stored(placed.join(apart.select("key", F.col("major.comp").alias("major")), "key").select("id", "comp", (F.col("comp") != F.col("major")).alias("minor")).groupBy("id", "comp").agg(F.max("minor").alias("minor")), "residue")
-    rare = _rare_pairs(residue.where("minor"), residue.select("id", "comp"), sets, percent)
-    late = _pairs_with(rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, "set")
+    late = _pairs_with(_rare_pairs(residue, sets, percent), sets, "set")
     more = stored(late.mapInArrow(_confirmed(percent), "a long, b long"), "late")
     reached = components(links.unionByName(more))
     named = classes.select("_k1", "_k2", "id").join(reached, "id", "left").select("_k1", "_k2", F.coalesce("component", "id").alias("_named"))
