@@ -12,14 +12,23 @@ def round_even(c: Column, digits: int) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
-def fixed_mean(c: Column, scale: int = 2) -> Column:
-    """Mean of fixed-point values. The decimal sum does not depend on row order,
-    so a retried or differently split task cannot change the result."""
-    return F.sum(c.cast(f"decimal(20,{scale})")).cast("double") / F.count(c)
+#: Values below this size are added exactly, with 18 decimals; 1e11 of them fit the sum.
+EXACT_BELOW = 1e9
 
 
-def fixed_sum(c: Column, scale: int = 2) -> Column:
-    return F.sum(c.cast(f"decimal(20,{scale})")).cast("double")
+def fixed_sum(c: Column) -> Column:
+    """Sum that does not depend on row order for values below ``EXACT_BELOW``, so that a retried
+    or differently split task cannot change it; larger and non-finite values are added as doubles."""
+    value = c.cast("double")
+    small = F.abs(value) < EXACT_BELOW
+    exact = F.sum(F.when(small, value.cast("decimal(28,18)"))).cast("double")
+    rest = F.sum(F.when(~small, value))
+    return F.when(exact.isNull(), rest).when(rest.isNull(), exact).otherwise(exact + rest)
+
+
+def fixed_mean(c: Column) -> Column:
+    """Mean by ``fixed_sum``."""
+    return fixed_sum(c) / F.count(c)
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

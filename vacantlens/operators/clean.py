@@ -69,11 +69,13 @@ def clean_split(raw: DataFrame, known_ids: DataFrame | None, order: Sequence[str
     in their cleaned form, so '738213B' is recognised on a rerun. Rows without a usable id
     are stored nowhere; ``failed_rows`` lists them.
     """
-    fresh = raw.withColumn("_id", parsing.parse_posting_id(F.col("posting_unique_id"))).where(F.col("_id").isNotNull())
+    usable = raw.withColumn("_id", parsing.parse_posting_id(F.col("posting_unique_id"))).where(F.col("_id").isNotNull())
+    # Copies go first: each task keeps one row per id before the shuffle.
+    first = keep_first(usable, ["_id"], order)
     if known_ids is not None:
         known = known_ids.select(F.col("posting_unique_id").cast("long").alias("_id"))
-        fresh = fresh.join(known, "_id", "left_anti")
-    first = keep_first(fresh, ["_id"], order).drop("_id")
+        first = first.join(known, "_id", "left_anti")
+    first = first.drop("_id")
     return clean_postings(first, [c for c in order if c not in CLEAN_FIELDS])
 
 

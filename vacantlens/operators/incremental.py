@@ -39,7 +39,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Rows of the batch to append: first copy per key, and only keys the target lacks."""
-    return keep_first(batch.join(target.select(*keys), list(keys), "left_anti"), keys, order)
+    return keep_first(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
 
 
 def duplicate_run_frontier(

@@ -18,15 +18,22 @@ def refresh_candidates(stored: DataFrame, fresh: DataFrame, key: str, code: str)
     A fresh pair that a person has already validated is not inserted again.
     """
     keys = fresh.select(key).distinct()
-    validated = stored.where(F.col("validated") == 1)
-    kept = stored.where(F.col("validated") != 1).join(keys, key, "left_anti")
+    # A pair nobody has looked at may hold null as well as 0.
+    checked = F.coalesce(F.col("validated"), F.lit(0)) == 1
+    validated = stored.where(checked)
+    kept = stored.where(~checked).join(keys, key, "left_anti")
     added = fresh.join(validated.select(key, code), [key, code], "left_anti")
     return kept.unionByName(validated).unionByName(added, allowMissingColumns=True)
 
 
-def apply_patches(base: DataFrame, patches: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Update the named columns by key; a null in a patch leaves the stored value."""
-    patch = patches.select(key, *[F.col(c).alias(f"_p_{c}") for c in columns])
+def apply_patches(base: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """Update the named columns by key; a null in a patch leaves the stored value.
+
+    Of several patches for a key the last non-null value by ``order`` counts, column by column,
+    or the largest one without an order. Rows are never multiplied.
+    """
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c) for c in columns}
+    patch = patches.groupBy(key).agg(*[value.alias(f"_p_{c}") for c, value in last.items()])
     joined = base.join(patch, key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns]

@@ -99,6 +99,9 @@ def match_topk(
     else:
         chunks = _pieces(k_rows, key_chunk)
         partial = _against_blocks(k_rows, c_rows, schema, fuzzy, semantic, k, threshold, blocks, chunks)
+    # A code found on two levels is one candidate, with its better score.
+    own = W.partitionBy("_key", "_code").orderBy(F.desc("best_confidence"), "_position")
+    partial = partial.withColumn("_copy", F.row_number().over(own)).where(F.col("_copy") == 1).drop("_copy")
     best_first = W.partitionBy("_key").orderBy(F.desc("best_confidence"), "_position", "_code")
     return (
         partial.withColumn("rank", F.row_number().over(best_first).cast("long"))

@@ -59,9 +59,9 @@ def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
     """Stored pages (url, html, scraped_at) to raw postings; incomplete ones go to review."""
     fields = page_source.posting_fields(pages, "html", ["scraped_at"]).where(F.col("posting_unique_id").isNotNull())
     known = _known_ids(spark, store, "extracted_jobs", "extracted_jobs_incomplete")
-    if known is not None:
-        fields = fields.join(known, "posting_unique_id", "left_anti")
     rows = keep_first(fields, ["posting_unique_id"], ["scraped_at", *config.FIELD_ORDER[1:]])
+    if known is not None:
+        rows = rows.join(known, "posting_unique_id", "left_anti")
     routed = rows.withColumn("outcome", outcome("posting_unique_id", config.FIELD_ORDER)).withColumn(
         "missing_fields", F.concat_ws(", ", missing_fields(config.FIELD_ORDER))
     )

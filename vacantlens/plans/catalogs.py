@@ -92,7 +92,8 @@ def program_catalog(spark: SparkSession, root: str) -> DataFrame:
     base = scratch_path(spark, "sheets")
     # One folder per sheet in one write.
     rows.select("row_number", *names, "source_sheet").write.partitionBy("source_sheet").option("header", False).csv(base)
-    sheet_names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    # A workbook has few sheets.
+    sheet_names = sorted(row[0] for row in rows.select("source_sheet").distinct().collect())
     sheets = [(f"{base}/source_sheet={name}", name, i) for i, name in enumerate(sheet_names, 2)]
     stacked = tables.read_sheets(spark, sheets, names)
     programs = hierarchy.program_rows(

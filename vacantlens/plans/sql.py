@@ -9,11 +9,11 @@ def r(x: str, digits: int = 4) -> str:
 
 
 def mean(x: str) -> str:
-    return f"(CAST(sum(CAST({x} AS DECIMAL(20,2))) AS DOUBLE) / count({x}))"
+    return f"(CAST(sum(CAST({x} AS DECIMAL(30,6))) AS DOUBLE) / count({x}))"
 
 
 def total(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(20,2))) AS DOUBLE)"
+    return f"CAST(sum(CAST({x} AS DECIMAL(30,6))) AS DOUBLE)"
 
 
 def norm(x: str) -> str:

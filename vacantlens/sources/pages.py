@@ -17,6 +17,10 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 _SIBLINGS = r"[^<]*(?:<(?!/(?:li|div|td|tr|ul|p|section|body)\b)[^<]*)*?"
 
 
+# Content of the element named by group 1, which may hold elements of that name, one deep.
+_INNER = r"((?:[^<]++|<(?!/?\1\b)|<\1\b[^>]*>(?:[^<]++|<(?!/?\1\b))*+</\1>)*+)"
+
+
 def tag_text(c: Column) -> Column:
     """Text content of a piece of HTML: tags dropped, entities decoded, ends stripped."""
     out = F.regexp_replace(c, r"<[^>]*>", "")
@@ -48,7 +52,7 @@ def labelled_field(c: Column, label: str, label_class: str, value_class: str = c
     words = r"\s+".join(re.escape(w) for w in label.split())
     pattern = (
         rf"(?s)<span\b[^>]*{_class(label_class)}[^>]*>[^<]*{words}[^<]*</span>"
-        rf"{_SIBLINGS}<(\w+)\b[^>]*{_class(value_class)}[^>]*>(.*?)</\1>"
+        rf"{_SIBLINGS}<(\w+)\b[^>]*{_class(value_class)}[^>]*>{_INNER}</\1>"
     )
     return _found(c, pattern, 2)
 

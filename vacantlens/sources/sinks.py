@@ -38,4 +38,4 @@ def write_enriched(df: DataFrame, path: str, month: str = "year_month", sort: Se
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per task."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)

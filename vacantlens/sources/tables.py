@@ -36,9 +36,13 @@ def catalog(df: DataFrame, columns: Sequence[str], required: str, order: Sequenc
     return df.where(F.col(required).isNotNull()).select(*columns).orderBy(*order)
 
 
+#: Quotes are doubled inside quoted cells, which may hold line breaks.
+CSV_QUOTING = {"quote": '"', "escape": '"', "multiLine": True}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a declared schema; large files are read in splits, no chunk loop needed."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a declared schema. A file is read by one task, as its cells may hold line breaks."""
+    return spark.read.schema(schema).options(header=True, **CSV_QUOTING).csv(path)
 
 
 def read_sheets(
@@ -51,8 +55,16 @@ def read_sheets(
     """
     parts = []
     for path, sheet, index in sheets:
-        raw = spark.read.option("header", False).csv(path)
+        # No row has more cells than its file's longest line has commas and one more.
+        commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+        width = (spark.read.text(path).agg(F.max(commas)).first()[0] or 0) + 1
+        cells = ", ".join(f"_c{i} string" for i in range(max(width, 1)))
+        raw = spark.read.schema(cells).options(header=False, **CSV_QUOTING).csv(path)
         given = [row_number, *names]
+        extra = raw.columns[len(given) :]
+        if extra:
+            used = raw.agg(*[F.count(c) for c in extra]).first()
+            raw = raw.drop(*[c for c, n in zip(extra, used) if not n])
         given += [f"extra_{i}" for i in range(len(raw.columns) - len(given))]
         part = raw.toDF(*given[: len(raw.columns)])
         part = part.withColumn(row_number, F.col(row_number).try_cast("long"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,17 +35,19 @@ def ingest(
 
     Repeats inside the watermark are dropped by the stream's state; later ones by the anti
     join with what earlier batches stored. A batch that is run again after a failure
-    overwrites its own folder, so no row is stored twice. ``split`` cleans a batch and adds
-    the column ``outcome``.
+    overwrites its own folder, so no row is stored twice. The folder is named by checkpoint and
+    batch: a query with a new checkpoint adds to the target and overwrites nothing. ``split``
+    cleans a batch and adds the column ``outcome``.
     """
     spark = landed.sparkSession
+    run = zlib.crc32(checkpoint.encode())
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = split(batch)
-        earlier = stored_before(spark, target, batch_id, rows.schema)
+        earlier = stored_before(spark, target, run, batch_id, rows.schema)
         if earlier is not None:
             rows = rows.join(earlier.select(key), key, "left_anti")
-        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{target}/batch={batch_id}")
+        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{target}/run={run}/batch={batch_id}")
 
     unique = landed.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
     return (
@@ -54,13 +58,17 @@ def ingest(
     )
 
 
-def stored_before(spark: SparkSession, target: str, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    """Rows stored by earlier batches; None for the first one."""
-    if batch_id == 0:
+def stored_before(spark: SparkSession, target: str, run: int, batch_id: int, schema: T.StructType) -> DataFrame | None:
+    """Rows stored by other runs and by earlier batches of this one; None where nothing is."""
+    try:
+        stored = read_stored(spark, target, schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return read_stored(spark, target, schema).where(F.col("batch") < batch_id)
+    return stored.where((F.col("run") != run) | (F.col("batch") < batch_id))
 
 
 def read_stored(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    full = T.StructType([*schema.fields, T.StructField("run", T.LongType()), T.StructField("batch", T.IntegerType())])
     return spark.read.schema(full).parquet(target)
