@@ -23,7 +23,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-BLOCK_IDS, LANES = 1 << 20, 1024
+BLOCK_IDS, LANES = 1 << 20, 2048
 #: Bits of the mixed total and of the order-0 total.
 MIX_BITS, ZERO_BITS = 24, 20
 MIX, ZERO = 1 << MIX_BITS, 1 << ZERO_BITS

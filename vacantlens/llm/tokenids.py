@@ -146,7 +146,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
 
 
 def _joined_crc(first: int, second: int, length: int) -> int:
-    """CRC-32 of two strings joined, from their own and the second's length."""
+    """CRC-32 of two strings joined, from their own and the second's length in bytes."""
     step = b"\0" * min(length, 1 << 20)
     moved, blank, left = first, 0, length
     while left:
@@ -181,7 +181,7 @@ def id_digests(spark: SparkSession, path: str) -> DataFrame:
         for own in parts:
             crc = own[0]["crc"]
             for part in own[1:]:
-                crc = _joined_crc(crc, part["crc"], part["length"])
+                crc = _joined_crc(crc, part["crc"], 4 * part["length"])
             out.append(crc)
         import pandas as pd
 
