@@ -28,6 +28,8 @@ FEATURE_BITS = 18
 #: Labelled rows the classifier is fitted on, at most.
 SAMPLE = 4000
 PIECE = 1 << 16
+#: Training rows the fit works on at a time.
+CHUNK = 512
 THRESHOLD = 0.7
 
 _SPACE = np.zeros(128, bool)
@@ -89,24 +91,32 @@ def fit(features: list[np.ndarray], labels: np.ndarray, penalty: float = 0.02, r
     bias = float(np.log((positive + 1) / (len(labels) - positive + 1)))
     if not len(labels) or positive in (0, len(labels)):
         return np.zeros(size, np.float32), bias
-    index = np.concatenate(features).astype(np.int32)
+    # Rows are worked on a chunk at a time: no array of all features of all rows as floats.
     counts = np.array([len(f) for f in features])
-    row = np.repeat(np.arange(len(labels), dtype=np.int32), counts)
-    p = np.bincount(index, (labels == 1)[row], size) + 1
-    q = np.bincount(index, (labels == 0)[row], size) + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    norm = 1 / np.sqrt(np.maximum(counts, 1))
-    starts = np.minimum(np.cumsum(counts) - counts, max(len(index) - 1, 0))
+    chunks = [(at, np.concatenate(features[at : at + CHUNK]).astype(np.int32, copy=False)) for at in range(0, len(features), CHUNK)]
 
     def score(w: np.ndarray) -> np.ndarray:
-        sums = np.add.reduceat(w[index], starts) if len(index) else np.zeros(len(labels))
-        return np.where(counts > 0, sums, 0) * norm
-
+        sums = np.zeros(len(labels))
+        for at, index in chunks:
+            own = counts[at : at + CHUNK]
+            sums[at : at + CHUNK] = np.where(own > 0, np.add.reduceat(np.append(w[index], 0.0), np.cumsum(own) - own), 0)
+        return sums * norm
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        for at, index in chunks:
+            out += np.bincount(index, np.repeat(values[at : at + CHUNK], counts[at : at + CHUNK]), size)
+        return out
+
+    p = by_feature((labels == 1).astype(float)) + 1
+    q = by_feature((labels == 0).astype(float)) + 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    norm = 1 / np.sqrt(np.maximum(counts, 1))
     weight, momentum, moment = np.zeros(size), np.zeros(size), np.zeros(size)
     target = (labels == 1).astype(float)
     for t in range(1, rounds + 1):  # Adam on the full batch
         wrong = 1 / (1 + np.exp(-(score(weight * ratio) + bias))) - target
-        slope = np.bincount(index, (wrong * norm)[row], size) * ratio / len(labels) + penalty * weight / len(labels)
+        slope = by_feature(wrong * norm) * ratio / len(labels) + penalty * weight / len(labels)
         momentum = 0.9 * momentum + 0.1 * slope
         moment = 0.99 * moment + 0.01 * slope**2
         weight -= 0.2 * (momentum / (1 - 0.9**t)) / (np.sqrt(moment / (1 - 0.99**t)) + 1e-9)
