@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     residue = stored(placed.join(apart.select("key", F.col("major.comp").alias("major")), "key").select("id", "comp", (F.col("comp") != F.col("major")).alias("minor")).groupBy("id", "comp").agg(F.max("minor").alias("minor")), "residue")
     late = _pairs_with(_rare_pairs(residue, sets, percent), sets, "set")
     more = stored(late.mapInArrow(_confirmed(percent), "a long, b long"), "late")
-    reached = components(links.unionByName(more))
+    # The components found so far stand for their links.
+    reached = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("_k1", "_k2", "id").join(reached, "id", "left").select("_k1", "_k2", F.coalesce("component", "id").alias("_named"))
     lonely = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = described.select("doc_id", "_k1", "_k2", "n_shingles")
