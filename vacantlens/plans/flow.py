@@ -40,9 +40,10 @@ def written_split(spark: SparkSession, root: str) -> DataFrame:
 
 
 def enriched_postings(spark: SparkSession, root: str) -> DataFrame:
-    """Raw text to the enriched table: clean, match titles and institutions, enrich, write by
-    month, read back."""
-    rows = stored_split(spark, root).drop("failed_fields", "outcome", "scraped_at", "doc_id")
+    """Raw text to the enriched table: clean, keep the complete rows, match titles and
+    institutions, enrich, write by month, read back."""
+    complete = stored_split(spark, root).where(F.col("outcome") == "complete")
+    rows = complete.drop("failed_fields", "outcome", "scraped_at", "doc_id")
     segments = table(spark, root, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.min("c_custkey").alias("isco_code"))
     titles = match.match_topk(
         distinct_keys(rows, "job_title"), segments, "job_title", "isco_code", "isco_code",
@@ -91,7 +92,7 @@ QUERIES = {
 }
 
 _SEGMENTS = "SELECT min(c_custkey) AS cid, c_mktsegment AS ct FROM customer GROUP BY c_mktsegment"
-_TITLES = "SELECT DISTINCT job_title AS kid, job_title AS kt FROM split WHERE job_title IS NOT NULL"
+_TITLES = "SELECT DISTINCT job_title AS kid, job_title AS kt FROM split WHERE outcome = 'complete'"
 _ENRICHED = f"""WITH {CLEANED_SQL}, {token_set_sql(_TITLES, _SEGMENTS)},
   titles AS (SELECT kid, cid FROM fuzzy WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY kid ORDER BY score DESC, cid) = 1),
   names AS (SELECT c_name, min(c_custkey) AS ejecutora FROM customer GROUP BY c_name),
@@ -102,7 +103,8 @@ _ENRICHED = f"""WITH {CLEANED_SQL}, {token_set_sql(_TITLES, _SEGMENTS)},
            contract_type, titles.cid AS isco_code, ejecutora, {contract_classes_sql()}, e.* EXCLUDE (pe), a.* EXCLUDE (pa),
            CAST(date_trunc('month', posting_start_date) AS DATE) AS year_month
     FROM split LEFT JOIN titles ON kid = job_title LEFT JOIN names ON c_name = institution
-    JOIN e ON pe = posting_unique_id JOIN a ON pa = posting_unique_id)"""
+    JOIN e ON pe = posting_unique_id JOIN a ON pa = posting_unique_id
+    WHERE outcome = 'complete')"""
 
 
 def _share(part: str) -> str:
