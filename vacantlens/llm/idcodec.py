@@ -36,8 +36,8 @@ _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 class _Model:
     """Order-0 to order-2 predictions shared by the lanes of a block."""
 
-    def __init__(self, vocabulary: int, lanes: int) -> None:
-        self.vocabulary, self.lanes = vocabulary, lanes
+    def __init__(self, vocabulary: int, lanes: int, decoding: bool = False) -> None:
+        self.vocabulary, self.lanes, self.decoding = vocabulary, lanes, decoding
         self.counts = np.zeros(vocabulary, np.int64)
         self.fresh: list[np.ndarray] = []
         self.step, self.rebuild = 0, 1
@@ -61,36 +61,36 @@ class _Model:
         spare = ZERO - self.vocabulary
         scaled = 1 + (self.counts * spare) // max(total, 1)
         scaled[int(scaled.argmax())] += ZERO - int(scaled.sum())
-        self.cumulative = np.concatenate([[0], np.cumsum(scaled)])
-        self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), scaled)
+        self.sizes, self.starts = scaled, np.cumsum(scaled) - scaled
+        if self.decoding:
+            self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), scaled)
 
     def _weights(self) -> None:
         rate = self.hits[:2] / self.hits[2]
         # Never all of the mass: order 0 keeps an eighth of what the two have left, or 1/64.
         scale = np.minimum(1.0, (63 / 64) / rate.sum(axis=0))
         self.share = np.floor(rate * scale * (MIX / ZERO)).astype(np.int64) * ZERO
+        # Odd states: both name the same id, which gets both shares.
+        self.share[0, 1::2] += self.share[1, 1::2]
+        self.share[1, 1::2] = 0
+        self.rest = (MIX - self.share.sum(axis=0)) >> ZERO_BITS
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """Per lane: lower candidate, its share, upper candidate, its share, order-0 factor."""
+        """Per lane: the id that order 2 names, its share, that of order 1, its share, order-0 factor."""
         self.context = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) >> 5) & ((1 << CONTEXT_BITS) - 1)
-        two, one = self.two[self.context], self.one[self.last]
-        self.guess_two, self.guess_one = two, one
-        same = two == one
-        self.state = (self.two_sure[self.context].astype(np.int64) * LEVELS + self.one_sure[self.last]) * 2 + same
-        w2, w1 = self.share[0][self.state], self.share[1][self.state]
-        w2 = np.where(same, w2 + w1, w2)
-        w1 = np.where(same, 0, w1)
-        swap = one < two
-        a, b = np.where(swap, one, two), np.where(swap, two, one)
-        wa, wb = np.where(swap, w1, w2), np.where(swap, w2, w1)
-        return a, wa, b, wb, (MIX - w2 - w1) >> ZERO_BITS
+        self.guess_two, self.guess_one = self.two[self.context].astype(np.int64), self.one[self.last].astype(np.int64)
+        sure = self.two_sure[self.context] * np.uint8(LEVELS) + self.one_sure[self.last]
+        self.state = sure.astype(np.int64) * 2 + (self.guess_two == self.guess_one)
+        return self.guess_two, self.share[0][self.state], self.guess_one, self.share[1][self.state], self.rest[self.state]
 
     def learn(self, ids: np.ndarray) -> None:
         hit_two, hit_one = ids == self.guess_two, ids == self.guess_one
         states = self.hits.shape[1]
-        self.hits[0] += np.bincount(self.state, hit_two, states)
-        self.hits[1] += np.bincount(self.state, hit_one & ~hit_two, states)
-        self.hits[2] += np.bincount(self.state, minlength=states)
+        # Outcome 1: order 2 was right, 2: order 1 alone, 0: neither.
+        outcomes = np.bincount(self.state * 3 + np.where(hit_two, 1, hit_one * 2), minlength=3 * states).reshape(states, 3)
+        self.hits[0] += outcomes[:, 1]
+        self.hits[1] += outcomes[:, 2]
+        self.hits[2] += outcomes.sum(axis=1)
         for table, sure, at, guess, hit in (
             (self.two, self.two_sure, self.context, self.guess_two, hit_two),
             (self.one, self.one_sure, self.last, self.guess_one, hit_one),
@@ -99,7 +99,7 @@ class _Model:
             replace = ~hit & (level == 0)
             sure[at] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
             table[at] = np.where(replace, ids, guess)
-        self.before, self.last = self.last, ids.astype(np.int64)
+        self.before, self.last = self.last, ids
         self.fresh.append(ids)
         self.step += 1
         if self.step == self.rebuild:
@@ -119,7 +119,7 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     """One block of at least one id, each below ``vocabulary``."""
     n = len(ids)
     lanes, steps = _lanes(n, lanes)
-    grid = np.zeros(lanes * steps, np.int32)
+    grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary, lanes)
@@ -127,43 +127,48 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     owners, words = [], []
     everyone = np.arange(lanes)
 
-    def emit(of: np.ndarray) -> None:
+    def emit(of: np.ndarray, bottom: np.ndarray) -> None:
         owners.append(of)
-        words.append((low[of] >> _U(48)).astype(np.uint16))
-        low[of] <<= _U(16)
-        span[of] <<= _U(16)
+        words.append((bottom >> _U(48)).astype(np.uint16))
 
     for symbols in grid:
         a, wa, b, wb, zero = model.predict()
-        start = model.cumulative[symbols]
-        size = (model.cumulative[symbols + 1] - start) * zero
-        start = start * zero + np.where(a < symbols, wa, 0) + np.where(b < symbols, wb, 0)
-        size += np.where(a == symbols, wa, 0) + np.where(b == symbols, wb, 0)
         part = span >> _U(MIX_BITS)
-        low += part * start.astype(np.uint64)
-        span = part * size.astype(np.uint64)
+        start, size = _interval(model, symbols, a, wa, b, wb, zero)
+        low += part * start
+        span = part * size
         _renormalise(low, span, emit)
         model.learn(symbols)
     for _ in range(4):
-        emit(everyone)
+        emit(everyone, low)
+        low <<= _U(16)
     owner, word = np.concatenate(owners), np.concatenate(words)
     order = np.argsort(owner, kind="stable")
     head = struct.pack("<4sIIII", MAGIC, n, lanes, vocabulary, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
     return head + np.bincount(owner, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
 
 
+def _interval(model: _Model, ids: np.ndarray, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width of the mixed intervals of ``ids``, of ``MIX`` in all."""
+    start = model.starts[ids] * zero + wa * (a < ids) + wb * (b < ids)
+    size = model.sizes[ids] * zero + wa * (a == ids) + wb * (b == ids)
+    return start.view(np.uint64), size.view(np.uint64)
+
+
 def _renormalise(low: np.ndarray, span: np.ndarray, shift) -> None:
     """Shift 16 settled bits at a time until every lane's span is wide enough. A span that
-    straddles a boundary is cut back to it, so no carry is ever needed."""
-    while True:
-        settled = (low ^ (low + span)) < _TOP
-        narrow = span < _BOTTOM
-        due = np.flatnonzero(settled | narrow)
-        if not len(due):
-            return
-        cut = due[~settled[due]]
-        span[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-        shift(due)
+    straddles a boundary is cut back to it, so no carry is ever needed. Only lanes that were
+    shifted are looked at again."""
+    due = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+    while len(due):
+        bottom, width = low[due], span[due]
+        loose = (bottom ^ (bottom + width)) >= _TOP
+        if loose.any():
+            width = np.where(loose, (~bottom + _U(1)) & (_BOTTOM - _U(1)), width)
+        shift(due, bottom)
+        low[due] = bottom = bottom << _U(16)
+        span[due] = width = width << _U(16)
+        due = due[((bottom ^ (bottom + width)) < _TOP) | (width < _BOTTOM)]
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -178,7 +183,7 @@ def decode_block(block: bytes) -> np.ndarray:
     words = np.concatenate([words, np.zeros(4, np.uint64)])
     place = np.cumsum(lengths) - lengths
     steps = -(-n // lanes)
-    model = _Model(vocabulary, lanes)
+    model = _Model(vocabulary, lanes, decoding=True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
@@ -186,31 +191,29 @@ def decode_block(block: bytes) -> np.ndarray:
         place += 1
     out = np.empty((steps, lanes), np.int32)
 
-    def take(of: np.ndarray) -> None:
-        code[of] = (code[of] << _U(16)) | words[np.minimum(place[of], len(words) - 1)]
-        place[of] += 1
-        low[of] <<= _U(16)
-        span[of] <<= _U(16)
+    def take(of: np.ndarray, bottom: np.ndarray) -> None:
+        at = place[of]
+        code[of] = (code[of] << _U(16)) | words[np.minimum(at, len(words) - 1)]
+        place[of] = at + 1
 
     for step in range(steps):
-        a, wa, b, wb, zero = model.predict()
+        two, w2, one, w1, zero = model.predict()
+        swap = one < two
+        a, b = np.where(swap, one, two), np.where(swap, two, one)
+        wa, wb = np.where(swap, w1, w2), np.where(swap, w2, w1)
         part = span >> _U(MIX_BITS)
-        target = np.minimum((code - low) // part, _U(MIX - 1)).astype(np.int64)
+        target = np.minimum((code - low) // part, _U(MIX - 1)).view(np.int64)
         # Where the intervals of the two candidates begin and end.
-        zero_a, zero_b = model.cumulative[a] * zero, model.cumulative[b] * zero
-        a_end = model.cumulative[a + 1] * zero + wa
-        b_start = zero_b + np.where(a < b, wa, 0)
-        b_end = model.cumulative[b + 1] * zero + wa + wb
-        plain = target - np.where(target >= a_end, wa, 0) - np.where(target >= b_end, wb, 0)
-        ids = model.inverse[np.clip(plain // zero, 0, ZERO - 1)]
+        a_start, b_start = model.starts[a] * zero, model.starts[b] * zero + wa * (a < b)
+        a_end = a_start + model.sizes[a] * zero + wa
+        b_end = b_start + model.sizes[b] * zero + wb + wa * (a == b)
+        plain = target - wa * (target >= a_end) - wb * (target >= b_end)
+        ids = model.inverse[np.clip(plain // zero, 0, ZERO - 1)].astype(np.int64)
         ids = np.where((target >= b_start) & (target < b_end), b, ids)
-        ids = np.where((target >= zero_a) & (target < a_end), a, ids)
-        start = model.cumulative[ids]
-        size = (model.cumulative[ids + 1] - start) * zero
-        start = start * zero + np.where(a < ids, wa, 0) + np.where(b < ids, wb, 0)
-        size += np.where(a == ids, wa, 0) + np.where(b == ids, wb, 0)
-        low += part * start.astype(np.uint64)
-        span = part * size.astype(np.uint64)
+        ids = np.where((target >= a_start) & (target < a_end), a, ids)
+        start, size = _interval(model, ids, a, wa, b, wb, zero)
+        low += part * start
+        span = part * size
         _renormalise(low, span, take)
         model.learn(ids)
         out[step] = ids

@@ -12,7 +12,9 @@ of its own; an empty table gives empty files and no rows; further columns are ig
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +29,21 @@ from vacantlens.session import scratch_path, ship
 
 FILES = "shard int, block int, before long, docs array<struct<doc_id:long,number:long,part:int,length:long>>, payload binary"
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-#: Distinct words of which a worker remembers the ids; beyond that it starts anew.
-REMEMBERED = 1 << 20
+#: Distinct words of which a worker remembers the ids, beyond that it starts anew, and the bytes
+#: of the longest of them.
+REMEMBERED, LONGEST = 1 << 20, 64
 
 
 class WordTokenizer:
     """Ids of whole texts of a tokenizer that drops white space: words between ASCII blanks are
-    independent there, so every distinct word is tokenised once and remembered."""
+    independent there, so every distinct word is tokenised once and remembered, very long ones
+    only for the text they stand in."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # A task has its own core; the library's thread pool only adds to its work.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
@@ -47,12 +53,16 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        missing = list(set(words).difference(known))
         if missing:
             found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
             for word, encoding in zip(missing, found):
-                known[word] = np.array(encoding.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+                known[word] = array("I", encoding.ids).tobytes()
+        ids = np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        for word in missing:
+            if len(word) > LONGEST:
+                del known[word]
+        return ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
