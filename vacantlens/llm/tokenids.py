@@ -12,7 +12,9 @@ of its own; an empty table gives empty files and no rows; further columns are ig
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,31 +34,66 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Distinct words of which a worker remembers the ids, beyond that it starts anew, and the bytes
 #: of the longest of them.
 REMEMBERED, LONGEST = 1 << 20, 64
+#: The tokenizer's own split into pieces, the words for which the pattern after it does the same
+#: in lower case (ASCII and the letters of Latin-1, which no normal form changes), and that pattern.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordTokenizer:
     """Ids of whole texts of a tokenizer that drops white space: words between ASCII blanks are
     independent there, so every distinct word is tokenised once and remembered, very long ones
-    only for the text they stand in."""
+    only for the text they stand in. Words of Latin letters are taken apart here, if the
+    tokenizer splits by ``SPLIT``, and its model sees every distinct piece once."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         # A task has its own core; the library's thread pool only adds to its work.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        rules = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        split, normal = (rules["pre_tokenizer"] or {}).get("pretokenizers", []), (rules["normalizer"] or {}).get("normalizers", [])
+        self.splits = (
+            [t["type"] for t in split] == ["Split", "ByteLevel"]
+            and (split[0]["pattern"], split[0]["behavior"], split[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+            and not (split[1]["add_prefix_space"] or split[1]["use_regex"])
+            and [t["type"] for t in normal] == ["NFC", "Replace", "Lowercase"]
+            and normal[1]["pattern"] == {"Regex": r"\s+"}
+        )
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            mapped = piece if piece.isascii() else "".join(t for t, _ in self.byte_level.pre_tokenize_str(piece))
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = ids
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().split()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        for memory in (self.known, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         known = self.known
         missing = list(set(words).difference(known))
-        if missing:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            for word, encoding in zip(missing, found):
+        rest = []
+        for word in missing:
+            plain = word.decode()
+            if self.splits and LATIN.fullmatch(plain) and not any(t in plain for t in self.added):
+                known[word] = b"".join([self._piece(p) for p in PIECES.findall(plain.lower())])
+            else:
+                rest.append(word)
+        if rest:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            for word, encoding in zip(rest, found):
                 known[word] = array("I", encoding.ids).tobytes()
         ids = np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
         for word in missing:
