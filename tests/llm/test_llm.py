@@ -264,3 +264,16 @@ def test_licence_lines_are_found(spark):
     rows += [(100, words(8, 1) + "\nReleased under the MIT License.\n"), (101, "This work is licensed under the GNU General Public License, version 3."), (102, None), (103, "")]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
     assert {(r["doc_id"], r["paragraph_no"], r["family"]) for r in found} == {(100, 1, "MIT"), (101, 0, "GPL")}
+
+
+def test_words_get_the_ids_of_the_whole_text():
+    tok, rng = tokenids.tokenizer(), random.Random(3)
+    signs = "'''stremvldSTREMVLD019.,-<|>!~abZÀÉÿßÞöØ×÷ªµ€́̌JjΣσİıК中‍😀²½"
+    assert tok.splits
+    for k in range(600):
+        text = " ".join("".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(rng.randint(0, 20)))
+        text = [text, text.replace(" ", rng.choice("\n\t\x0b\xa0\x85\x1c")), "<|endoftext|>" + text, text + " <|EndOfText|>a"][k % 4]
+        assert tok(text).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+    long = "x" * 5000
+    assert tok(long + " " + long).tolist() == tok.tokenizer.encode(long + " " + long, add_special_tokens=False).ids
+    assert not any(len(w) > tokenids.LONGEST for w in [*tok.known, *tok.pieces])
