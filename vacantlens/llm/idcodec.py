@@ -29,6 +29,9 @@ MIX_BITS, ZERO_BITS = 24, 20
 MIX, ZERO = 1 << MIX_BITS, 1 << ZERO_BITS
 CONTEXT_BITS, LEVELS = 20, 8
 
+#: Next level of confidence by level, after a miss and after a hit.
+_NEXT = np.array([k >> 1 for k in range(LEVELS)] + [min(k + 1, LEVELS - 1) for k in range(LEVELS)], np.uint8)
+
 _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 
@@ -95,10 +98,10 @@ class _Model:
             (self.two, self.two_sure, self.context, self.guess_two, hit_two),
             (self.one, self.one_sure, self.last, self.guess_one, hit_one),
         ):
-            level = sure[at]
-            replace = ~hit & (level == 0)
-            sure[at] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
-            table[at] = np.where(replace, ids, guess)
+            level = sure[at] + hit * np.uint8(LEVELS)
+            sure[at] = _NEXT[level]
+            # A wrong guess without confidence gives way.
+            table[at] = np.where(level == 0, ids, guess)
         self.before, self.last = self.last, ids
         self.fresh.append(ids)
         self.step += 1
@@ -181,7 +184,7 @@ def decode_block(block: bytes) -> np.ndarray:
     if int(lengths.sum()) != len(words) or not n:
         raise ValueError("block cut off")
     words = np.concatenate([words, np.zeros(4, np.uint64)])
-    place = np.cumsum(lengths) - lengths
+    place, final = np.cumsum(lengths) - lengths, len(words) - 1
     steps = -(-n // lanes)
     model = _Model(vocabulary, lanes, decoding=True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
@@ -193,7 +196,7 @@ def decode_block(block: bytes) -> np.ndarray:
 
     def take(of: np.ndarray, bottom: np.ndarray) -> None:
         at = place[of]
-        code[of] = (code[of] << _U(16)) | words[np.minimum(at, len(words) - 1)]
+        code[of] = (code[of] << _U(16)) | words[np.minimum(at, final)]
         place[of] = at + 1
 
     for step in range(steps):
@@ -208,7 +211,9 @@ def decode_block(block: bytes) -> np.ndarray:
         a_end = a_start + model.sizes[a] * zero + wa
         b_end = b_start + model.sizes[b] * zero + wb + wa * (a == b)
         plain = target - wa * (target >= a_end) - wb * (target >= b_end)
-        ids = model.inverse[np.clip(plain // zero, 0, ZERO - 1)].astype(np.int64)
+        # Inside a candidate's interval the quotient means nothing; that lane is set below.
+        place_in = np.minimum(plain.view(np.uint64) // zero.view(np.uint64), _U(ZERO - 1)).view(np.int64)
+        ids = model.inverse[place_in].astype(np.int64)
         ids = np.where((target >= b_start) & (target < b_end), b, ids)
         ids = np.where((target >= a_start) & (target < a_end), a, ids)
         start, size = _interval(model, ids, a, wa, b, wb, zero)
