@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import check
+import corpus_pipeline
 from vacantlens.llm import decontam, idcodec, licenses, linededup, lm, minhash, mixing, text, tokenids, topk, toxicity, warc
 from vacantlens.llm.graph import components
 from vacantlens.llm.queries import ORACLES, QUERIES
+from vacantlens.session import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 ROOT = "/root/testdata/sf0.001"
@@ -277,3 +279,20 @@ def test_words_get_the_ids_of_the_whole_text():
     long = "x" * 5000
     assert tok(long + " " + long).tolist() == tok.tokenizer.encode(long + " " + long, add_special_tokens=False).ids
     assert not any(len(w) > tokenids.LONGEST for w in [*tok.known, *tok.pieces])
+
+
+def test_pipeline_stages_keep_columns_and_take_effect(spark):
+    documents = spark.read.parquet(f"{ROOT}/documents.parquet")
+    docs, seen = documents, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, ROOT), name)
+        assert docs.columns == documents.columns
+        seen.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    classes = brute_components(list(seen[0].items()), 5, 80)
+    assert sorted(seen[1]) == sorted(i for i, v in classes.items() if v[1] == i) and set(seen[2]) <= set(seen[1])
+    got = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, ROOT).collect(), key=lambda r: r["doc_id"])
+    at, tok = 0, tokenids.tokenizer().tokenizer
+    for row, (doc_id, text) in zip(got, sorted(seen[3].items()), strict=True):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
