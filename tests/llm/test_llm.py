@@ -244,6 +244,42 @@ def test_leaks_are_found_and_clean_documents_kept(spark, docs):
     assert decontam.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 2, 4])) == 3
 
 
+def altered(item, by):
+    """The item with every fifth word another one: no run of six words is left."""
+    return " ".join(f"other{by}" if i % 5 == 3 else w for i, w in enumerate(item.split()))
+
+
+def planted(text, item):
+    own = text.split()
+    return " ".join(own[: len(own) // 2] + item.split() + own[len(own) // 2 :])
+
+
+def test_leaks_in_long_documents_do_not_drown_in_shared_columns(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{rng.randrange(10**6)}" for _ in range(30))) for k in range(4)]
+    common = [(10 + k, " ".join(f"c{rng.randrange(400)}" for _ in range(30))) for k in range(2)]
+    # 400 documents of 4,400 words: about 100 documents per column of the space.
+    rows = [(i, " ".join([f"r{rng.randrange(10**7)}" for _ in range(4000)] + [f"c{k}" for k in rng.sample(range(400), 400)])) for i in range(400)]
+    want = set()
+    for d, (k, item) in enumerate(items[:2] + common):
+        rows[d] = (d, planted(rows[d][1], item))
+        want.add((d, k))
+    for d, (k, item) in enumerate(items[2:], 100):
+        rows[d] = (d, planted(rows[d][1], altered(item, d)))
+        want.add((d, k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items + common, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()} == want
+
+
+def test_words_weigh_by_the_documents_that_hold_them(spark):
+    texts = [f"all {'some' if i < 10 else 'else'} own{i} all" for i in range(40)] + [None, " "]
+    hashed = lambda *w: next(text.word_hashes(*text.utf8(pa.array([" ".join(w)]))))[2]
+    weights = decontam.word_weights(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), hashed("own3", "never"))
+    want = [np.log(41 / (1 + n)) + 0.1 for n in (40, 10, 30, 1, 0, 1)]
+    assert np.allclose(weights(hashed("all", "some", "else", "own3", "never", "own5")), want, atol=1e-5)
+
+
 def test_masked_scores_are_log_probabilities(spark, docs):
     vocabulary, network = lm.learn(docs)
     around = np.full((lm.VOCABULARY, 2 * lm.SIDE), 3, np.int32)

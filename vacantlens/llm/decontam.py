@@ -1,23 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages of ``WINDOW`` words cover every document. Their words, hashed to ``TERMS`` terms, are
-   weighted by term frequency and the corpus's inverse document frequency (one pass, counts added
-   up over tasks); very common terms weigh nothing.
+1. Passages of ``WINDOW`` words cover every document. Every word weighs its own inverse document
+   frequency, never nothing (one pass counts the documents of every word; the weights of the
+   benchmark's words and of words in more than 1 / ``RARE`` of the documents are kept, all others
+   weigh as the rarest of these). Only then are words hashed to the ``TERMS`` columns of the space.
 2. A randomised SVD finds the latent space: every task multiplies its passages A by a seeded
    random matrix and back, A'(A R); the sums over all tasks and one small factorisation give the
    leading right singular vectors (single-pass Nystroem form).
-3. Passages, now every ``STRIDE`` words, and benchmark items are projected; a passage is a
+3. Two ways lead to candidates. Every run of ``LEAST_WORDS`` words of an item (all of a shorter
+   item) is looked up among the runs of every document, so verbatim leaks do not depend on the
+   latent space. Passages, now every ``STRIDE`` words, and benchmark items are projected; a passage is a
    candidate for the items whose cosine reaches ``COSINE`` and that share half of its words. The
    benchmark is a stated query set against all passages.
 4. A candidate stays if the longest common subsequence of words of the item and of the passage
-   with its surroundings covers ``COVER`` of the item, which also finds paraphrases that keep
+   (or of the place of the run) with its surroundings covers ``COVER`` of the item, which also finds paraphrases that keep
    word order, and if the item's answer (its last ``ANSWER`` words) is found there as well, or
    the cover is ``SURE`` without it.
 
 Defined cases: null or wordless texts and items match nothing; rows without doc_id are left out
 of the pairs; rows that repeat a doc_id or item_id give one pair; items of fewer than
 ``LEAST_WORDS`` words match only as a whole run of words; an empty benchmark or corpus gives no
-rows; further columns are ignored.
+rows; further columns are ignored. A pair that only its run shows has the cosine of the passage
+around the run, which may lie below ``COSINE``.
 """
 
 from __future__ import annotations
@@ -40,8 +44,13 @@ TERM_BITS = 14
 TERMS = 1 << TERM_BITS
 #: Dimensions of the latent space, further random directions of the range finder.
 RANK, OVERSAMPLE = 48, 8
-#: Terms in more than this share of the documents, and in more than so many, carry no weight.
-COMMON, COMMON_LEAST = 0.02, 50
+#: Words in more than 1 / RARE of the documents have weights of their own, at most RARE times the
+#: distinct words of an average document.
+RARE = 2000
+#: Bits of a word's hash that tell words apart, and that find its slot in the table of weights.
+WORD_BITS, SLOT_BITS = 48, 20
+#: Distinct words a task holds before it sends their counts on; pairs of runs looked at at a time.
+HELD, PAIRS = 1 << 21, 1 << 20
 COSINE, COVER, SURE, ANSWER, LEAST_WORDS = 0.6, 0.6, 0.75, 3, 6
 #: Share of a candidate passage's words that must be words of the item before they are aligned.
 SHARED = 0.5
@@ -62,20 +71,58 @@ def _strides(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[text] + number * step, text
 
 
-def _sums(rows: np.ndarray, terms: np.ndarray, stride: np.ndarray, n: int) -> np.ndarray:
-    """The rows of the terms added up by stride; ``stride`` rises."""
+def _sums(rows: np.ndarray, terms: np.ndarray, weight: np.ndarray, stride: np.ndarray, n: int) -> np.ndarray:
+    """The weighted rows of the terms added up by stride; ``stride`` rises."""
     out = np.zeros((n, rows.shape[1]), np.float32)
     if len(terms):
         first = np.flatnonzero(np.append(True, stride[1:] != stride[:-1]))
-        out[stride[first]] = np.add.reduceat(rows[terms], first, axis=0)
+        out[stride[first]] = np.add.reduceat(rows[terms] * weight[:, None], first, axis=0)
     return out
 
 
-def _weighty(words: np.ndarray, at: np.ndarray, weighs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, strides) of the words whose term has a weight."""
-    terms = _terms(words)
-    keep = weighs[terms]
-    return terms[keep], (np.searchsorted(at, np.flatnonzero(keep), "right") - 1)
+def _keys(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(64 - WORD_BITS)
+
+
+class Weights:
+    """Weights of words by hash, and one for all other words. A slot holds its most frequent
+    word; the few words that share a slot are found by bisection."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int, total: int) -> None:
+        def idf(n: np.ndarray) -> np.ndarray:
+            return (np.log((1 + total) / (1 + n)) + 0.1).astype(np.float32)
+
+        order = np.argsort(counts, kind="stable")
+        keys, weight = keys[order], idf(counts[order])
+        slot = self._slot(keys)
+        self.other = idf(np.array([least]))[0]
+        self.key, self.weight = np.full(1 << SLOT_BITS, np.iinfo(np.uint64).max), np.zeros(1 << SLOT_BITS, np.float32)
+        self.key[slot], self.weight[slot] = keys, weight
+        self.crowded = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        rest = np.flatnonzero(self.crowded[slot])
+        rest = rest[np.argsort(keys[rest])]
+        self.rest, self.rest_weight = keys[rest], weight[rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(WORD_BITS - SLOT_BITS)).astype(np.int64)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        keys = _keys(words)
+        slot = self._slot(keys)
+        hit = self.key[slot] == keys
+        out = np.where(hit, self.weight[slot], self.other)
+        if len(self.rest):
+            others = np.flatnonzero(~hit & self.crowded[slot])
+            at = np.minimum(np.searchsorted(self.rest, keys[others]), len(self.rest) - 1)
+            same = self.rest[at] == keys[others]
+            out[others[same]] = self.rest_weight[at[same]]
+        return out
+
+
+def _owners(at: np.ndarray, n: int) -> np.ndarray:
+    """The stride of each of ``n`` words."""
+    return np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
 
 
 def _passages(strides: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,81 +139,121 @@ def _passages(strides: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[first], first
 
 
-def _document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents that hold each term, documents with words), summed over the tasks."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, their counts added up)."""
+    every, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every, count = every[order], count[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def word_weights(docs: DataFrame, known: np.ndarray) -> Weights:
+    """The weights of words by the documents of ``docs`` (text) that hold them, exact for the
+    hashes ``known`` and for every word in more than 1 / RARE of the documents."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(TERMS, np.int64), 0
+        keys, counts, held, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(counts[0])], names=["word", "n"])
+
         for batch in batches:
             for _, sizes, words in word_hashes(*utf8(batch.column(0))):
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                pairs = np.unique((owner << TERM_BITS | _terms(words)).astype(np.int32 if len(sizes) < 1 << 16 else np.int64))
-                counts += np.bincount(pairs & (TERMS - 1), minlength=TERMS)
                 total += int((sizes > 0).sum())
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(counts[found], total))], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    counts, term, n = np.zeros(TERMS, np.int64), rows.column("term").to_numpy(), rows.column("n").to_numpy()
-    counts[term[term >= 0]] = n[term >= 0]
-    return counts, int(n[term < 0].sum())
-
-
-def _range(docs: DataFrame, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
+                ends = np.cumsum(sizes)
+                # Text and word in one number: at most 65,536 texts at a time.
+                for low in range(0, len(sizes), 1 << (64 - WORD_BITS)):
+                    own = sizes[low : low + (1 << (64 - WORD_BITS))]
+                    here = words[ends[low] - sizes[low] : ends[low + len(own) - 1]]
+                    owner = np.repeat(np.arange(len(own), dtype=np.uint64), own)
+                    pairs = _distinct(owner << np.uint64(WORD_BITS) | _keys(here))
+                    found, n = np.unique(pairs & np.uint64((1 << WORD_BITS) - 1), return_counts=True)
+                    keys.append(found)
+                    counts.append(n)
+                    held += len(found)
+            if held > HELD:
+                one, n = _merged(keys, counts)
+                keys, counts, held = [one], [n], 0
+                if len(one) > HELD // 2:
+                    yield sent()
+                    keys, counts = [one[:0]], [n[:0]]
+        one, n = _merged(keys, counts)
+        keys, counts = [np.append(one, np.iinfo(np.uint64).max)], [np.append(n, total)]
+        yield sent()
+
+    least = max(1, docs.count() // RARE)
+    wanted = pa.table({"word": np.unique(_keys(known)).astype(np.int64)})
+    wanted = spark.createDataFrame(wanted).select("word", F.lit(0).cast("long").alias("n"), F.lit(True).alias("kept"))
+    counted = docs.select("text").mapInArrow(run, "word long, n long").withColumn("kept", F.col("word") == -1)
+    summed = counted.unionByName(wanted).groupBy("word").agg(F.sum("n").alias("n"), F.max("kept").alias("kept"))
+    rows = summed.where((F.col("n") > least) | F.col("kept")).select("word", "n").toArrow()
+    word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
+    real = word >= 0
+    return Weights(word[real].astype(np.uint64), n[real], least, int(n[~real].sum()))
+
+
+def _range(docs: DataFrame, weights: Weights, directions: np.ndarray) -> np.ndarray:
     """A'(A R) over all texts, cut into passages that follow one another."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(((idf[:, None] * directions).astype(np.float32), idf > 0))
+    shipped = spark.sparkContext.broadcast((directions.astype(np.float32), weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, weighs = shipped.value
+        rows, weighed = shipped.value
         total = np.zeros(rows.shape, np.float32)
         for batch in batches:
             for _, sizes, words in word_hashes(*utf8(batch.column(0))):
-                at, _ = _strides(sizes, WINDOW)
-                terms, stride = _weighty(words, at, weighs)
-                if not len(terms):
+                if not len(words):
                     continue
-                passages = _sums(rows, terms, stride, len(at))
+                at, _ = _strides(sizes, WINDOW)
+                terms, weight, stride = _terms(words), weighed(words), _owners(at, len(words))
+                passages = _sums(rows, terms, weight, stride, len(at))
                 # Back: every word of a passage adds the passage's row to its term.
                 order = np.argsort(terms.astype(np.uint16), kind="stable")
                 own = terms[order]
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                total[own[first]] += np.add.reduceat(passages[stride[order]], first, axis=0)
+                total[own[first]] += np.add.reduceat(passages[stride[order]] * weight[order, None], first, axis=0)
         yield from partial(total)
 
-    return idf[:, None] * add_up(docs.select("text").mapInArrow(run, PARTIAL), directions.shape)
+    return add_up(docs.select("text").mapInArrow(run, PARTIAL), directions.shape)
 
 
 @dataclass
 class LatentSpace:
     """``projection`` maps terms to the latent space, every direction divided by its singular
     value, so that the few leading directions do not decide every cosine; ``values`` holds the
-    singular values."""
+    singular values, ``weights`` those of the words."""
 
     projection: np.ndarray
     values: np.ndarray
+    weights: Weights
 
 
-def latent_space(docs: DataFrame, rank: int = RANK, seed: int = 42) -> LatentSpace:
-    """Randomised SVD of the TF-IDF passages of ``docs`` (text)."""
-    counts, total = _document_counts(docs)
-    idf = np.log((1 + total) / (1 + counts)) + 0.1
-    idf[counts > max(COMMON_LEAST, COMMON * total)] = 0
+def latent_space(docs: DataFrame, known: np.ndarray, rank: int = RANK, seed: int = 42) -> LatentSpace:
+    """Randomised SVD of the TF-IDF passages of ``docs`` (text); ``known``: hashes of the
+    benchmark's words."""
+    weights = word_weights(docs, known)
     directions = np.random.default_rng(seed).standard_normal((TERMS, rank + OVERSAMPLE))
-    image = _range(docs, idf, directions)
+    image = _range(docs, weights, directions)
     # G ~ Y (R'Y)^-1 Y' for G = A'A: with R'Y = L L', G ~ B B', B = Y L^-T.
     small = directions.T @ image
     small = (small + small.T) / 2
     value, vector = np.linalg.eigh(small)
     keep = value > max(float(value.max(initial=0)), 0) * 1e-9
     if not keep.any():
-        return LatentSpace(np.zeros((TERMS, rank), np.float32), np.zeros(rank))
+        return LatentSpace(np.zeros((TERMS, rank), np.float32), np.zeros(rank), weights)
     root = image @ (vector[:, keep] / np.sqrt(value[keep]))
     left, singular, _ = np.linalg.svd(root, full_matrices=False)
     basis = np.zeros((TERMS, rank))
     found = min(rank, left.shape[1])
     basis[:, :found] = left[:, :found] / np.maximum(singular[:found], 1e-12)
-    return LatentSpace((idf[:, None] * basis).astype(np.float32), singular[:rank])
+    return LatentSpace(basis.astype(np.float32), singular[:rank], weights)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -205,6 +292,57 @@ def _shared(words: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndar
     return count
 
 
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every run of ``size`` words."""
+    span = max(0, len(words) - size + 1)
+    out = np.zeros(span, np.uint64)
+    for k in range(size if span else 0):
+        out += words[k : k + span] * (mix(np.array([k + 1], np.uint64))[0] | np.uint64(1))
+    return mix(out)
+
+
+class ItemRuns:
+    """The runs of every item's words, by size of run: (hash, item, place in the item), and
+    whether any hash begins with the same bits."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, words) in enumerate(items):
+            size = min(len(words), LEAST_WORDS)
+            found.setdefault(size, []).append((_runs(words, size), k))
+        self.by_size = {}
+        for size, own in found.items():
+            hashes = np.concatenate([h for h, _ in own])
+            item = np.concatenate([np.full(len(h), k) for h, k in own])
+            place = np.concatenate([np.arange(len(h)) for h, _ in own])
+            order = np.argsort(hashes, kind="stable")
+            begins = np.zeros(1 << SLOT_BITS, bool)
+            begins[hashes >> np.uint64(64 - SLOT_BITS)] = True
+            self.by_size[size] = hashes[order], item[order], place[order], begins
+
+    def among(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, where the item would begin, first common run) of each run shared with a text;
+        runs that place an item alike come once in a slice."""
+        for size, (hashes, item, offset, begins) in self.by_size.items():
+            own = _runs(words, size)
+            place = np.flatnonzero(begins[own >> np.uint64(64 - SLOT_BITS)])
+            text = np.searchsorted(ends, place, "right")
+            place = place[place + size <= ends[text]]
+            low = np.searchsorted(hashes, own[place])
+            count = np.searchsorted(hashes, own[place], "right") - low
+            place, low, count = place[count > 0], low[count > 0], count[count > 0]
+            upto = np.cumsum(count)
+            for start in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                pair = np.arange(start, min(start + PAIRS, int(upto[-1])))
+                run = np.searchsorted(upto, pair, "right")
+                at = low[run] + pair - (upto[run] - count[run])
+                begin = place[run] - offset[at]
+                order = np.lexsort((place[run], begin, item[at]))
+                one = np.append(True, (np.diff(item[at][order]) != 0) | (np.diff(begin[order]) != 0))
+                order = order[one]
+                yield item[at][order], begin[order], place[run][order]
+
+
 def _shown(item: np.ndarray, text: np.ndarray) -> tuple[float, bool]:
     """(share of the item that is a common subsequence, whether its answer is in the text)."""
     cover = common_subsequence(item, text) / len(item)
@@ -232,31 +370,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     row per pair, with the best passage's figures."""
     spark = bounded_batches(ship(docs.sparkSession))
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    space = latent_space(texts)
     items = _items(benchmark)
     if not items:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, cover double")
+    space = latent_space(texts, np.concatenate([words for _, words in items]))
     # An item longer than a passage has passages of its own: any of them may meet a document's.
     owner, pieces, keys = [], [], []
     for k, (_, words) in enumerate(items):
         keys.append(_keyed(words, np.full(len(words), k)))
         for at in range(0, max(1, len(words) - STRIDE + 1), WINDOW):
-            pieces.append(space.projection[_terms(words[at : at + WINDOW])].sum(axis=0))
+            piece = words[at : at + WINDOW]
+            pieces.append(space.weights(piece) @ space.projection[_terms(piece)])
             owner.append(k)
     query = _unit(np.array(pieces, np.float32))
-    shipped = spark.sparkContext.broadcast((space.projection, query, np.array(owner), items, np.unique(np.concatenate(keys))))
+    shipped = spark.sparkContext.broadcast((space.projection, space.weights, query, np.array(owner), items, np.unique(np.concatenate(keys)), ItemRuns(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projection, asked, owners, known, vocabulary = shipped.value
-        weighs = projection.any(axis=1)
+        projection, weighed, asked, owners, known, vocabulary, runs = shipped.value
         lengths = np.array([len(w) for _, w in known])
         for batch in batches:
             for base, sizes, words in word_hashes(*utf8(batch.column(0))):
                 best: dict[tuple[int, int], tuple[float, float]] = {}
                 at, text = _strides(sizes, STRIDE)
-                terms, stride = _weighty(words, at, weighs)
-                rows, first = _passages(_sums(projection, terms, stride, len(at)), text)
+                if not len(words):
+                    continue
+                rows, first = _passages(_sums(projection, _terms(words), weighed(words), _owners(at, len(words)), len(at)), text)
                 rows, ends = _unit(rows), np.cumsum(sizes)
+                for item, begin, place in runs.among(words, ends):
+                    own = np.searchsorted(ends, place, "right")
+                    shared = _shared(words, place, ends[own], item, vocabulary)
+                    for c in np.flatnonzero(shared >= SHARED * np.minimum(lengths[item], WINDOW)).tolist():
+                        k, o = int(item[c]), int(own[c])
+                        if best.get((o, k), (0.0, 0.0))[0] == 1:
+                            continue
+                        span, low = known[k][1], int(begin[c])
+                        near = words[max(int(ends[o] - sizes[o]), low - len(span)) : min(int(ends[o]), low + 2 * len(span))]
+                        found, answered = _shown(span, near)
+                        if found >= (cover if len(span) >= LEAST_WORDS else 1.0) and (answered or found >= SURE):
+                            # The passages of a text begin with it: the one that holds the place.
+                            p = int(np.searchsorted(at[first], place[c], "right")) - 1
+                            own_pieces = slice(*np.searchsorted(owners, [k, k + 1]))
+                            best[o, k] = max(best.get((o, k), (0.0, 0.0)), (found, float((asked[own_pieces] @ rows[p]).max())))
                 for low in range(0, len(rows), 4096):
                     close = rows[low : low + 4096] @ asked.T
                     passage, which = np.nonzero(close >= cosine)
