@@ -272,6 +272,23 @@ def test_leaks_in_long_documents_do_not_drown_in_shared_columns(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()} == want
 
 
+def test_leaks_held_by_many_documents_are_found(spark):
+    items = [(k, words(30, 700 + k)) for k in range(3)]
+    rows, want = [], set()
+    for i in range(1100):
+        held = [k for k, share in enumerate((20, 3)) if i % share == 0] + [2] * (i % 20 == 1)
+        for k in held:
+            want.add((i, k))
+        own = words(60, 20_000 + i)
+        for k in held:
+            own = planted(own, altered(items[k][1], i) if k == 2 else items[k][1])
+        rows.append((i, own))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {p for p in got if p[1] < 2} == {p for p in want if p[1] < 2}
+    assert got <= want and sum(k == 2 for _, k in got) >= 0.9 * sum(k == 2 for _, k in want)
+
+
 def test_words_weigh_by_the_documents_that_hold_them(spark):
     texts = [f"all {'some' if i < 10 else 'else'} own{i} all" for i in range(40)] + [None, " "]
     hashed = lambda *w: next(text.word_hashes(*text.utf8(pa.array([" ".join(w)]))))[2]
