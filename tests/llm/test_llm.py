@@ -162,6 +162,14 @@ def test_mix_is_near_its_targets(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_small_source_of_a_large_corpus_meets_its_target(spark):
+    rows = [(i, words(20, i), "big") for i in range(3000)] + [(9000 + i, words(20, i), "a") for i in range(30)] + [(9900, words(20, 1), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(df, ["source"], shard_rows=50).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert {r["source"]: r["target"] for r in got}["a"] == 1800
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got)
+
+
 def test_line_dedup_cases(spark):
     rows = [(i, f"own {i}\n \tCommon é Line \n\nlast") for i in range(12)] + [(50, None), (51, ""), (51, ""), (52, "common é line"), (53, "COMMON É LINE")]
     got = {r["doc_id"]: r for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

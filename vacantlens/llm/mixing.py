@@ -2,8 +2,10 @@
 
 The mix has as many words as the corpus. Its equal blocks of ``BLOCK`` words are seats: sources
 win them by the highest quotients of their targets, and inside a source its shards win the
-source's seats the same way, so every shard has an integer quota. A shard is a seeded order of
-some of a source's documents, cut into blocks; a quota of m whole rounds and r more takes every
+source's seats the same way, so every shard has an integer quota. A source has shards by its own
+rows, one if it is small. A shard is a seeded order of some of a source's documents, cut into
+blocks; the last may be shorter, so the seats' words are turned into blocks of the shard's mean
+length. A quota of m whole rounds and r more takes every
 block m times and r of its n blocks once more, evenly spaced from a seeded start. How many of
 those lie before a word is a closed form, so no row per block is ever made.
 
@@ -81,8 +83,11 @@ def plan_mix(docs: DataFrame, keep: list[str], source: str = "source", text: str
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(source).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), words.alias("size"))
     drawn = _drawn(F.lit(str(seed)), F.col("_id"))
-    parts = max(1, -(-docs.count() // shard_rows))
-    placed = rows.withColumn("_draw", drawn).withColumn("_shard", F.col("_draw") % F.lit(parts))
+    # Only sources of several shards are gathered: at most one for every shard_rows documents.
+    large = rows.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).collect()
+    parts = docs.sparkSession.createDataFrame([(r["source"], -(-r["n"] // shard_rows)) for r in large], "_p string, _parts long")
+    known = rows.join(parts, F.col("source").cast("string").eqNullSafe(F.col("_p")), "left")
+    placed = known.withColumn("_draw", drawn).withColumn("_shard", F.col("_draw") % F.coalesce("_parts", F.lit(1))).drop("_p", "_parts")
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"))
     sources = targets(shards.groupBy("source").agg(F.sum("_words").alias("source_size")), ceiling)
     seats = sources.withColumn("_seats", F.floor(F.sum("source_size").over(W.partitionBy()) / block + 0.5).cast("long"))
@@ -91,7 +96,8 @@ def plan_mix(docs: DataFrame, keep: list[str], source: str = "source", text: str
     quotas = apportion(inner, ["source"], ["_shard"], "_words", "_own")
     shaped = (
         quotas.withColumn("_n", F.ceil(F.col("_words") / block).cast("long"))
-        .withColumn("_q", F.least("quota", F.lit(ceiling) * F.col("_n")))
+        .withColumn("_blocks", F.when(F.col("_n") > 0, F.floor(F.col("quota") * (block * F.col("_n") / F.col("_words")) + 0.5)).otherwise(0).cast("long"))
+        .withColumn("_q", F.least("_blocks", F.lit(ceiling) * F.col("_n")))
         .withColumn("_whole", F.when(F.col("_n") > 0, F.expr("_q div _n")).otherwise(0))
         .withColumn("_r", F.when(F.col("_n") > 0, F.col("_q") % F.col("_n")).otherwise(0))
         .withColumn("_o", F.when(F.col("_n") > 0, _drawn(F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("_shard").cast("string")) % F.col("_n")).otherwise(0))
