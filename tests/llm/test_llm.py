@@ -329,6 +329,15 @@ def test_licence_lines_are_found(spark):
     assert {(r["doc_id"], r["paragraph_no"], r["family"]) for r in found} == {(100, 1, "MIT"), (101, 0, "GPL")}
 
 
+def test_frequent_lines_take_one_place_of_the_sample(spark):
+    distinct = spark.createDataFrame([([f"w{i}", "of", "it"],) for i in range(100)], "words array<string>")
+    first = distinct.orderBy(F.xxhash64("words")).limit(1)
+    lines = distinct.union(first.crossJoin(spark.range(500)).select("words"))
+    got = [tuple(r["words"]) for r in licenses._sampled(lines, 40).collect()]
+    want = [tuple(r["words"]) for r in distinct.orderBy(F.xxhash64("words")).limit(40).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_words_get_the_ids_of_the_whole_text():
     tok, rng = tokenids.tokenizer(), random.Random(3)
     signs = "'''stremvldSTREMVLD019.,-<|>!~abZÀÉÿßÞöØ×÷ªµ€́̌JjΣσİıК中‍😀²½"

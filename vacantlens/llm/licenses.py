@@ -130,6 +130,15 @@ def _margin(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_best", F.array_position(known, best).cast("int")).withColumn("_margin", best - raw[0]).drop("_scores")
 
 
+def _sampled(lines: DataFrame, sample: int, wanted: Column | None = None) -> DataFrame:
+    """A bounded sample by hash of the distinct wanted lines, however often each of them occurs.
+    Only hashes are shuffled; the last one in the sample then bounds the lines that are."""
+    wanted, code = F.lit(True) if wanted is None else wanted, F.xxhash64("words")
+    first = lines.where(wanted).select(code.alias("code")).distinct().orderBy("code").limit(sample)
+    last = first.agg(F.max("code").alias("last")).first()["last"]
+    return lines.where(code <= F.lit(last).cast("long")).where(wanted).select("words").distinct().orderBy(code, "words").limit(sample)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit the families, then calibrate the unknown class on rows held out by hash."""
     spark = docs.sparkSession
@@ -141,9 +150,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
         parts.append(F.transform(starts, lambda i, size=size: F.slice("words", i, F.lit(size))))
     positive = templates.select("family", F.explode(F.concat(*parts)).alias("words")).distinct()
     known = templates.select(F.explode("runs").alias("run")).agg(F.collect_set("run").alias("runs")).first()["runs"]
-    lines = paragraphs(docs).where(~F.arrays_overlap(runs_of(F.col("words"), 3), F.array(*[F.lit(r) for r in known])))
-    # A bounded sample by hash: one narrow pass and a top-n.
-    negative = lines.select("words").orderBy(F.xxhash64("words"), "words").limit(sample).select(F.lit(UNKNOWN).alias("family"), "words").distinct()
+    unlike = ~F.arrays_overlap(runs_of(F.col("words"), 3), F.array(*[F.lit(r) for r in known]))
+    negative = _sampled(paragraphs(docs), sample, unlike).select(F.lit(UNKNOWN).alias("family"), "words")
     number = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
     rows = _hashed(positive.unionByName(negative).withColumn("label", number.cast("double")))
     rows = rows.withColumn("_held", F.pmod(F.xxhash64("family", "words"), F.lit(4)) == 0).repartition(2).cache()
