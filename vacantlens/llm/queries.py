@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantlens.llm import decontam, licenses, linededup, lm, minhash, mixing, tokenids, topk, toxicity, warc
+from vacantlens.llm import decontam, licenses, linededup, lm, minhash, mixing, repeats, tokenids, topk, toxicity, warc
 from vacantlens.session import ship
 
 
@@ -68,6 +68,12 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontam.contaminated(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Words of 35-word windows that stand elsewhere too leave every document."""
+    kept = repeats.remove_repeats(_table(spark, root, "documents").select("doc_id", "text"), size=35)
+    return kept.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 _UPPER, _LOWER = linededup.UPPER, linededup.LOWER
@@ -127,4 +134,16 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON f.key = k.key GROUP BY doc_id
     """,
+    "op12_substring_dedup": """
+        WITH w AS (SELECT doc_id, row_number() OVER () AS r,
+                          list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        p AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+        k AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS key FROM p),
+        d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY key) AS n FROM k) WHERE n > 1),
+        g AS (SELECT r, list(DISTINCT place) AS gone FROM (SELECT r, unnest(range(i, i + 35)) AS place FROM d) GROUP BY r)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1),
+                 lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN g USING (r)
+    """,
 }
