@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantlens.llm import decontam, licenses, linededup, lm, minhash, mixing, repeats, tokenids, topk, toxicity, warc
+from vacantlens.llm import collocations, decontam, licenses, linededup, lm, minhash, mixing, prefixtrie, repeats, tokenids, topk, toxicity, warc
 from vacantlens.session import ship
 
 
@@ -68,12 +68,23 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontam.contaminated(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations with its subtree's leaves and savings."""
+    turns = prefixtrie.ordered_turns(_table(spark, root, "conversations"))
+    return prefixtrie.prefix_trie(*prefixtrie.shared_heads(turns, every=20, most=4))
+
+
 def op12_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Words of 35-word windows that stand elsewhere too leave every document."""
     kept = repeats.remove_repeats(_table(spark, root, "documents").select("doc_id", "text"), size=35)
     return kept.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, root: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two or three words."""
+    return collocations.collocations(_table(spark, root, "documents"), 2, 3, least=10, percent=50, per_lang=2000)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_minhash": op2_minhash,
@@ -85,7 +96,9 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 _UPPER, _LOWER = linededup.UPPER, linededup.LOWER
@@ -134,6 +147,30 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON f.key = k.key GROUP BY doc_id
     """,
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos,
+                     length(role) || ':' || role || text AS one, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w FROM t),
+        -- CRC-32 of the decimal id: a byte is added, then eight shifts.
+        z AS (SELECT c, n, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+                       lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 4 AS h
+              FROM (SELECT c, max(pos) AS n FROM o GROUP BY c)),
+        m AS (SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS taken FROM z a LEFT JOIN z b ON b.c = a.base),
+        r AS (SELECT m.c, pos AS k, one, w FROM m JOIN o ON o.c = m.base AND pos <= taken
+              UNION ALL SELECT m.c, pos - h + taken, one, w FROM m JOIN o ON o.c = m.c AND pos > h),
+        s AS (SELECT m.c, coalesce(l, []) AS l, coalesce(ws, []) AS ws FROM m LEFT JOIN (SELECT c, list(one ORDER BY k) AS l, list(w ORDER BY k) AS ws FROM r GROUP BY c) USING (c)),
+        p AS (SELECT c, d, l[1:d] AS key, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(l) AS here FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM s)),
+        n AS (SELECT key, d, min(c) AS c, count(*) AS n, max(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (here), '') AS ids FROM p GROUP BY key, d),
+        b AS (SELECT p.c AS member, p.d, n.c FROM p JOIN n ON n.key = p.key AND n.d = p.d),
+        u AS (SELECT n.c, n.d, b.c AS parent FROM n JOIN b ON b.member = n.c AND b.d = n.d - 1),
+        k AS (SELECT parent AS c, d - 1 AS d, count(*) AS children FROM u GROUP BY parent, d),
+        v AS (SELECT b.c, b.d, count(*) FILTER (k.children IS NULL) AS leaves, sum((n.n - 1) * n.w) AS saved
+              FROM n JOIN b ON b.member = n.c AND b.d <= n.d LEFT JOIN k ON k.c = n.c AND k.d = n.d GROUP BY b.c, b.d)
+        SELECT n.c AS conv_id, n.d AS depth, u.parent AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0) AS n_children,
+               v.leaves AS n_leaves, CAST(v.saved AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256
+        FROM n JOIN v ON v.c = n.c AND v.d = n.d LEFT JOIN u ON u.c = n.c AND u.d = n.d LEFT JOIN k ON k.c = n.c AND k.d = n.d
+    """,
     "op12_substring_dedup": """
         WITH w AS (SELECT doc_id, row_number() OVER () AS r,
                           list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -146,4 +183,24 @@ ORACLES = {
                  lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN g USING (r)
     """,
+    "op13_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS ph, k FROM w, (VALUES (1), (2), (3)) v(k)),
+        f AS (SELECT lang, ph, k, count(*) AS f FROM g GROUP BY lang, ph, k),
+        c AS (SELECT lang, ph, k, f AS a, string_split(ph, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+        cut AS (SELECT lang, ph, a, k, ws, unnest(range(1, k)) AS j FROM c),
+        s AS (SELECT cut.lang, cut.ph, cut.a, j, l.f AS l, r.f AS r,
+                     CAST((CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+              FROM cut JOIN f l ON l.lang = cut.lang AND l.ph = array_to_string(ws[1:j], ' ') JOIN f r ON r.lang = cut.lang AND r.ph = array_to_string(ws[j + 1:], ' ')),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+        longer AS (SELECT lang, ph, max(a) AS a FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS ph, a FROM c WHERE k = 3
+                     UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, ph),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        r AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.ph) AS rank, b.ph AS phrase, b.a, b.l, b.r, n.n, b.score
+              FROM best b JOIN n ON n.lang = b.lang LEFT JOIN longer o ON o.lang = b.lang AND o.ph = b.ph
+              WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+        SELECT * FROM r WHERE rank <= 2000
+    """,
 }
