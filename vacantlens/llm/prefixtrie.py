@@ -257,7 +257,7 @@ def ranked(elements: DataFrame, last: int = LAST) -> DataFrame:
         rest = stored(
             mail.groupBy("c", "z").agg(newest("nc", "_n"), newest("nz", "_n"), F.sum("len").alias("len"), newest("pc", "_p"), newest("pz", "_p")), "list"
         )
-    out = rest.groupBy(F.lit(0)).applyInArrow(_walked, "c long, z long, pos long")
+    out = rest.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_walked, "c long, z long, pos long")
     for marked in reversed(rounds):
         kept = marked.where(~F.col("gone")).join(out, ["c", "z"]).select("c", "z", "pos", "len")
         ahead = kept.select(F.col("c").alias("pc"), F.col("z").alias("pz"), (F.col("pos") + F.col("len")).alias("pos"))
