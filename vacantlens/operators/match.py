@@ -5,7 +5,9 @@ row: each task scores its keys against a block of the catalog and hands on at mo
 rows per key. A catalog within ``max_broadcast`` rows and ``MAX_BLOCK_BYTES`` (measured, not
 assumed) is one block, sent to every task. A larger catalog is split into blocks and the
 keys into chunks of such sizes; chunk and block meet in a co-group and a final top-k merges
-the blocks. Both ways are exact.
+the blocks. Both ways are exact. Names of a larger catalog are first looked up by a filter join
+(``similarity``), which never meets most entries; only keys with fewer than ``k`` entries of
+``SIMILAR_FROM`` or more meet the blocks, and none does if the threshold is that high.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantlens.operators.scoring import as_matrix, comparable, prepare_catalog
+from vacantlens.operators.similarity import similarity_join
+from vacantlens.session import stored
 
 MAX_BROADCAST_ROWS = 20_000
 KEY_CHUNK_ROWS = 20_000
 MAX_BLOCK_BYTES = 128 << 20
+#: Scores from which the filter join is selective.
+SIMILAR_FROM = 75
 _SCORE_ROWS = 512  # keys scored per matrix product, bounds memory in the task
 
 
@@ -97,20 +103,38 @@ def match_topk(
     if blocks == 1:
         partial = _against_broadcast(k_rows, c_rows.toPandas(), schema, fuzzy, semantic, k, threshold)
     else:
-        chunks = _pieces(k_rows, key_chunk)
-        partial = _against_blocks(k_rows, c_rows, schema, fuzzy, semantic, k, threshold, blocks, chunks)
-    # A code found on two levels is one candidate, with its better score.
+        # Names that have enough alike are done by the filter join; it is whole at its threshold.
+        near = None if semantic else stored(_best(_alike(k_rows, c_rows, max(threshold, SIMILAR_FROM)), k), "alike")
+        if near is not None and threshold >= SIMILAR_FROM:
+            partial = near.drop("rank")
+        else:
+            if near is not None:
+                done = near.groupBy("_key").agg(F.max("rank").alias("_found")).where(F.col("_found") >= k).select("_key")
+                k_rows = stored(k_rows.join(done, "_key", "left_anti"), "rest")
+            partial = _against_blocks(k_rows, c_rows, schema, fuzzy, semantic, k, threshold, blocks, _pieces(k_rows, key_chunk))
+            if near is not None:
+                partial = partial.unionByName(near.join(done, "_key", "left_semi").drop("rank"))
+    return _best(partial, k).select(
+        F.col("_key").alias(key), F.col("_code").alias(code),
+        "semantic_confidence", "fuzzy_confidence", "best_confidence", "rank",
+    )
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of each key, ranked. A code found on two levels is one candidate, with its better score."""
     own = W.partitionBy("_key", "_code").orderBy(F.desc("best_confidence"), "_position")
-    partial = partial.withColumn("_copy", F.row_number().over(own)).where(F.col("_copy") == 1).drop("_copy")
+    found = found.withColumn("_copy", F.row_number().over(own)).where(F.col("_copy") == 1).drop("_copy")
     best_first = W.partitionBy("_key").orderBy(F.desc("best_confidence"), "_position", "_code")
-    return (
-        partial.withColumn("rank", F.row_number().over(best_first).cast("long"))
-        .where(F.col("rank") <= k)
-        .select(
-            F.col("_key").alias(key), F.col("_code").alias(code),
-            "semantic_confidence", "fuzzy_confidence", "best_confidence", "rank",
-        )
-    )
+    return found.withColumn("rank", F.row_number().over(best_first).cast("long")).where(F.col("rank") <= k)
+
+
+def _alike(keys: DataFrame, catalog: DataFrame, threshold: int) -> DataFrame:
+    """All entries of a key's levels whose texts score ``threshold`` or more."""
+    entries = catalog.select(F.struct("_code", "_position", "_level").alias("_entry"), "_text")
+    pairs = similarity_join(keys.select("_key", "_text").distinct(), entries, "_key", "_entry", "_text", "_text", threshold)
+    zero = F.lit(0).cast("long")
+    found = pairs.select("_key", "_entry.*", zero.alias("semantic_confidence"), F.col("score").alias("fuzzy_confidence"), F.col("score").alias("best_confidence"))
+    return found.join(keys.select("_key", "_level"), ["_key", "_level"]).drop("_level")
 
 
 def _pieces(rows: DataFrame, max_rows: int) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantlens.operators.incremental import distinct_keys, pending_keys
 from vacantlens.operators.match import candidate_table, match_topk
+from vacantlens.operators.similarity import similarity_join
 from vacantlens.sources.tables import table, text_table
 
 
@@ -65,7 +66,23 @@ def level_restricted_match(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def sentences(spark: SparkSession, root: str, name: str, most: int) -> DataFrame:
+    """Distinct sentences of a table's texts with 12 to ``most`` characters."""
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"[.\n]"), lambda part: F.trim(part))
+    found = text_table(spark, root, name).select(F.explode(parts).alias("sentence"))
+    return found.where(F.char_length("sentence").between(12, most)).distinct()
+
+
+def similar_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """Every pair of a short sentence of a conversation and one of a document that score 90 or more."""
+    keys, names = sentences(spark, root, "conversations", 40), sentences(spark, root, "documents", 55)
+    return similarity_join(
+        keys, names.withColumnRenamed("sentence", "name"), "sentence", "name", "sentence", "name", threshold=90
+    )
+
+
 QUERIES = {
+    "similar_sentences": similar_sentences,
     "token_set_topk": token_set_topk,
     "pending_title_matches": pending_title_matches,
     "cosine_topk": cosine_topk,
@@ -120,7 +137,19 @@ def _cosine(a: str, b: str) -> str:
     return f"CAST(trunc(100 * round_even(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) * 1e9, 0) / 1e9) AS BIGINT)"
 
 
+def _sentences(name: str, most: int) -> str:
+    return (
+        f"SELECT DISTINCT trim(p) AS t FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '[.\\n]')) AS p FROM {name}) "
+        f"WHERE length(trim(p)) BETWEEN 12 AND {most}"
+    )
+
+
 ORACLES = {
+    # Lengths tell most pairs apart: without a common word the shorter text must have 81 % of the longer one's letters.
+    "similar_sentences": f"""
+      WITH {token_set_sql(f"SELECT t AS kid, t AS kt FROM ({_sentences('conversations', 40)})", f"SELECT t AS cid, t AS ct FROM ({_sentences('documents', 55)})")
+            .replace("FROM ka, cb)", "FROM ka, cb WHERE len(list_intersect(a, b)) > 0 OR 100 * least(len(array_to_string(a, ' ')), len(array_to_string(b, ' '))) >= 81 * greatest(len(array_to_string(a, ' ')), len(array_to_string(b, ' '))))")}
+      SELECT kid AS sentence, cid AS name, score FROM fuzzy WHERE score >= 90""",
     "token_set_topk": f"""
       WITH {token_set_sql("SELECT DISTINCT text AS kid, text AS kt FROM conversations WHERE text IS NOT NULL", f"SELECT code AS cid, p_name AS ct FROM ({_PART_NAMES})")},
       ranked AS (SELECT kid AS text, cid AS code, CAST(0 AS BIGINT) AS semantic_confidence, score AS fuzzy_confidence, score AS best_confidence,
