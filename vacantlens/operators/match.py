@@ -7,7 +7,8 @@ assumed) is one block, sent to every task. A larger catalog is split into blocks
 keys into chunks of such sizes; chunk and block meet in a co-group and a final top-k merges
 the blocks. Both ways are exact. Names of a larger catalog are first looked up by a filter join
 (``similarity``), which never meets most entries; only keys with fewer than ``k`` entries of
-``SIMILAR_FROM`` or more meet the blocks, and none does if the threshold is that high.
+``SIMILAR_FROM`` or more meet the blocks, and none does if the threshold is that high. Vectors of a
+larger catalog meet only the clusters of entries that could still count (``cosine``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantlens.operators.cosine import pruned_cosine
 from vacantlens.operators.scoring import as_matrix, comparable, prepare_catalog
 from vacantlens.operators.similarity import similarity_join
 from vacantlens.session import stored
@@ -102,6 +104,8 @@ def match_topk(
     blocks = _pieces(c_rows, max_broadcast)
     if blocks == 1:
         partial = _against_broadcast(k_rows, c_rows.toPandas(), schema, fuzzy, semantic, k, threshold)
+    elif not fuzzy:
+        partial = pruned_cosine(k_rows, c_rows, schema, k, threshold, min(max_broadcast, key_chunk))
     else:
         # Names that have enough alike are done by the filter join; it is whole at its threshold.
         near = None if semantic else stored(_best(_alike(k_rows, c_rows, max(threshold, SIMILAR_FROM)), k), "alike")
