@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantlens import phases
+from vacantlens.operators import features
 from vacantlens.session import scratch_path
+from vacantlens.sources.committed import CommittedTables
 
 LABELS = [
     ("sub-titulo", "CANTIDAD DE VACANTES", "2"), ("sub-titulo", "REMUNERACIÓN", "S/. 4,000.00"),
@@ -84,3 +86,65 @@ def test_phases(spark, store):
     assert row.competencies_topic_0 == row.competencies_topic_1 == 0.5
     assert row.knowledge_topic_0 + row.knowledge_topic_1 == pytest.approx(1)
     assert out.select(F.max("salary_amount")).first()[0] == 4000.0
+
+
+def rows_of(table):
+    return sorted(map(tuple, table.collect()), key=str)
+
+
+def test_a_killed_run_shows_nothing_and_is_repeated(spark):
+    tables = CommittedTables(spark, scratch_path(spark, "committed"))
+    one, two = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(2,)], "id int")
+    assert tables.read("complete") is None
+    first = tables.run("monday")
+    first.append("complete", one)  # killed before the second table
+    assert tables.read("complete") is None and not tables.run("monday").done()
+    again = tables.run("monday")
+    again.append("complete", one)
+    again.append("review", two)
+    assert again.commit() and tables.run("monday").done()
+    # Done twice under its name, a run changes nothing.
+    twice = tables.run("monday")
+    twice.append("complete", one)
+    assert not twice.commit()
+    assert rows_of(tables.read("complete")) == [(1,)] and rows_of(tables.read("review")) == [(2,)]
+    later = tables.run()
+    later.append("complete", two)
+    later.replace("review", one)
+    later.commit()
+    assert rows_of(tables.read("complete")) == [(1,), (2,)] and rows_of(tables.read("review")) == [(1,)]
+
+
+def test_features_are_computed_once(spark):
+    tables = CommittedTables(spark, scratch_path(spark, "features"))
+    asked = []
+
+    def encode(texts):
+        asked.extend(r["text"] for r in texts.collect())
+        return features.hashed_words(8)(texts)
+
+    first = spark.createDataFrame([(1, "Abogado"), (2, "Abogado"), (3, None), (4, "")], "id int, name string")
+    got = {r["id"]: r["vector"] for r in features.with_features(first, "name", tables, "f", encode).collect()}
+    assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1) and got[3] == got[4] == [0.0] * 8
+    second = spark.createDataFrame([(5, "Abogado"), (6, "Médico"), (7, "Médico")], "id int, name string")
+    more = {r["id"]: r["vector"] for r in features.with_features(second, "name", tables, "f", encode).collect()}
+    assert more[5] == got[1] and more[6] == more[7] and sorted(asked) == ["", "Abogado", "Médico"]
+
+
+def test_stored_runs_score_vectors_and_score_a_key_once(spark):
+    store = phases.Store(scratch_path(spark, "store"))
+    phases.clean_new(spark, store)
+    assert store.read(spark, "cleaned_jobs") is None
+    run = store.tables(spark).run()
+    run.append("cleaned_jobs", spark.createDataFrame([("ABOGADO", "SIN NIVEL"), ("TECNICO CONTABLE", None)], "job_title string, academic_profile string"))
+    run.commit()
+    titles = spark.createDataFrame([("2611", "Abogados"), ("3313", "Técnicos contables")], "isco_code string, descripcion string")
+    got = phases.match_new(spark, store, "titles", "job_title", titles, "isco_code", "descripcion", ["descripcion"], k=1)
+    scores = {r["job_title"]: (r["isco_code"], r["semantic_confidence"], r["fuzzy_confidence"], r["best_confidence"]) for r in got.collect()}
+    assert {k: v[0] for k, v in scores.items()} == {"ABOGADO": "2611", "TECNICO CONTABLE": "3313"}
+    assert all(sem > 0 and best == max(sem, fuz) for _, sem, fuz, best in scores.values())
+    programs = spark.createDataFrame([("421016", "DERECHO", 6)], "programa_codigo string, programa_nombre string, academic_level int")
+    for _ in range(2):  # no level, no candidates: scored once all the same
+        out = phases.match_new(spark, store, "programs", "academic_profile", programs, "programa_codigo", "programa_nombre", [], levels=True)
+        assert out.count() == 0
+        assert rows_of(store.read(spark, "programs_keys")) == [("SIN NIVEL",)]

@@ -1,25 +1,26 @@
 """The three phases as runs over stored tables: extract, clean, transform.
 
 Every run is incremental: it skips what earlier runs stored, so repeating one adds nothing.
-A store is a folder with one Parquet table per name below.
+A store is a folder of committed tables: what a run adds to several of them shows up at once, and a
+run that was killed and is repeated leaves the same tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantlens import config
 from vacantlens.functions.parsing import parse_academic
-from vacantlens.operators import clean, enrich, maintain, match, topics
+from vacantlens.operators import clean, enrich, features, maintain, match, topics
 from vacantlens.operators.filters import missing_fields, outcome
 from vacantlens.operators.incremental import keep_first, pending_keys
-from vacantlens.session import scratch_path
+from vacantlens.session import scratch_path, stored
 from vacantlens.sources import pages as page_source
-from vacantlens.sources.sinks import write_enriched, write_split
+from vacantlens.sources.committed import CommittedTables
+from vacantlens.sources.sinks import write_enriched
 
 TITLE_COLUMNS = ["isco_code"]
 INSTITUTION_COLUMNS = ["ejecutora", "ejecutora_nombre", "nivel_gobierno", "sector", "pliego", "sec_ejec"]
@@ -35,14 +36,12 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def tables(self, spark: SparkSession) -> CommittedTables:
+        return CommittedTables(spark, self.root)
+
     def read(self, spark: SparkSession, name: str) -> DataFrame | None:
         """The table, or None when no run has written it yet."""
-        try:
-            return spark.read.parquet(self.path(name))
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        return self.tables(spark).read(name)
 
 
 def _known_ids(spark: SparkSession, store: Store, *names: str) -> DataFrame | None:
@@ -70,7 +69,8 @@ def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
     routed.write.parquet(staged)
     routed = spark.read.parquet(staged)
     complete = routed.where(F.col("outcome") == "complete").drop("outcome", "missing_fields")
-    complete.write.mode("append").parquet(store.path("extracted_jobs"))
+    run = store.tables(spark).run()
+    run.append("extracted_jobs", complete)
     review = routed.where(F.col("outcome") == "incomplete").drop("outcome").withColumns(
         {
             "reviewed": F.lit(False),
@@ -79,41 +79,59 @@ def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
             "reviewed_at": F.lit(None).cast("timestamp"),
         }
     )
-    review.write.mode("append").parquet(store.path("extracted_jobs_incomplete"))
+    run.append("extracted_jobs_incomplete", review)
+    run.commit()
 
 
 def clean_new(spark: SparkSession, store: Store) -> None:
-    """Raw postings not cleaned before, to the cleaned table and its quarantine."""
+    """Raw postings not cleaned before, to the cleaned table and its quarantine. Without raw postings
+    there is nothing to do."""
     raw = store.read(spark, "extracted_jobs")
+    if raw is None:
+        return
     known = _known_ids(spark, store, "cleaned_jobs", "cleaned_jobs_incomplete")
-    staged = scratch_path(spark, "cleaned")
-    clean.clean_split(raw, known, ["scraped_at"]).drop("scraped_at").write.parquet(staged)
-    write_split(spark.read.parquet(staged), store.path("cleaned_jobs"), store.path("cleaned_jobs_incomplete"))
+    split = stored(clean.clean_split(raw, known, ["scraped_at"]).drop("scraped_at"), "cleaned")
+    run = store.tables(spark).run()
+    for outcome_, name in (("complete", "cleaned_jobs"), ("incomplete", "cleaned_jobs_incomplete")):
+        run.append(name, split.where(F.col("outcome") == outcome_).drop("outcome"))
+    run.commit()
 
 
 def match_new(
     spark: SparkSession, store: Store, name: str, key: str, catalog: DataFrame, code: str, text: str,
-    columns: list[str], levels: bool = False, k: int = 5, version: str = "",
+    columns: list[str], levels: bool = False, k: int = 5, version: str = "", encode: features.Encoder | None = None,
 ) -> DataFrame:
-    """Score keys of the cleaned table that have no candidates yet, and return the refreshed
-    candidate table, written beside the old one under ``name + version``."""
-    stored = store.read(spark, name)
-    cleaned = store.read(spark, "cleaned_jobs")
-    keys = pending_keys(cleaned, stored if stored is not None else cleaned.limit(0), key)
-    if levels:
-        keys = keys.withColumn("search_levels", parse_academic(F.col(key))["search_levels"])
+    """Score keys of the cleaned table that were not scored before, and return the refreshed candidate
+    table, committed as ``name + version`` together with the keys it has now been scored for.
+
+    A key without candidates counts as scored and is not tried again. The semantic score comes from the
+    stored features of both texts, computed by ``encode`` for texts not seen before.
+    """
+    tables = store.tables(spark)
+    known, scored = tables.read(name), tables.read(name + "_keys")
+    cleaned = tables.read("cleaned_jobs")
+    fresh_keys = pending_keys(cleaned, scored if scored is not None else cleaned.limit(0), key)
+    # The keys are fixed before their features and candidates are stored.
+    keys = stored(fresh_keys, "keys")
+    encode = encode or features.hashed_words()
     # Without a catalog position, ties go by code.
     ordered = catalog if "position" in catalog.columns else catalog.withColumn("position", F.lit(0))
+    asked = features.with_features(keys, key, tables, "features", encode, "_features")
+    if levels:
+        asked = asked.withColumn("search_levels", parse_academic(F.col(key))["search_levels"])
     found = match.match_topk(
-        keys, ordered, key, code, "position", key_text=key, catalog_text=text, k=k,
+        asked, features.with_features(ordered, text, tables, "features", encode, "_features"), key, code, "position",
+        key_text=key, catalog_text=text, key_vector="_features", catalog_vector="_features", k=k,
         level="academic_level" if levels else None, search_levels="search_levels" if levels else None,
     )
     attributes = keep_first(catalog, [code], [text])
     fresh = match.candidate_table(found, attributes, code, [c for c in columns if c != code])
-    table = fresh if stored is None else maintain.refresh_candidates(stored, fresh, key, code)
-    path = store.path(name + version)
-    table.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    table = fresh if known is None else maintain.refresh_candidates(known, fresh, key, code)
+    run = tables.run()
+    run.replace(name + version, table)
+    run.append(name + "_keys", keys)
+    run.commit()
+    return tables.read(name + version)
 
 
 def transform(
