@@ -6,6 +6,8 @@ from vacantlens.functions.numeric import fixed_mean, fixed_sum
 from vacantlens.operators import incremental, maintain, match
 from vacantlens.sources import pages, sinks, tables
 from vacantlens.sources.schemas import strings
+from vacantlens.sources.committed import CommittedTables
+from vacantlens.streaming.keystore import KeyStore
 from vacantlens.streaming.ingest import ingest, read_landed, read_stored
 
 
@@ -75,6 +77,42 @@ def test_new_checkpoint_keeps_stored_rows(spark, tmp_path):
     assert got == [1, 2, 3]
 
 
+def test_lost_checkpoint_overwrites_nothing(spark, tmp_path):
+    """A checkpoint lost and made again at the same path: batch 0 of another query."""
+    schema = None
+    for n, ids in enumerate(([1, 2], [2, 3])):
+        landed, checkpoint = str(tmp_path / f"landed-{n}"), tmp_path / "check"
+        spark.createDataFrame([(i, "2024-01-01 00:00:00") for i in ids], "id long, at string").select("id", F.col("at").cast("timestamp")).write.parquet(landed)
+        split = lambda b: b.withColumn("outcome", F.lit("complete"))
+        schema = split(spark.read.parquet(landed)).schema
+        ingest(read_landed(spark, landed, spark.read.parquet(landed).schema), "id", "at", split, str(tmp_path / "target"), str(checkpoint)).awaitTermination()
+        checkpoint.rename(tmp_path / f"lost-{n}")
+    assert sorted(r["id"] for r in read_stored(spark, str(tmp_path / "target"), schema).collect()) == [1, 2, 3]
+
+
+def test_key_store_knows_all_ids_and_reads_few_files(spark, tmp_path):
+    tables = CommittedTables(spark, str(tmp_path / "store"))
+    store = KeyStore(tables, "id", per_file=50, fanout=3)
+    assert store.files(spark.range(5)) == []
+    merged = 0
+    for n in range(7):
+        run = tables.run(f"batch {n}")
+        store.add(run, f"b{n}", spark.range(n * 1000, n * 1000 + 200).union(spark.createDataFrame([(None,)], "id long")))
+        run.commit()
+        run = tables.run(f"merge {n}")
+        if store.merge(run, f"m{n}"):
+            run.commit()
+            merged += 1
+    filters = tables.read("keys_filters")
+    assert merged == 2 and sorted({(r["level"], r["batch"]) for r in filters.collect()}) == [(0, "b6"), (1, "m2"), (1, "m5")]
+    # All stored ids are known; of new ones hardly a file is read, one file for an id that is stored.
+    everything = spark.createDataFrame([(n * 1000 + i,) for n in range(7) for i in range(200)], "id long")
+    assert store.unknown(everything).count() == 0
+    fresh = spark.range(500, 900).unionByName(spark.createDataFrame([(None,)], "id long"))
+    assert store.unknown(fresh).count() == 401
+    assert len(store.files(spark.range(500, 520))) <= 1 and len(store.files(spark.range(3005, 3006))) == 1 < filters.count() // 10
+
+
 def test_copies_go_before_the_first_shuffle(spark):
     target = spark.createDataFrame([(1,)], "id long")
     batch = spark.range(100).select((F.col("id") % 3).alias("id"), F.col("id").alias("at"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vacantlens.session import stored
+from vacantlens.sources.committed import CommittedTables
+from vacantlens.streaming.keystore import KeyStore
+
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Stream of files landed in a folder; zone-less times become timestamps, as watermarks need."""
@@ -31,23 +34,31 @@ def ingest(
     checkpoint: str,
     delay: str = "7 days",
 ) -> StreamingQuery:
-    """Append each new id once to ``target``, partitioned by batch and outcome.
+    """Append each new id once to ``target``.
 
-    Repeats inside the watermark are dropped by the stream's state; later ones by the anti
-    join with what earlier batches stored. A batch that is run again after a failure
-    overwrites its own folder, so no row is stored twice. The folder is named by checkpoint and
-    batch: a query with a new checkpoint adds to the target and overwrites nothing. ``split``
-    cleans a batch and adds the column ``outcome``.
+    Repeats inside the watermark are dropped by the stream's state; later ones by a store of the ids
+    that earlier batches stored, of which a batch reads only files that may hold its ids. Rows and ids of a batch are
+    committed together, under the id of the query and the number of the batch: a batch that is run again after a
+    failure adds nothing twice, and a query whose checkpoint was lost is another query, so it adds
+    what is new and overwrites nothing. ``split`` cleans a batch and adds the column ``outcome``.
     """
     spark = landed.sparkSession
-    run = zlib.crc32(checkpoint.encode())
+    tables = CommittedTables(spark, target)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = split(batch)
-        earlier = stored_before(spark, target, run, batch_id, rows.schema)
-        if earlier is not None:
-            rows = rows.join(earlier.select(key), key, "left_anti")
-        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{target}/run={run}/batch={batch_id}")
+        # The checkpoint names the query; a new one in its place has another id.
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        run = tables.run(f"{query}/{batch_id}")
+        if run.done():
+            return
+        ids = KeyStore(tables, key)
+        rows = stored(ids.unknown(split(batch)), "batch")
+        run.append("rows", rows)
+        ids.add(run, f"{query}-{batch_id}", rows)
+        run.commit()
+        merging = tables.run(f"{query}/{batch_id}/merge")
+        if ids.merge(merging, f"{query}-{batch_id}-merged"):
+            merging.commit()
 
     unique = landed.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
     return (
@@ -58,17 +69,7 @@ def ingest(
     )
 
 
-def stored_before(spark: SparkSession, target: str, run: int, batch_id: int, schema: T.StructType) -> DataFrame | None:
-    """Rows stored by other runs and by earlier batches of this one; None where nothing is."""
-    try:
-        stored = read_stored(spark, target, schema)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return stored.where((F.col("run") != run) | (F.col("batch") < batch_id))
-
-
 def read_stored(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField("run", T.LongType()), T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(full).parquet(target)
+    """What the stream has committed; no rows before its first batch."""
+    rows = CommittedTables(spark, target).read("rows")
+    return spark.createDataFrame([], schema) if rows is None else rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
