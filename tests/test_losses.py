@@ -1,14 +1,16 @@
 """Rows and values that must not be lost or changed silently."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from vacantlens.functions import parsing
 from vacantlens.functions.numeric import fixed_mean, fixed_sum
-from vacantlens.operators import incremental, maintain, match
+from vacantlens.operators import enrich, incremental, maintain, match
 from vacantlens.sources import pages, sinks, tables
-from vacantlens.sources.schemas import strings
 from vacantlens.sources.committed import CommittedTables
-from vacantlens.streaming.keystore import KeyStore
+from vacantlens.sources.schemas import strings
 from vacantlens.streaming.ingest import ingest, read_landed, read_stored
+from vacantlens.streaming.keystore import KeyStore
 
 
 def test_sums_keep_small_and_huge_values(spark):
@@ -77,6 +79,32 @@ def test_new_checkpoint_keeps_stored_rows(spark, tmp_path):
     assert got == [1, 2, 3]
 
 
+def test_cells_behind_a_line_break_stay(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text('1,a,"x\ny",b,c\n2,"d ""quoted"", twice",e\n')
+    sheet = tables.read_sheets(spark, [(str(tmp_path / "sheet.csv"), "s", 1)], ["one", "two"])
+    rows = sheet.orderBy("row_number").select("row_number", "one", "two", "extra_0", "extra_1").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", "x\ny", "b", "c"), (2, 'd "quoted", twice', "e", None, None)]
+
+
+def test_tiny_values_are_not_lost(spark):
+    rows = spark.createDataFrame([(1e-20,), (3e-20,)], "v double")
+    assert rows.select(fixed_mean(F.col("v"))).first()[0] == pytest.approx(2e-20)
+
+
+def test_a_persons_code_counts(spark):
+    schema = "k string, code string, name string, best_confidence int, rank int, validated int, validated_code string"
+    rows = [("a", "A", "for A", 99, 1, 0, None), ("a", "X", "for X", 50, 2, 1, "B"), ("b", "C", "for C", 80, 1, None, "D"), ("c", "E", "for E", 70, 1, 1, None)]
+    catalog = spark.createDataFrame([("A", "for A"), ("B", "for B")], "code string, name string")
+    got = enrich.best_candidates(spark.createDataFrame(rows, schema), "k", "code", ["code", "name"], catalog=catalog)
+    assert sorted(map(tuple, got.collect())) == [("a", "B", "for B"), ("b", "C", "for C"), ("c", "E", "for E")]
+
+
+def test_years_in_brackets(spark):
+    text = spark.createDataFrame([("EXPERIENCIA GENERAL: TRES (03) AÑOS",)], "t string")
+    plain, read = (text.select(parsing.parse_experience(F.col("t"), paren_years=flag)["experience_general_years"]).first()[0] for flag in (False, True))
+    assert plain is None and read == 3
+
+
 def test_lost_checkpoint_overwrites_nothing(spark, tmp_path):
     """A checkpoint lost and made again at the same path: batch 0 of another query."""
     schema = None

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantlens import phases
-from vacantlens.operators import features
+from vacantlens.operators import features, profile
 from vacantlens.session import scratch_path
+from vacantlens.sources import sinks
 from vacantlens.sources.committed import CommittedTables
 
 LABELS = [
@@ -41,14 +42,16 @@ def landed(spark, *html):
 
 def test_phases(spark, store):
     first = landed(spark, page(1), page(2, "TECNICO CONTABLE"), page(2, "TECNICO CONTABLE"), page(3, drop="REMUNERACIÓN"), "<html></html>")
-    phases.extract(spark, first, store)
-    phases.extract(spark, landed(spark, page(1), page(4)), store)
+    counts = phases.extract(spark, first, store)
+    assert counts == {"encountered": 5, "failed": 1, "complete": 2, "incomplete": 1, "duplicate": 1}
+    again = phases.extract(spark, landed(spark, page(1), page(4)), store)
+    assert again == {"encountered": 2, "failed": 0, "complete": 1, "incomplete": 0, "duplicate": 1}
     assert sorted(r.posting_unique_id for r in store.read(spark, "extracted_jobs").collect()) == ["1", "2", "4"]
     review = store.read(spark, "extracted_jobs_incomplete").collect()
     assert [(r.posting_unique_id, r.missing_fields, r.reviewed) for r in review] == [("3", "monthly_salary", False)]
 
-    phases.clean_new(spark, store)
-    phases.clean_new(spark, store)
+    assert phases.clean_new(spark, store) == {"encountered": 3, "failed": 0, "complete": 3, "incomplete": 0, "duplicate": 0}
+    assert phases.clean_new(spark, store)["duplicate"] == 3
     assert store.read(spark, "cleaned_jobs").count() == 3
 
     occupations = spark.createDataFrame([("2611", "Abogados"), ("3313", "Técnicos contables")], "isco_code string, descripcion string")
@@ -148,3 +151,37 @@ def test_stored_runs_score_vectors_and_score_a_key_once(spark):
         out = phases.match_new(spark, store, "programs", "academic_profile", programs, "programa_codigo", "programa_nombre", [], levels=True)
         assert out.count() == 0
         assert rows_of(store.read(spark, "programs_keys")) == [("SIN NIVEL",)]
+
+
+def test_only_changed_months_are_written_again(spark, tmp_path):
+    path = str(tmp_path / "enriched")
+
+    def months(*rows):
+        table = spark.createDataFrame([(i, m, code) for i, m, code in rows], "id int, m string, isco_code string")
+        return table.select("id", "isco_code", F.to_date("m").alias("year_month"))
+
+    def files():
+        return {f.parent.name: sorted(x.name for x in f.parent.glob("*.parquet")) for f in (tmp_path / "enriched").glob("*/*.parquet")}
+
+    first = [(1, "2025-01-01", "a"), (2, "2025-02-01", "b"), (3, None, "c")]
+    assert len(sinks.refresh_enriched(months(*first), path, sort=["isco_code"])) == 3
+    before = files()
+    assert sinks.refresh_enriched(months(*first), path) == [] and files() == before
+    second = [*first[:1], (2, "2025-02-01", "B"), first[2], (4, "2025-03-01", "d"), (4, "2025-03-01", "d")]
+    assert sorted(map(str, sinks.refresh_enriched(months(*second), path))) == ["2025-02-01", "2025-03-01"]
+    after = files()
+    kept = [m for m in before if after[m] == before[m]]
+    assert sorted(kept) == ["year_month=2025-01-01", "year_month=__HIVE_DEFAULT_PARTITION__"] and len(after) == 4
+    assert rows_of(spark.read.parquet(path).select("id", "isco_code")) == [(1, "a"), (2, "B"), (3, "c"), (4, "d"), (4, "d")]
+    # A month that is gone leaves the table too.
+    sinks.refresh_enriched(months(*second[:1]), path)
+    assert rows_of(spark.read.parquet(path).select("id")) == [(1,)]
+
+
+def test_distinct_counts_merge_over_months(spark):
+    rows = spark.range(40000).select((F.col("id") % 4).alias("month"), (F.col("id") % 17000).alias("v"), F.lit("x").alias("one"), F.lit(None).cast("string").alias("none"))
+    sketches = profile.distinct_sketches(rows, ["v", "one", "none"], ["month"])
+    got = {r["column_name"]: r["distinct_values"] for r in profile.distinct_estimates(sketches).collect()}
+    assert got["one"] == 1 and got["none"] == 0 and abs(got["v"] - 17000) < 17000 * 0.06
+    by_month = profile.distinct_estimates(sketches.where("column_name = 'v'"), ["month"]).collect()
+    assert len(by_month) == 4 and all(abs(r["distinct_values"] - 4250) < 4250 * 0.08 for r in by_month)

@@ -12,15 +12,15 @@ def round_even(c: Column, digits: int) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
-#: Values below this size are added exactly, with 18 decimals; 1e11 of them fit the sum.
-EXACT_BELOW = 1e9
+#: Zeros and values between these sizes are added exactly, with 18 decimals; 1e11 of them fit the sum.
+EXACT_FROM, EXACT_BELOW = 1e-3, 1e9
 
 
 def fixed_sum(c: Column) -> Column:
-    """Sum that does not depend on row order for values below ``EXACT_BELOW``, so that a retried
-    or differently split task cannot change it; larger and non-finite values are added as doubles."""
+    """Sum that does not depend on row order for values from ``EXACT_FROM`` to ``EXACT_BELOW``, so that a
+    retried or differently split task cannot change it; others, which 18 decimals would cut, are added as doubles."""
     value = c.cast("double")
-    small = F.abs(value) < EXACT_BELOW
+    small = (value == 0) | ((F.abs(value) >= EXACT_FROM) & (F.abs(value) < EXACT_BELOW))
     exact = F.sum(F.when(small, value.cast("decimal(28,18)"))).cast("double")
     rest = F.sum(F.when(~small, value))
     return F.when(exact.isNull(), rest).when(rest.isNull(), exact).otherwise(exact + rest)

@@ -60,13 +60,16 @@ def _has_any(c: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def parse_experience(c: Column, use_total: bool = False) -> dict[str, Column]:
+def parse_experience(c: Column, use_total: bool = False, paren_years: bool = False) -> dict[str, Column]:
     """Years of general and specific experience and the two sector flags.
 
     ``use_total`` also tries the patterns for an overall minimum, which the
-    published rule lists but never applies.
+    published rule lists but never applies. ``paren_years`` reads a number in brackets
+    behind its word, as in ``TRES (03) AÑOS``, which no published pattern matches.
     """
     text = F.upper(c)
+    if paren_years:
+        text = F.regexp_replace(text, r"\p{L}+\s*\(\s*(\d{1,2})\s*\)", "$1")
     general = _first_int(text, config.GENERAL_YEARS_PATTERNS)
     if use_total:
         general = F.coalesce(general, _first_int(text, config.TOTAL_YEARS_PATTERNS))

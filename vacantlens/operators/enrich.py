@@ -14,17 +14,36 @@ from vacantlens.functions.parsing import parse_academic, parse_experience
 
 
 def best_candidates(
-    candidates: DataFrame, key: str, code: str, columns: Sequence[str], prefer_validated: bool = False
+    candidates: DataFrame, key: str, code: str, columns: Sequence[str], prefer_validated: bool = False, catalog: DataFrame | None = None
 ) -> DataFrame:
     """The candidate with the highest confidence per key; ties go by rank, then code.
 
-    ``prefer_validated`` puts rows approved by a person first.
+    ``prefer_validated`` puts rows approved by a person first. Where a person wrote another code into
+    ``validated_code``, that one counts before all; its attributes come from ``catalog``, one row per code,
+    and are null without it.
     """
     order = [F.desc("best_confidence"), F.asc("rank"), F.asc(code)]
+    corrected = None
+    if {"validated", "validated_code"} <= set(candidates.columns):
+        corrected = F.coalesce((F.col("validated") == 1) & F.col("validated_code").isNotNull(), F.lit(False))
     if prefer_validated:
         order.insert(0, F.desc(F.coalesce(F.col("validated"), F.lit(0))))
+    if corrected is not None:
+        order.insert(0, F.desc(corrected))
     ranked = candidates.withColumn("_best", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("_best") == 1).select(key, *columns)
+    best = ranked.where(F.col("_best") == 1)
+    if corrected is None:
+        return best.select(key, *columns)
+    kind = candidates.schema[code].dataType
+    best = best.select(
+        F.col(key), corrected.alias("_corrected"), F.when(corrected, F.col("validated_code").cast(kind)).otherwise(F.col(code)).alias("_code"),
+        *[F.when(~corrected, F.col(c)).alias(c) for c in columns if c != code],
+    )
+    if catalog is not None:
+        known = [c for c in columns if c != code and c in catalog.columns]
+        written = catalog.select(F.col(code).alias("_code"), *[F.col(c).alias(f"_w_{c}") for c in known])
+        best = best.join(written, "_code", "left").withColumns({c: F.when(F.col("_corrected"), F.col(f"_w_{c}")).otherwise(F.col(c)) for c in known})
+    return best.select(key, *[F.col("_code").alias(code) if c == code else F.col(c) for c in columns])
 
 
 def attach_best(df: DataFrame, on: str, best: DataFrame, key: str) -> DataFrame:

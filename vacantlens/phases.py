@@ -9,18 +9,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vacantlens import config
-from vacantlens.functions.parsing import parse_academic
+from vacantlens.functions.parsing import parse_academic, parse_posting_id
 from vacantlens.operators import clean, enrich, features, maintain, match, topics
 from vacantlens.operators.filters import missing_fields, outcome
 from vacantlens.operators.incremental import keep_first, pending_keys
 from vacantlens.session import scratch_path, stored
 from vacantlens.sources import pages as page_source
 from vacantlens.sources.committed import CommittedTables
-from vacantlens.sources.sinks import write_enriched
+from vacantlens.sources.sinks import refresh_enriched
 
 TITLE_COLUMNS = ["isco_code"]
 INSTITUTION_COLUMNS = ["ejecutora", "ejecutora_nombre", "nivel_gobierno", "sector", "pliego", "sec_ejec"]
@@ -54,9 +54,27 @@ def _known_ids(spark: SparkSession, store: Store, *names: str) -> DataFrame | No
     return out
 
 
-def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
-    """Stored pages (url, html, scraped_at) to raw postings; incomplete ones go to review."""
-    fields = page_source.posting_fields(pages, "html", ["scraped_at"]).where(F.col("posting_unique_id").isNotNull())
+def _outcomes() -> list[Column]:
+    return [F.count_if(F.col("outcome") == name).alias(name) for name in ("complete", "incomplete")]
+
+
+def _statistics(seen: Observation, routed: Observation) -> dict[str, int]:
+    """What a run met and stored, counted while its rows were written."""
+    counts = {**seen.get, **routed.get}
+    counts["duplicate"] = counts["encountered"] - counts["complete"] - counts["incomplete"] - counts["failed"]
+    return counts
+
+
+def extract(spark: SparkSession, pages: DataFrame, store: Store) -> dict[str, int]:
+    """Stored pages (url, html, scraped_at) to raw postings; incomplete ones go to review.
+
+    Returns how many were encountered, complete, incomplete, failed (no id) and duplicate.
+    """
+    seen, routing = Observation(), Observation()
+    fields = page_source.posting_fields(pages, "html", ["scraped_at"]).observe(
+        seen, F.count(F.lit(1)).alias("encountered"), F.count_if(F.col("posting_unique_id").isNull()).alias("failed")
+    )
+    fields = fields.where(F.col("posting_unique_id").isNotNull())
     known = _known_ids(spark, store, "extracted_jobs", "extracted_jobs_incomplete")
     rows = keep_first(fields, ["posting_unique_id"], ["scraped_at", *config.FIELD_ORDER[1:]])
     if known is not None:
@@ -66,7 +84,7 @@ def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
     )
     # Written once, so that both tables come from one pass over the pages.
     staged = scratch_path(spark, "extracted")
-    routed.write.parquet(staged)
+    routed.observe(routing, *_outcomes()).write.parquet(staged)
     routed = spark.read.parquet(staged)
     complete = routed.where(F.col("outcome") == "complete").drop("outcome", "missing_fields")
     run = store.tables(spark).run()
@@ -81,20 +99,25 @@ def extract(spark: SparkSession, pages: DataFrame, store: Store) -> None:
     )
     run.append("extracted_jobs_incomplete", review)
     run.commit()
+    return _statistics(seen, routing)
 
 
-def clean_new(spark: SparkSession, store: Store) -> None:
+def clean_new(spark: SparkSession, store: Store) -> dict[str, int]:
     """Raw postings not cleaned before, to the cleaned table and its quarantine. Without raw postings
-    there is nothing to do."""
+    there is nothing to do. Returns the same counts as ``extract``."""
     raw = store.read(spark, "extracted_jobs")
     if raw is None:
-        return
+        return dict.fromkeys(("encountered", "failed", "complete", "incomplete", "duplicate"), 0)
+    seen, routing = Observation(), Observation()
+    no_id = parse_posting_id(F.col("posting_unique_id")).isNull()
+    raw = raw.observe(seen, F.count(F.lit(1)).alias("encountered"), F.count_if(no_id).alias("failed"))
     known = _known_ids(spark, store, "cleaned_jobs", "cleaned_jobs_incomplete")
-    split = stored(clean.clean_split(raw, known, ["scraped_at"]).drop("scraped_at"), "cleaned")
+    split = stored(clean.clean_split(raw, known, ["scraped_at"]).drop("scraped_at").observe(routing, *_outcomes()), "cleaned")
     run = store.tables(spark).run()
     for outcome_, name in (("complete", "cleaned_jobs"), ("incomplete", "cleaned_jobs_incomplete")):
         run.append(name, split.where(F.col("outcome") == outcome_).drop("outcome"))
     run.commit()
+    return _statistics(seen, routing)
 
 
 def match_new(
@@ -153,5 +176,5 @@ def transform(
         found = topics.topic_features(model, texts, "posting_unique_id", column)
         weights = found if weights is None else weights.join(found, "posting_unique_id")
     enriched = enrich.enrich(cleaned, *best, topics=weights)
-    write_enriched(enriched, store.path("transformed_jobs"), sort=["isco_code", "ejecutora"])
+    refresh_enriched(stored(enriched, "enriched"), store.path("transformed_jobs"), sort=["isco_code", "ejecutora"])
     return spark.read.parquet(store.path("transformed_jobs"))

@@ -55,9 +55,12 @@ def read_sheets(
     """
     parts = []
     for path, sheet, index in sheets:
-        # No row has more cells than its file's longest line has commas and one more.
-        commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
-        width = (spark.read.text(path).agg(F.max(commas)).first()[0] or 0) + 1
+        # Without its quoted cells, which may hold line breaks, a row is a line. A stray quote can only hide
+        # commas that the plain lines have, so no row has more cells than the larger count and one more.
+        lines = F.split(F.regexp_replace("value", '"[^"]*+"', ""), r"\r\n|\n|\r").alias("bare"), F.split("value", r"\r\n|\n|\r").alias("plain")
+        line = spark.read.text(path, wholetext=True).select(*lines).select(F.explode(F.concat("bare", "plain")).alias("line"))
+        commas = F.length("line") - F.length(F.replace("line", F.lit(",")))
+        width = (line.agg(F.max(commas)).first()[0] or 0) + 1
         cells = ", ".join(f"_c{i} string" for i in range(max(width, 1)))
         raw = spark.read.schema(cells).options(header=False, **CSV_QUOTING).csv(path)
         given = [row_number, *names]
