@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantlens.llm.text import bounded_batches, mix
-from vacantlens.session import ship
+from vacantlens.session import ship, stored
 
 SIZES = (3, 4, 5)
 FEATURE_BITS = 18
@@ -83,29 +83,28 @@ class Features:
         return np.concatenate(list(self.pieces(text)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, penalty: float = 0.02, rounds: int = 80) -> tuple[np.ndarray, float]:
-    """(weight of every feature, bias). Scaled features are divided by the root of how many a
-    text has, so long texts do not saturate."""
+def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty: float = 0.02, rounds: int = 80) -> tuple[np.ndarray, float]:
+    """(weight of every feature, bias) of rows given in parts: (features of all its rows in turn, how many each has).
+    Scaled features are divided by the root of how many a text has, so long texts do not saturate."""
     size = 1 << FEATURE_BITS
     positive = float((labels == 1).sum())
     bias = float(np.log((positive + 1) / (len(labels) - positive + 1)))
     if not len(labels) or positive in (0, len(labels)):
         return np.zeros(size, np.float32), bias
-    # Rows are worked on a chunk at a time: no array of all features of all rows as floats.
-    counts = np.array([len(f) for f in features])
-    chunks = [(at, np.concatenate(features[at : at + CHUNK]).astype(np.int32, copy=False)) for at in range(0, len(features), CHUNK)]
+    # Rows are worked on a part at a time: no array of all features of all rows as floats.
+    counts = np.concatenate([own for _, own in parts])
+    starts = np.cumsum([0, *[len(own) for _, own in parts]])
 
     def score(w: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(labels))
-        for at, index in chunks:
-            own = counts[at : at + CHUNK]
-            sums[at : at + CHUNK] = np.where(own > 0, np.add.reduceat(np.append(w[index], 0.0), np.cumsum(own) - own), 0)
+        for at, (index, own) in zip(starts, parts):
+            sums[at : at + len(own)] = np.where(own > 0, np.add.reduceat(np.append(w[index], 0.0), np.cumsum(own) - own), 0)
         return sums * norm
 
     def by_feature(values: np.ndarray) -> np.ndarray:
         out = np.zeros(size)
-        for at, index in chunks:
-            out += np.bincount(index, np.repeat(values[at : at + CHUNK], counts[at : at + CHUNK]), size)
+        for at, (index, own) in zip(starts, parts):
+            out += np.bincount(index, np.repeat(values[at : at + len(own)], own), size)
         return out
 
     p = by_feature((labels == 1).astype(float)) + 1
@@ -144,9 +143,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = texts.mapInArrow(run, "doc_id long, label int, features binary")
-    once = rows.dropDuplicates(["doc_id", "label", "features"]).orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(sample).toArrow()
-    label_values = np.array(once.column("label").to_pylist(), np.int64)
-    return fit([np.frombuffer(b.as_py(), np.int32) for b in once.column("features")], label_values)
+    # Rows are ordered and cut by narrow columns: only the features of chosen rows come to the driver, once.
+    once = stored(rows.dropDuplicates(["doc_id", "label", "features"]), "features")
+    place = [F.xxhash64("doc_id", "label"), F.col("doc_id"), F.col("label"), F.xxhash64("features")]
+    if once.count() > sample:
+        last = once.select(F.struct(*place).alias("place")).orderBy("place").limit(sample).agg(F.max("place").alias("last"))
+        once = once.join(F.broadcast(last), F.struct(*place) <= F.col("last")).drop("last")  # one row
+    table = once.toArrow()
+    return fit(_parts(table), table.column("label").to_numpy().astype(np.int64))
+
+
+def _parts(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features as they lie in the table's buffers, CHUNK rows at a time."""
+    out = []
+    for batch in table.to_batches(max_chunksize=CHUNK):
+        column = batch.column(batch.schema.get_field_index("features"))
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        index = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int32) if ends[-1] > ends[0] else np.zeros(0, np.int32)
+        out.append((index, np.diff(ends) // 4))
+    return out
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], text: str = "text") -> DataFrame:
