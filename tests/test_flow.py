@@ -103,10 +103,43 @@ def test_posting_page(spark):
     assert all(rows[u][f] is None for u in "vw" for f in config.FIELD_ORDER)
 
 
+def fields_of(spark, body):
+    df = spark.createDataFrame([(body,)], "html string")
+    return {k: v for k, v in pages.posting_fields(df, "html", []).first().asDict().items() if v is not None}
+
+
 def test_long_page_does_not_exhaust_the_matcher(spark):
-    body = "<li><span class='sub-titulo-2'>EXPERIENCIA</span><span class='detalle-sp'>" + "palabra " * 40000 + "</span></li>"
-    df = spark.createDataFrame([(("<p>x</p>" * 5000) + body,)], "html string")
-    assert len(df.select(pages.labelled_field(F.col("html"), "EXPERIENCIA", "sub-titulo-2")).first()[0]) == 8 * 40000 - 1
+    body = "<li><span class='sub-titulo-2'>EXPERIENCIA</span><span class='detalle-sp'>" + "palabra<br>" * 20000 + "</span></li>"
+    assert len(fields_of(spark, "<p>x</p>" * 5000 + body)["experience_requirements"]) == 7 * 20000
+
+
+def test_values_nest_to_any_depth(spark):
+    deep = "<div class='a'>" * 7 + "x<div>y</div>" + "</div>" * 7
+    page = f"<ul><li><span class='sub-titulo-2'>EXPERIENCIA</span><div class='b detalle-sp'>{deep} end</div> no</li></ul>"
+    assert fields_of(spark, page) == {"experience_requirements": "xy end"}
+
+
+def test_labels_with_markup_and_entities(spark):
+    page = """<LI><SPAN CLASS="sub-titulo">REMUNERACI&Oacute;N<b>:</b></SPAN><br/><img src="a>b.png" alt='<b>'>
+      <p class=detalle-sp>S/.&nbsp;1&#48;&#x30;0 &euro;&#128; &amp;lt; &unknown; a<3&nbsp;</p></LI>
+      <li><span class='sub-titulo'><i>CANTIDAD</i>&nbsp;DE\n<b>VACANTES</b></span><span class='detalle-sp'>2</span></li>
+      <li><span class='sub-titulo-2'>N&ordm; <b>77</b></span></li>
+      <!-- <span class='sub-titulo-2'>EXPERIENCIA</span><span class='detalle-sp'>no</span> -->"""
+    assert fields_of(spark, page) == {
+        "monthly_salary": "S/.\u00a01000 \u20ac\u20ac &lt; &unknown; a<3", "number_of_vacancies": "2", "posting_unique_id": "77",
+    }
+
+
+def test_values_are_later_siblings_only(spark):
+    label = "<span class='sub-titulo-2'>CONOCIMIENTO</span>"
+    value = "<span class='detalle-sp'>{}</span>"
+    other = "<li>" + value.format("other") + "</li>"
+    assert fields_of(spark, f"<ul><li>{value.format('before')}{label}</li>{other}</ul>") == {}
+    assert fields_of(spark, f"<ul><li>{label}<div>{value.format('inside')}</div></li>{other}</ul>") == {}
+    # A label without value leaves the field to the next one that has one; two labels may share a value.
+    again = f"<ul><li>{label}</li><li>{label}<span class='sub-titulo-2'>EXPERIENCIA</span>{value.format('mine')}{value.format('later')}</li></ul>"
+    assert fields_of(spark, again) == {"knowledge": "mine", "experience_requirements": "mine"}
+    assert fields_of(spark, f"<div>{label}{value.format('open')[:-7]}") == {"knowledge": "open"}
 
 
 def test_sheets_with_extra_and_missing_columns(spark):

@@ -189,7 +189,7 @@ _PROGRAMS = f"""
 
 def _text_of(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, char in pages.ENTITIES:
+    for name, char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]:
         out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"nullif(regexp_replace({out}, '^[{WS}]+|[{WS}]+$', '', 'g'), '')"
 
