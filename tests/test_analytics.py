@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vacantlens.operators import dispersion, filters, hierarchy, incremental, profile, repeats
+from vacantlens.operators import dispersion, filters, hierarchy, incremental, profile, repeats, scan
 from vacantlens.operators.quantiles import describe, exact_quantiles, histogram, value_bucket
 
 
@@ -129,6 +129,26 @@ def test_forward_fill_equals_pandas(spark, cells, block):
     assert got == {n: tuple(None if pd.isna(v) else v for v in want.loc[n]) for n in want.index}
 
 
+def test_blocks_are_even_however_positions_lie(spark):
+    # Ids spread over 10^12, most of them crowded at the start; one part holds most rows.
+    ids = spark.range(20000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.concat(F.lit("p"), F.col("id") % 500)).alias("part"),
+        F.when(F.col("id") < 15000, F.col("id")).otherwise(F.col("id") * 50_000_000 - 10).alias("n"),
+        F.when(F.col("id") % 97 == 0, F.col("id")).alias("v"),
+    )
+    blocks = [tuple(r) for r in scan.balanced_blocks(ids, "part", "n", 1000).groupBy("_block").agg(
+        F.count("*"), F.min(F.struct("part", "n")), F.max(F.struct("part", "n"))).orderBy("_block").collect()]
+    assert len(blocks) >= 15 and max(b[1] for b in blocks) <= 2000 and sum(b[1] for b in blocks) == 20000
+    order = lambda x: (x.part is not None, x.part or "", x.n)
+    assert all(order(a[3]) < order(b[2]) for a, b in zip(blocks, blocks[1:]))
+    got = {(r.part, r.n): r.v for r in hierarchy.forward_fill(ids, ["v"], "part", "n", 1000).collect()}
+    last, want = {}, {}
+    for r in sorted(ids.collect(), key=order):
+        last[r.part] = r.v if r.v is not None else last.get(r.part)
+        want[(r.part, r.n)] = last[r.part]
+    assert got == want
+
+
 def test_program_rows_drop_headers_and_bad_levels(spark):
     df = spark.createDataFrame(
         [("s", 1, "A", None, "Codigo", "nivel"), ("s", 2, None, None, "p1", "001016"), ("s", 3, "B", "b", None, "001016"),

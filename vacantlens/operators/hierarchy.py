@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantlens.functions.parsing import academic_level_digit
 from vacantlens.functions.text import strip
+from vacantlens.operators.scan import BLOCK_ROWS, balanced_blocks, same_block
 
 
 def catalog_distinct(df: DataFrame, columns: Sequence[str], required: str) -> DataFrame:
@@ -58,14 +59,14 @@ def roll_up(levels: Sequence[DataFrame]) -> DataFrame:
 
 
 def forward_fill(
-    df: DataFrame, columns: Sequence[str], part: str, row_number: str, block_rows: int = 65536
+    df: DataFrame, columns: Sequence[str], part: str, row_number: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Fill nulls with the last value above, per part, in ``row_number`` order.
 
-    Rows are ordered only inside blocks of ``block_rows``; the value a block starts with
-    comes from the block ends before it, so one long part spreads over many tasks.
+    Rows are ordered only inside even blocks of about ``block_rows`` rows; the value a block starts
+    with comes from the block ends before it, so one long part spreads over many tasks.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(row_number) / block_rows))
+    blocked = balanced_blocks(df, part, row_number, block_rows)
     inside = W.partitionBy(part, "_block").orderBy(row_number).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(part).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     local = blocked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
@@ -73,7 +74,7 @@ def forward_fill(
     carried = ends.select(
         part, "_block", *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
-    out = local.join(carried, [part, "_block"])
+    out = same_block(local, carried, part)
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}")))
     return out.select(*df.columns)

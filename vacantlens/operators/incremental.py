@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantlens import config
+from vacantlens.operators.scan import BLOCK_ROWS, balanced_blocks, same_block
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -49,21 +50,22 @@ def duplicate_run_frontier(
     duplicate: str,
     saved: str,
     threshold: int = config.DUPLICATE_RUN,
-    block_rows: int = 65536,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Where each source reaches ``threshold`` duplicates in a row.
 
     A saved row ends the run; any other row leaves it as it is. ``seq`` is a unique
     integer position within the source. A source may be of any length: rows are ordered
-    only inside blocks of ``block_rows`` positions, and the run that a block starts with
-    is carried over from the block totals.
+    only inside even blocks of about ``block_rows`` rows, and the run that a block starts with
+    is carried over from the block totals. Rows without source are a source of their own.
     """
     rows = df.select(
         F.col(source),
         F.col(seq).cast("long").alias("_seq"),
         F.col(duplicate).cast("long").alias("_dup"),
         F.col(saved).cast("boolean").alias("_reset"),
-    ).withColumn("_block", F.floor(F.col("_seq") / block_rows))
+    )
+    rows = balanced_blocks(rows, source, "_seq", block_rows)
     inside = W.partitionBy(source, "_block").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_c", F.sum("_dup").over(inside)).withColumn(
         "_at_reset", F.max(F.when(F.col("_reset"), F.col("_c"))).over(inside)
@@ -78,7 +80,7 @@ def duplicate_run_frontier(
         .select(source, "_block", "_carry")
     )
     run = F.col("_c") - F.coalesce("_at_reset", F.lit(0)) + F.when(F.col("_at_reset").isNull(), F.col("_carry")).otherwise(0)
-    runs = local.join(blocks, [source, "_block"]).withColumn("_run", run)
+    runs = same_block(local, blocks, source).withColumn("_run", run)
     return runs.groupBy(source).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("_dup").alias("duplicates"),
