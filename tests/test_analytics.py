@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vacantlens.operators import dispersion, filters, hierarchy, incremental, profile, repeats, scan
+from vacantlens.operators.brackets import bracketed
 from vacantlens.operators.quantiles import describe, exact_quantiles, histogram, value_bucket
 
 
@@ -98,6 +99,46 @@ def test_zscores_equal_row_level_definition(spark):
         assert got[key].median_salary == pytest.approx(row.med)
 
 
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(" Exchange " in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_bracketed_levels_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    n = 6000
+    pdf = pd.DataFrame({
+        "k": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 6, n).astype(str)), "i": rng.integers(0, 3, n).astype(str),
+        "v": np.where(rng.random(n) < 0.3, 7.25, np.round(rng.lognormal(3, 2, n), 2) * rng.choice([-1, 1], n)),
+    })
+    pdf.loc[::50, "v"] = None
+    df = spark.createDataFrame([(a, b, None if pd.isna(v) else float(v)) for a, b, v in pdf.itertuples(index=False)] + [("only", "0", None), (None, "0", 1.0)], "k string, i string, v double")
+    probs = {0.0: "a", 0.25: "b", 0.5: "c", 0.995: "d", 1.0: "e"}
+    # 40 is coarse enough that brackets leave most rows of most keys out.
+    got = bracketed(df, [["k", "i"], ["k"], []], "v", probs, {"n": F.count("v")}, accuracy=40)
+    assert exchanges(got) <= 6
+    rows = {(r._level, r.k, r.i): r for r in got.collect()}
+    want = {(0, *key): g for key, g in pdf.groupby(["k", "i"])} | {(1, key, None): g for key, g in pdf.groupby("k")} | {(2, None, None): pdf}
+    assert set(rows) == set(want) | {(0, "only", "0"), (1, "only", None)}
+    for key, g in want.items():
+        v = g.v.dropna()
+        assert rows[key].n == len(v)
+        assert [rows[key][name] for name in probs.values()] == pytest.approx(list(np.quantile(v, list(probs))), abs=1e-9)
+    assert rows[(1, "only", None)].c is None and rows[(1, "only", None)].n == 0
+
+
+def test_pay_reports_read_facts_once(spark):
+    rows = [("o%d" % (i % 3), "s%d" % (i % 11), "t%d" % (i % 11 % 2), float(i * 37 % 101)) for i in range(500)]
+    df = spark.createDataFrame(rows, "o string, s string, t string, p double")
+    for report in (
+        dispersion.institution_pay(df, ["o"], "s", "p"), dispersion.tier_pay(df, ["o"], "t", "p"), dispersion.tier_zscores(df, "o", "t", "s", "p"),
+    ):
+        # What is left to do reads stored tables only.
+        assert "Scan ExistingRDD" not in report._jdf.queryExecution().executedPlan().toString()
+        assert exchanges(report) <= 6
+
+
 def brute_frontier(events, threshold):
     out = {}
     for source, seq, dup, saved in sorted(events, key=lambda e: (e[0], e[1])):

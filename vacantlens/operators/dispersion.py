@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from vacantlens import config
 from vacantlens.functions.numeric import fixed_mean, fixed_sum, round_even
-from vacantlens.operators.quantiles import attach_quantiles, describe, histogram, with_keys
+from vacantlens.operators.brackets import bracketed
+from vacantlens.operators.quantiles import attach_quantiles, histogram
+from vacantlens.session import stored
 
 
 def plausible(df: DataFrame, pay: str, low: float = config.SALARY_MIN, high: float = config.SALARY_MAX) -> DataFrame:
@@ -56,17 +58,19 @@ def pay_dispersion(
     rows = plausible(df.where(F.col(code).isNotNull()), pay, low, high).select(
         F.col(code).cast("string").alias("code"), F.col(institution).alias("_inst"), F.col(pay).alias("_pay")
     )
-    stats = (
-        rows.groupBy("code")
-        .agg(
-            F.count(F.lit(1)).alias("postings"),
-            F.countDistinct("_inst").alias("institutions"),
-            fixed_mean(F.col("_pay")).alias("avg_salary"),
-            F.stddev_samp("_pay").alias("std_salary"),
-        )
-        .where((F.col("postings") >= min_postings) & (F.col("institutions") >= min_institutions))
+    stats = bracketed(
+        rows,
+        [["code"]],
+        "_pay",
+        {0.5: "median_salary"},
+        {
+            "postings": F.count(F.lit(1)),
+            "institutions": F.countDistinct("_inst"),
+            "avg_salary": fixed_mean(F.col("_pay")),
+            "std_salary": F.stddev_samp("_pay"),
+        },
+        having=(F.col("postings") >= min_postings) & (F.col("institutions") >= min_institutions),
     )
-    stats = attach_quantiles(stats, rows, ["code"], "_pay", {0.5: "median_salary"})
     named = stats.join(
         labels.select(F.col("codigo").cast("string").alias("code"), "descripcion"), "code", "left"
     )
@@ -82,23 +86,35 @@ def institution_pay(df: DataFrame, keys: Sequence[str], institution: str, pay: s
     keys = list(keys)
     group = [*keys, institution]
     c = F.col(pay)
-    stats = with_keys(df, group).groupBy(*group).agg(
-        F.count(c).alias("postings"),
-        fixed_mean(c).alias("avg_salary"),
-        F.stddev_samp(c).alias("std_salary"),
-        F.min(c).alias("min_salary"),
-        F.max(c).alias("max_salary"),
+    rows = bracketed(
+        df.select(*group, pay),
+        [group, keys],
+        pay,
+        {0.5: "median_salary"},
+        {
+            "postings": F.count(c),
+            "avg_salary": fixed_mean(c),
+            "std_salary": F.stddev_samp(c),
+            "min_salary": F.min(c),
+            "max_salary": F.max(c),
+        },
     )
-    # Values are counted once per institution; the overall median adds up those counts.
-    counted = with_keys(df, [*group, pay]).groupBy(*group, pay).agg(F.count(F.lit(1)).alias("_f"))
-    stats = attach_quantiles(stats, counted, group, pay, {0.5: "median_salary"}, "_f")
-    return attach_quantiles(stats, counted, keys, pay, {0.5: "overall_median"}, "_f")
+    rows = stored(rows, "levels")
+    own = rows.where("_level = 0").drop("_level")
+    overall = rows.where("_level = 1").select(*keys, F.col("median_salary").alias("overall_median"))
+    return own.join(overall, keys, "left") if keys else own.withColumn("overall_median", overall.scalar())
 
 
 def tier_pay(df: DataFrame, keys: Sequence[str], tier: str, pay: str) -> DataFrame:
     """count, median, mean, std of pay per tier, rounded to cents."""
-    rows = df.where(F.col(tier).isNotNull())
-    full = describe(rows, pay, [*keys, tier])
+    c = F.col(pay)
+    full = bracketed(
+        df.select(*keys, tier, pay),
+        [[*keys, tier]],
+        pay,
+        {0.5: "q50"},
+        {"count": F.count(c), "mean": fixed_mean(c), "std": F.stddev_samp(c)},
+    )
     return full.select(
         *keys,
         tier,
@@ -127,11 +143,13 @@ def tier_zscores(
     """
     group = [occupation, tier]
     rows = df.where(F.col(tier).isNotNull() & F.col(occupation).isNotNull() & F.col(pay).isNotNull())
-    inst = rows.groupBy(*group, institution).agg(
-        F.count(F.lit(1)).alias("postings"),
-        fixed_sum(F.col(pay)).alias("_sum"),
-        F.var_pop(pay).alias("_var"),
-    ).withColumn("_avg", F.col("_sum") / F.col("postings"))
+    inst = stored(bracketed(
+        rows.select(*group, institution, pay),
+        [[*group, institution]],
+        pay,
+        {0.5: "median_salary"},
+        {"postings": F.count(F.lit(1)), "_sum": fixed_sum(F.col(pay)), "_var": F.var_pop(pay)},
+    ), "institutions").withColumn("_avg", F.col("_sum") / F.col("postings"))
     means = inst.groupBy(*group).agg(
         F.sum("postings").alias("tier_n"), (F.sum("_sum") / F.sum("postings")).alias("tier_mean")
     )
@@ -147,9 +165,8 @@ def tier_zscores(
     scored = (
         inst.where(F.col("postings") >= min_postings)
         .join(tiers, group)
-        .select(*group, institution, "postings", z.alias("avg_z_score"))
+        .select(*group, institution, "postings", z.alias("avg_z_score"), "median_salary")
     )
-    scored = attach_quantiles(scored, rows, [*group, institution], pay, {0.5: "median_salary"})
     return scored.withColumn("flagged", F.coalesce(F.abs("avg_z_score") > z_limit, F.lit(False)))
 
 

@@ -104,13 +104,18 @@ def _of_class(part: Column, name: str) -> Column:
     return F.contains(part["classes"], F.lit(f" {name} "))
 
 
-def _text(parts: Column, start: Column, end: Column) -> Column:
-    """Text of the parts ``start`` to before ``end``, counted from 1."""
-    return _trimmed(strip(decoded(F.array_join(F.transform(F.slice(parts, start, end - start), lambda p: p["text"]), ""))))
+def _raw(parts: Column, start: Column, end: Column) -> Column:
+    """Text of the parts ``start`` to before ``end``, counted from 1, as it is written."""
+    return F.array_join(F.transform(F.slice(parts, start, end - start), lambda p: p["text"]), "")
 
 
-def first_element(parts: Column, name: str, of_class: str) -> Column:
-    """Text of the first element of that name and class, whatever it holds; null if absent or empty."""
+def _read(texts: Column) -> Column:
+    """Written texts as a browser shows them; empty ones are null."""
+    return F.transform(texts, lambda t: F.nullif(_trimmed(strip(decoded(t))), F.lit("")))
+
+
+def element_span(parts: Column, name: str, of_class: str) -> Column:
+    """(at, end): the parts of the first element of that name and class, whatever it holds; at 0 if absent."""
     start = F.struct(*[F.lit(v).cast("int").alias(k) for k, v in {"i": 1, "depth": 0, "at": 0, "end": 0, "base": _NONE}.items()])
 
     def step(s: Column, p: Column) -> Column:
@@ -122,8 +127,7 @@ def first_element(parts: Column, name: str, of_class: str) -> Column:
             F.when(ends, s["i"]).otherwise(s["end"]).alias("end"), F.when(begins, s["depth"]).otherwise(s["base"]).alias("base"),
         )
 
-    span = F.aggregate(parts, start, step, lambda s: F.struct(s["at"].alias("at"), F.when(s["end"] == 0, s["i"]).otherwise(s["end"]).alias("end")))
-    return F.when(span["at"] > 0, F.nullif(_text(parts, span["at"], span["end"]), F.lit("")))
+    return F.aggregate(parts, start, step, lambda s: F.struct(s["at"].alias("at"), F.when(s["end"] == 0, s["i"]).otherwise(s["end"]).alias("end")))
 
 
 _LABEL = "at int, end int, requirement boolean, depth int"
@@ -182,37 +186,35 @@ def label_spans(parts: Column, label: str, requirement: str, value: str) -> Colu
     return F.aggregate(parts, start, step, finish)
 
 
-def _label_text(parts: Column, span: Column) -> Column:
-    return F.regexp_replace(_text(parts, span["at"], span["end"]), _BLANK, " ")
-
-
-def labelled(df: DataFrame, html: str, keep: list[str], value_class: str = config.PAGE_VALUE_CLASS) -> DataFrame:
-    """``keep`` with _parts; _pairs (at, requirement, label, span) of labels that have a value, by place in the
-    page; _labels (requirement, label) of all labels."""
+def labelled(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
+    """``keep`` with _parts, _labels (at, requirement, label) and _pairs (at, requirement, label, from, to),
+    the labels that have a value, by place in the page."""
     parts = df.select(*keep, page_parts(F.col(html)).alias("_parts"))
-    spans = parts.withColumn("_spans", label_spans(F.col("_parts"), config.PAGE_LABEL_CLASS, config.PAGE_REQUIREMENT_CLASS, value_class))
-    named = lambda x: _label_text(F.col("_parts"), x)
-    return spans.select(
-        *keep,
-        "_parts",
-        F.array_sort(
-            F.transform(
-                "_spans.pairs",
-                lambda x: F.struct(
-                    x["at"].alias("at"), x["requirement"].alias("requirement"), named(x).alias("label"), x["value_at"].alias("from"), x["value_end"].alias("to")
-                ),
-            )
-        ).alias("_pairs"),
-        F.transform("_spans.labels", lambda x: F.struct(x["requirement"].alias("requirement"), named(x).alias("label"))).alias("_labels"),
+    spans = parts.withColumn(
+        "_spans", label_spans(F.col("_parts"), config.PAGE_LABEL_CLASS, config.PAGE_REQUIREMENT_CLASS, config.PAGE_VALUE_CLASS)
+    )
+    texts = spans.withColumn("_texts", _read(F.transform("_spans.labels", lambda x: _raw(F.col("_parts"), x["at"], x["end"]))))
+    named = F.zip_with(
+        "_spans.labels",
+        "_texts",
+        lambda x, t: F.struct(x["at"].alias("at"), x["requirement"].alias("requirement"), F.regexp_replace(t, _BLANK, " ").alias("label")),
+    )
+    labels = texts.withColumn("_labels", named)
+    pair = lambda x: F.struct(
+        x["at"].alias("at"),
+        x["requirement"].alias("requirement"),
+        F.get(F.filter("_labels", lambda y: y["at"] == x["at"]), F.lit(0))["label"].alias("label"),
+        x["value_at"].alias("from"),
+        x["value_end"].alias("to"),
     )
+    return labels.select(*keep, "_parts", "_labels", F.array_sort(F.transform("_spans.pairs", pair)).alias("_pairs"))
 
 
-def labelled_field(label: str, requirement: bool) -> Column:
-    """Value beside the first label of ``labelled`` rows that contains ``label`` and has a value."""
+def _value(label: str, requirement: bool) -> Column:
+    """Written value beside the first label of ``labelled`` rows that contains ``label`` and has a value."""
     words = " ".join(label.split())
     fits = F.filter("_pairs", lambda x: (x["requirement"] == requirement) & F.contains(x["label"], F.lit(words)))
-    first = F.get(fits, F.lit(0))
-    return F.when(F.size(fits) > 0, F.nullif(_text(F.col("_parts"), first["from"], first["to"]), F.lit("")))
+    return F.get(F.transform(F.slice(fits, 1, 1), lambda x: _raw(F.col("_parts"), x["from"], x["to"])), F.lit(0))
 
 
 def posting_id() -> Column:
@@ -225,12 +227,16 @@ def posting_id() -> Column:
 
 def posting_fields(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """All posting fields of each stored page; absent fields are null."""
-    found = {n: labelled_field(label, False) for n, label in config.PAGE_LABELS.items()}
-    found |= {n: labelled_field(label, True) for n, label in config.PAGE_REQUIREMENT_LABELS.items()}
-    found["job_title"] = first_element(F.col("_parts"), "span", config.PAGE_TITLE_CLASS)
-    found["institution"] = first_element(F.col("_parts"), "span", config.PAGE_INSTITUTION_CLASS)
-    found["posting_unique_id"] = posting_id()
-    return labelled(pages, html, keep).select(*keep, *[found[n].alias(n) for n in config.FIELD_ORDER])
+    heads = {"job_title": config.PAGE_TITLE_CLASS, "institution": config.PAGE_INSTITUTION_CLASS}
+    found = {n: _value(label, False) for n, label in config.PAGE_LABELS.items()}
+    found |= {n: _value(label, True) for n, label in config.PAGE_REQUIREMENT_LABELS.items()}
+    found |= {n: F.when(F.col(f"_{n}.at") > 0, _raw(F.col("_parts"), F.col(f"_{n}.at"), F.col(f"_{n}.end"))) for n in heads}
+    rows = labelled(pages, html, keep).withColumns({f"_{n}": element_span(F.col("_parts"), "span", c) for n, c in heads.items()})
+    # All texts go through one expression, each step is computed once per page.
+    raw = rows.select(*keep, posting_id().alias("posting_unique_id"), F.array(*found.values()).alias("_raw"))
+    read = raw.select(*keep, "posting_unique_id", _read(F.col("_raw")).alias("_read"))
+    columns = {n: F.get("_read", F.lit(i)) for i, n in enumerate(found)} | {"posting_unique_id": F.col("posting_unique_id")}
+    return read.select(*keep, *[columns[n].alias(n) for n in config.FIELD_ORDER])
 
 
 def article_fields(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
