@@ -366,3 +366,34 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_random_strings_score_below_the_corpus(spark):
+    """Most words of this corpus lie outside the vocabulary; strings of random letters are no likelier than they."""
+    rng = np.random.default_rng(3)
+    parts = ["ba", "ren", "to", "li", "mas", "ku", "ver", "an", "so", "din"]
+    lexicon = ["".join(rng.choice(parts, 4)) for _ in range(9000)]
+    rows = [(i, " ".join(rng.choice(lexicon, 120))) for i in range(300)]
+    noise = [(1000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(120))) for i in range(2)]
+    docs = spark.createDataFrame([*rows, *noise, (2000, None), (2001, " ")], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.scored_documents(docs).collect()}
+    assert got[2000] is None and got[2001] is None
+    assert max(got[1000], got[1001]) < np.quantile([got[i] for i, _ in rows], 0.05)
+
+
+def test_spelling_costs_equal_a_loop():
+    texts = ["Ab a", None, "", "\u00e9ab  b\tAB", "x" * 70000 + " " + "ab " * 30000]
+    data, offsets = text.utf8(pa.array(texts, pa.string()))
+    pairs = np.zeros(lm.PAIRS, np.int64)
+    runs = [(first, len(counts), len(words)) for first, counts, words in text.word_hashes(data, offsets)]
+    for first, n, words in runs:
+        lm._count_pairs(pairs, data, offsets, first, n, np.ones(words, bool))
+    want = np.zeros((256, 256), np.int64)
+    words = [w.lower().encode() for t in texts for w in (t or "").split()]
+    for w in words:
+        for a, b in zip(b" " + w, w + b" "):
+            want[a, b] += 1
+    assert (pairs.reshape(256, 256) == want).all()
+    letters = lm.spelling(pairs)
+    got = np.concatenate([lm._spelling_costs(letters, data, offsets, first, n) for first, n, _ in runs])
+    assert np.allclose(got, [sum(letters[a, b] for a, b in zip(b" " + w, w + b" ")) for w in words])

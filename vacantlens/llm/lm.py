@@ -5,14 +5,17 @@ vocabulary a conditional probability: position-wise embeddings are added up, pas
 and a softmax over classes and one over the words of a class share the output. A document's
 score is the sum over all its words of the log-probability given both sides.
 
-Everything is learnt from all documents: the vocabulary from word counts of the whole corpus
+Words outside the vocabulary share one entry; each of them is charged that entry's probability times
+that of its spelling, by a model of byte pairs, so that rare and random words are not likely ones.
+
+Everything is learnt from all documents: the byte pairs from every outside word, the vocabulary from word counts of the whole corpus
 (added up in the shuffle), the weights in one pass over every window of every text. Each task
 trains in numpy from the same start on its own texts; the weights are averaged by trained
 windows, added up in the shuffle.
 
 Defined cases: a null or wordless text has 0 words, log-likelihood 0 and a null mean; rows that
 repeat a doc_id are separate documents; beyond a text's ends stands a boundary word; words
-outside the vocabulary share one entry; an empty corpus scores nothing and gives no rows.
+outside the vocabulary are spelt out; an empty corpus scores nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantlens.llm.sums import BLOCKS, PARTIAL, add_up, partial
-from vacantlens.llm.text import bounded_batches, utf8, word_hashes
+from vacantlens.llm.text import _LOWER, _SPACE, PIECE, _cut, bounded_batches, utf8, word_hashes
 from vacantlens.session import ship
 
 SIDE = 2
@@ -37,6 +40,9 @@ WIDTH = 16
 BATCH, RATE = 4096, 0.3
 #: Distinct words a task counts before it sends them on.
 COUNTED = 1 << 19
+#: Stands before and after a word's bytes; what every byte pair counts at least.
+EDGE, LEAST_PAIR = 0x20, 0.01
+PAIRS = 256 * 256
 
 
 @dataclass
@@ -125,10 +131,61 @@ def _runs(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(low), int(high), int(group[low])
 
 
+def _bytes_of(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(byte before, byte, whether it begins its word, whether it ends it) of all bytes in words."""
+    solid, letters = ~_SPACE[data], _LOWER[data].astype(np.int64)
+    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    before[1:], after[:-1] = solid, solid
+    before[breaks] = False
+    after[breaks] = False
+    at = np.flatnonzero(solid)
+    first, last = ~before[at], ~after[at + 1]
+    return np.where(first, EDGE, letters[at - 1]), letters[at], first, last
+
+
+def _spelt(data: np.ndarray, offsets: np.ndarray, first: int, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``_bytes_of`` the words of a run of texts, in the words' order, a bounded piece at a time."""
+    low, high = int(offsets[first]), int(offsets[first + texts])
+    if texts > 1 or high - low <= PIECE:
+        yield _bytes_of(data[low:high], offsets[first + 1 : first + texts] - low)
+        return
+    while low < high:
+        stop = _cut(data, low, high)
+        yield _bytes_of(data[low:stop], np.zeros(0, np.int64))
+        low = stop
+
+
+def spelling(pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of a byte after another, from the counts of pairs."""
+    counts = np.maximum(pairs.reshape(256, 256), 0) + LEAST_PAIR
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+def _count_pairs(pairs: np.ndarray, data: np.ndarray, offsets: np.ndarray, first: int, texts: int, outside: np.ndarray) -> None:
+    """Adds the byte pairs of a run's words for which ``outside`` holds."""
+    done = 0
+    for before, byte, begins, ends in _spelt(data, offsets, first, texts):
+        word = np.cumsum(begins) - 1
+        own = outside[done + word] if len(word) else np.zeros(0, bool)
+        pairs += np.bincount((before * 256 + byte)[own], minlength=PAIRS)
+        pairs += np.bincount((byte * 256 + EDGE)[own & ends], minlength=PAIRS)
+        done += int(begins.sum())
+
+
+def _spelling_costs(letters: np.ndarray, data: np.ndarray, offsets: np.ndarray, first: int, texts: int) -> np.ndarray:
+    """Log-probability of every word's spelling in a run of texts."""
+    out = [np.zeros(0)]
+    for before, byte, begins, ends in _spelt(data, offsets, first, texts):
+        if len(byte):
+            out.append(np.add.reduceat(letters[before, byte] + np.where(ends, letters[byte, EDGE], 0.0), np.flatnonzero(begins)))
+    return np.concatenate(out)
+
+
 class Vocabulary:
-    """Word hashes to entries, by a sorted table; 0 is every other word."""
+    """Word hashes to entries, by a sorted table; 0 is every other word, spelt by ``letters``."""
 
     def __init__(self, hashes: np.ndarray) -> None:
+        self.letters = spelling(np.zeros(PAIRS))
         order = np.argsort(hashes)
         self.hashes, self.entries = hashes[order], (order + 1).astype(np.int32)
 
@@ -199,19 +256,23 @@ def learn(docs: DataFrame, text: str = "text", seed: int = 42) -> tuple[Vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shipped.value
         network, trained, steps = Network.of(flat), 0, 0
+        pairs = np.zeros(PAIRS, np.int64)
         for batch in batches:
-            for around, centre in _examples(batch.column(0), known):
+            for around, centre in _examples(batch.column(0), known, pairs):
                 for at in range(0, len(centre), BATCH):
                     own = centre[at : at + BATCH]
                     order = np.argsort(own // CLASSES, kind="stable")
                     network.train(around[at : at + BATCH][order], own[order], RATE / (1 + steps / 2000))
                     trained, steps = trained + len(own), steps + 1
         if trained:
-            yield from partial(_grid(np.append(network.flat().astype(np.float64) * (trained / 1e6), trained / 1e6)))
+            weights = network.flat().astype(np.float64) * (trained / 1e6)
+            yield from partial(_grid(np.concatenate([pairs, weights, [trained / 1e6]])))
 
-    size = len(begin.flat()) + 1
+    size = PAIRS + len(begin.flat()) + 1
     total = add_up(texts.mapInArrow(run, PARTIAL), (-(-size // ROW), ROW)).ravel()[:size]
-    return vocabulary, Network.of(total[:-1] / total[-1]) if total[-1] > 0 else begin
+    shipped.destroy()
+    vocabulary.letters = spelling(total[:PAIRS])
+    return vocabulary, Network.of(total[PAIRS:-1] / total[-1]) if total[-1] > 0 else begin
 
 
 ROW = 256
@@ -226,10 +287,13 @@ def _grid(flat: np.ndarray) -> np.ndarray:
 assert VOCABULARY * WIDTH // ROW >= BLOCKS
 
 
-def _examples(column: pa.Array, known: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, counts, words in word_hashes(*utf8(column)):
+def _examples(column: pa.Array, known: Vocabulary, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and masked words; adds the byte pairs of outside words to ``pairs``."""
+    data, offsets = utf8(column)
+    for first, counts, words in word_hashes(data, offsets):
         if len(words):
             entries = known(words)
+            _count_pairs(pairs, data, offsets, first, len(counts), entries == 0)
             yield windows(entries, counts), entries
 
 
@@ -244,11 +308,14 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], columns: list[str]
         known, network = shipped.value
         for batch in batches:
             sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, counts, words in word_hashes(*utf8(batch.column(0))):
+            data, offsets = utf8(batch.column(0))
+            for first, counts, words in word_hashes(data, offsets):
                 entries = known(words)
                 around = windows(entries, counts)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 sizes[first : first + len(counts)] = counts
+                spelt = np.where(entries == 0, _spelling_costs(known.letters, data, offsets, first, len(counts)), 0.0)
+                sums[first : first + len(counts)] += np.bincount(owner, spelt, len(counts))
                 for at in range(0, len(entries), 2 * BATCH):
                     own = entries[at : at + 2 * BATCH]
                     order = np.argsort(own // CLASSES, kind="stable")
