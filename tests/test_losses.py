@@ -148,3 +148,37 @@ def test_copies_go_before_the_first_shuffle(spark):
     assert {r["id"] for r in out.collect()} == {0, 2}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_documents_without_an_order_are_postings(spark, tmp_path):
+    """Every document reaches the cleaning queries, with or without an order or customer of its number."""
+    import check
+    from __spark_entry__ import oracle_sql, queries
+
+    source = "/root/testdata/sf0.001"
+    for name in check.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{source}/{name}.parquet")
+    for name, kept in (("orders", "o_orderkey % 3 <> 0"), ("customer", "c_custkey % 5 <> 0")):
+        (tmp_path / f"{name}.parquet").unlink()
+        spark.read.parquet(f"{source}/{name}.parquet").where(kept).coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        (part,) = (tmp_path / "made" / name).glob("*.parquet")
+        part.rename(tmp_path / f"{name}.parquet")
+    root, con = str(tmp_path), check.connect(str(tmp_path))
+    for name in ("clean_split", "failed_rows", "classify_contract", "posting_page_fields", "variant_counts", "pair_drilldown"):
+        assert check.compare(queries()[name](spark, root), con, oracle_sql()[name]) == "", name
+    assert queries()["classify_contract"](spark, root).count() == con.execute("SELECT count(*) FROM documents").fetchone()[0]
+
+
+def test_csv_whose_rows_are_lines_is_read_in_splits(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    rows = [(str(i), f'a "quoted", cell {i}') for i in range(5000)]
+    sinks.export_csv(spark.createDataFrame(rows, "id string, text string").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        whole = tables.read_csv(spark, path, strings("id", "text"))
+        split = tables.read_csv(spark, path, strings("id", "text"), line_breaks=False)
+        assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

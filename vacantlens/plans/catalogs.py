@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantlens.functions.text import WS
 from vacantlens.operators import hierarchy
-from vacantlens.plans.cleaning import posting_sources
+from vacantlens.plans.cleaning import SOURCES_SQL, posting_sources
 from vacantlens.session import scratch_path
 from vacantlens.sources import pages, sinks, tables
 from vacantlens.sources.schemas import strings
@@ -116,7 +116,7 @@ def csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
         F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("codigo"), "p_name", "p_brand"
     )
     sinks.export_csv(parts, path)
-    back = tables.read_csv(spark, path, strings("codigo", "p_name", "p_brand"))
+    back = tables.read_csv(spark, path, strings("codigo", "p_name", "p_brand"), line_breaks=False)
     return back.groupBy("p_brand").agg(
         F.count(F.lit(1)).alias("parts"), F.min("codigo").alias("first_code"), F.max("codigo").alias("last_code"),
         F.countDistinct("p_name").alias("names"),
@@ -234,5 +234,5 @@ ORACLES = {
              nullif(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '') AS experience_requirements,
              CAST(NULL AS VARCHAR) AS academic_profile, CAST(NULL AS VARCHAR) AS specialization, lang || ' & more' AS knowledge,
              CAST(NULL AS VARCHAR) AS competencies
-      FROM documents JOIN orders ON o_orderkey = doc_id JOIN customer ON c_custkey = o_custkey""",
+      FROM ({SOURCES_SQL})""",
 }

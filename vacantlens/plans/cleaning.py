@@ -12,6 +12,18 @@ from vacantlens.operators import clean
 from vacantlens.operators.enrich import contract_columns
 from vacantlens.sources.tables import table, text_table
 
+# What a document without an order of its number, or an order without its customer, is rendered with.
+DEFAULTS = {
+    "o_custkey": "0",
+    "o_orderstatus": "'F'",
+    "o_totalprice": "CAST(1000 AS DOUBLE)",
+    "o_orderdate": "CAST('1995-01-31 00:00:00' AS TIMESTAMP)",
+    "o_orderpriority": "'3-MEDIUM'",
+    "c_name": "'Customer'",
+    "c_mktsegment": "'GENERAL'",
+}
+_GIVEN = ", ".join(f"coalesce({name}, {value}) AS {name}" for name, value in DEFAULTS.items())
+
 # A document with the order and customer of the same number, rendered as a raw posting. Status
 # and priority decide which field is damaged, so that every rule and every failure occurs.
 # The text is plain SQL for both engines but for the two formats.
@@ -60,10 +72,14 @@ def _expression(name: str, dialect: dict[str, str]) -> str:
 
 
 def posting_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the order and customer of its number, or the default values."""
     documents = text_table(spark, root, "documents")
     orders = table(spark, root, "orders")
     customer = table(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return documents.join(orders, F.col("doc_id") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # Orders meet their customers first: the texts are shuffled once.
+    numbered = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    joined = documents.join(numbered, F.col("doc_id") == F.col("o_orderkey"), "left")
+    return joined.withColumns({name: F.expr(f"coalesce({name}, {value})") for name, value in DEFAULTS.items()})
 
 
 def raw_postings(spark: SparkSession, root: str) -> DataFrame:
@@ -71,10 +87,14 @@ def raw_postings(spark: SparkSession, root: str) -> DataFrame:
     return posting_sources(spark, root).select(*fields, F.col("o_orderdate").alias("scraped_at"), "doc_id")
 
 
+SOURCES_SQL = (
+    f"SELECT doc_id, text, lang, source, {_GIVEN} FROM documents LEFT JOIN orders ON o_orderkey = doc_id "
+    "LEFT JOIN customer ON c_custkey = o_custkey"
+)
 RAW_SQL = (
     "SELECT "
     + ", ".join(f"{_expression(n, _DUCKDB)} AS {n}" for n in config.FIELD_ORDER)
-    + ", o_orderdate AS scraped_at, doc_id FROM documents JOIN orders ON o_orderkey = doc_id JOIN customer ON c_custkey = o_custkey"
+    + f", o_orderdate AS scraped_at, doc_id FROM ({SOURCES_SQL})"
 )
 
 

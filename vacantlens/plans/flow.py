@@ -56,7 +56,8 @@ def enriched_postings(spark: SparkSession, root: str) -> DataFrame:
     )
     path = scratch_path(spark, "enriched")
     sinks.write_enriched(enrich.enrich(rows, best_titles, best_names), path, sort=["isco_code", "ejecutora"])
-    return spark.read.parquet(path).drop("experience_requirements", "academic_profile", "specialization", "knowledge", "competencies")
+    texts = ["experience_requirements", "academic_profile", "specialization", "knowledge", "competencies"]
+    return spark.read.parquet(path).withColumns({name: F.sha2(name, 256) for name in texts})
 
 
 def enriched_coverage(spark: SparkSession, root: str) -> DataFrame:
@@ -100,6 +101,8 @@ _ENRICHED = f"""WITH {CLEANED_SQL}, {token_set_sql(_TITLES, _SEGMENTS)},
   a AS (SELECT posting_unique_id AS pa, {academic_flags_sql()} FROM (SELECT *, coalesce(upper(academic_profile), '') AS u FROM split)),
   enriched AS (
     SELECT posting_unique_id, job_title, institution, posting_start_date, posting_end_date, salary_amount, number_of_vacancies,
+           sha256(experience_requirements) AS experience_requirements, sha256(academic_profile) AS academic_profile,
+           sha256(specialization) AS specialization, sha256(knowledge) AS knowledge, sha256(competencies) AS competencies,
            contract_type, titles.cid AS isco_code, ejecutora, {contract_classes_sql()}, e.* EXCLUDE (pe), a.* EXCLUDE (pa),
            CAST(date_trunc('month', posting_start_date) AS DATE) AS year_month
     FROM split LEFT JOIN titles ON kid = job_title LEFT JOIN names ON c_name = institution

@@ -20,9 +20,9 @@ def titled_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def dated_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Documents with the date and customer of the order of the same number."""
+    """Every document with the date and customer of the order of the same number, if there is one."""
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", "o_custkey")
-    return text_table(spark, root, "documents").join(orders, "doc_id")
+    return text_table(spark, root, "documents").join(orders, "doc_id", "left")
 
 
 def pair_repetition(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +98,7 @@ QUERIES = {
 }
 
 _LINES = "SELECT l_suppkey AS institution, p_name AS title, l_shipdate FROM lineitem JOIN part ON p_partkey = l_partkey"
-_DATED = "SELECT d.*, o_orderdate, o_custkey FROM documents d JOIN orders ON o_orderkey = d.doc_id"
+_DATED = "SELECT d.*, o_orderdate, o_custkey FROM documents d LEFT JOIN orders ON o_orderkey = d.doc_id"
 _VARIANT = f"""SELECT *, CASE WHEN starts_with({norm('text')}, 'THE') THEN 'THE' WHEN text IS NOT NULL THEN 'OTHER' END AS variant FROM ({_DATED})"""
 
 ORACLES = {

@@ -40,9 +40,13 @@ def catalog(df: DataFrame, columns: Sequence[str], required: str, order: Sequenc
 CSV_QUOTING = {"quote": '"', "escape": '"', "multiLine": True}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a declared schema. A file is read by one task, as its cells may hold line breaks."""
-    return spark.read.schema(schema).options(header=True, **CSV_QUOTING).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """CSV with a declared schema.
+
+    Cells may hold line breaks, so that only a reader of the whole file knows where a row begins: a file
+    is one task. Say ``line_breaks=False`` of files whose rows are lines, and large ones are read in splits.
+    """
+    return spark.read.schema(schema).options(header=True, **(CSV_QUOTING | {"multiLine": line_breaks})).csv(path)
 
 
 def read_sheets(
