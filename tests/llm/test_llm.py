@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on literal rows with odd cases."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,7 +249,8 @@ def test_leaks_are_found_and_clean_documents_kept(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()}
     assert got == {(k, k) for k in range(6)}
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
-    assert decontam.drop_contaminated(df, bench).count() == len(rows) - 6
+    # The row without doc_id is an item word for word: it goes with the six.
+    assert decontam.drop_contaminated(df, bench).count() == len(rows) - 7
     assert decontam.common_subsequence(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 2, 4])) == 3
 
 
@@ -397,3 +399,67 @@ def test_spelling_costs_equal_a_loop():
     letters = lm.spelling(pairs)
     got = np.concatenate([lm._spelling_costs(letters, data, offsets, first, n) for first, n, _ in runs])
     assert np.allclose(got, [sum(letters[a, b] for a, b in zip(b" " + w, w + b" ")) for w in words])
+
+
+def test_top_k_keeps_huge_components(spark):
+    rows = [(0, [1e12, 0.0]), (20, [3e12, 1.0]), (3, [-2e12, 0.5]), (4, [0.25, 0.25]), (5, [1e300, -1e300]), (6, [float("inf"), 0.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {i: [int(np.floor(64 * min(max(x, -(2.0**56)), 2.0**56))) for x in v] for i, v in rows[:5]}
+    most = 2**63 - 1
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()
+    for q in (0, 20):
+        scores = {i: min(max(sum(a * b for a, b in zip(whole[q], v)), -most), most) for i, v in whole.items() if i != q}
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best
+
+
+def test_postings_stop_early_and_agree_with_products():
+    rng = np.random.default_rng(4)
+    matrix = np.floor(64 * rng.normal(0, 0.1, (3000, 16))).astype(np.int64)
+    matrix[:2500] //= 12  # most vectors are short: few can be among the best of a long query
+    ids, queries = np.arange(3000) * 7 + 1, matrix[2400:2600]
+    row, vector, score = topk.search(queries, ids[2400:2600], topk.segments(matrix), matrix, ids, 20)
+    whole = queries @ matrix.T
+    whole[np.arange(200), np.arange(2400, 2600)] = -(10**9)
+    for i in range(200):
+        own = np.flatnonzero(row == i)
+        own = own[np.lexsort((ids[vector[own]], -score[own]))]
+        best = np.lexsort((ids, -whole[i]))[:20]
+        assert vector[own].tolist() == best.tolist() and score[own].tolist() == whole[i][best].tolist()
+
+
+def test_lines_of_long_documents_and_clashing_names(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(i, long + f"\nown {i}", i, i, i, i) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r1 int, _gone int, row int, lines int")
+    start = time.perf_counter()
+    got = linededup.drop_repeated_lines(df).collect()
+    assert time.perf_counter() - start < 20
+    assert sorted((r["doc_id"], r["text"], r["r1"], r["_gone"], r["row"], r["lines"], r["_lines"], r["_dropped"]) for r in got) == [
+        (i, f"own {i}", i, i, i, i, 20_001, 20_000) for i in range(10)
+    ]
+
+
+def test_stages_accept_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, taken string, target string, _start string, _digest string"
+    rows = [(i, words(30, i), "en", "a", 1, *"stuvwx") for i in range(30)]
+    df = spark.createDataFrame(rows, names)
+    for stage in (corpus_pipeline.toxic, corpus_pipeline.near_duplicates, corpus_pipeline.mixed):
+        got = stage(spark, df, ROOT)
+        assert got.columns == df.columns
+        assert {tuple(r)[5:] for r in got.collect()} == {tuple("stuvwx")}
+
+
+def test_rows_that_share_an_id_but_not_their_text_stay(spark):
+    rows = [(1, words(40, 1)), (1, words(40, 2)), (1, words(40, 2)), (2, words(40, 3)), (None, words(40, 4))]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got) == sorted({r[1] for r in rows})
+
+
+def test_items_of_several_passes_and_rows_without_id(spark):
+    items = [(k, words(20 + k, 700 + k)) for k in range(8)]
+    rows = [(k, words(80, 800 + k) + " " + items[k][1] + " " + words(80, 900 + k)) for k in range(8)] + [(None, items[3][1]), (None, words(60, 5)), (None, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam._pairs(df, bench, at_once=3).where("doc_id IS NOT NULL").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(8)]
+    assert sorted(map(str, (r["text"] for r in decontam.drop_contaminated(df, bench).collect()))) == sorted(["None", words(60, 5)])

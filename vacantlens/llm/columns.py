@@ -13,3 +13,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     a generator of one row stands between them.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it until no column is called so, in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name

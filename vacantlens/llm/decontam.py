@@ -18,7 +18,7 @@
    the cover is ``SURE`` without it.
 
 Defined cases: null or wordless texts and items match nothing; rows without doc_id are left out
-of the pairs; rows that repeat a doc_id or item_id give one pair; items of fewer than
+of the pairs, but go from the documents if they hold an item; rows that repeat a doc_id or item_id give one pair; items of fewer than
 ``LEAST_WORDS`` words match only as a whole run of words; an empty benchmark or corpus gives no
 rows; further columns are ignored. A pair that only its run shows has the cosine of the passage
 around the run, which may lie below ``COSINE``.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ HELD, PAIRS = 1 << 21, 1 << 20
 COSINE, COVER, SURE, ANSWER, LEAST_WORDS = 0.6, 0.6, 0.75, 3, 6
 #: Share of a candidate passage's words that must be words of the item before they are aligned.
 SHARED = 0.5
-#: Most benchmark items: the query set is broadcast.
-MOST_ITEMS = 200_000
+#: Benchmark items of a pass over the documents: a pass broadcasts its items. Cells of a task's cosines.
+ITEMS_AT_ONCE, CELLS = 50_000, 1 << 24
 
 
 def _terms(words: np.ndarray) -> np.ndarray:
@@ -351,10 +352,7 @@ def _shown(item: np.ndarray, text: np.ndarray) -> tuple[float, bool]:
 
 
 def _items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    table = rows.dropDuplicates(["item_id", "text"]).limit(MOST_ITEMS + 1).toArrow()
-    if table.num_rows > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} benchmark items")
+    table = benchmark.toArrow()  # ITEMS_AT_ONCE rows or so
     out = []
     texts = table.column("text").combine_chunks()
     for first, counts, words in word_hashes(*utf8(texts)):
@@ -368,11 +366,25 @@ def _items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, cosine, cover): pairs of documents and benchmark items they hold, one
     row per pair, with the best passage's figures."""
-    spark = bounded_batches(ship(docs.sparkSession))
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    return _pairs(texts, benchmark, cosine, cover).where("doc_id IS NOT NULL")
+
+
+def _pairs(texts: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """The pairs of ``texts`` (text, doc_id of any type), in as many passes as the items need."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
+    passes = max(1, -(-rows.count() // at_once))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(passes))
+    texts = texts.select("text", "doc_id")
+    return reduce(DataFrame.unionByName, [_pass(texts, rows.where(part == i), cosine, cover) for i in range(passes)])
+
+
+def _pass(texts: DataFrame, benchmark: DataFrame, cosine: float, cover: float) -> DataFrame:
+    spark = bounded_batches(ship(texts.sparkSession))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     items = _items(benchmark)
     if not items:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, cover double")
+        return spark.createDataFrame([], f"doc_id {kind}, item_id long, cosine double, cover double")
     space = latent_space(texts, np.concatenate([words for _, words in items]))
     # An item longer than a passage has passages of its own: any of them may meet a document's.
     owner, pieces, keys = [], [], []
@@ -411,8 +423,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                             p = int(np.searchsorted(at[first], place[c], "right")) - 1
                             own_pieces = slice(*np.searchsorted(owners, [k, k + 1]))
                             best[o, k] = max(best.get((o, k), (0.0, 0.0)), (found, float((asked[own_pieces] @ rows[p]).max())))
-                for low in range(0, len(rows), 4096):
-                    close = rows[low : low + 4096] @ asked.T
+                step = max(1, min(4096, CELLS // len(asked)))
+                for low in range(0, len(rows), step):
+                    close = rows[low : low + step] @ asked.T
                     passage, which = np.nonzero(close >= cosine)
                     if not len(passage):
                         continue
@@ -444,11 +457,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                         names=["doc_id", "item_id", "cosine", "cover"],
                     )
 
-    found = texts.mapInArrow(run, "doc_id long, item_id long, cosine double, cover double").where("doc_id IS NOT NULL")
+    found = texts.mapInArrow(run, f"doc_id {kind}, item_id long, cosine double, cover double")
     top = F.max(F.struct("cover", "cosine")).alias("top")
     return found.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.cosine", "top.cover")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all their columns, that hold no benchmark item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all their columns, that hold no benchmark item. A row without doc_id is known by its text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))
+    found = _pairs(docs.select("text", key.alias("doc_id")), benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    # A row without id and text has no key: it matches nothing and stays.
+    return docs.join(found.withColumnRenamed("doc_id", "_"), key == F.col("_"), "left_anti").select(*docs.columns)

@@ -9,7 +9,8 @@ scratch folder.
 
 Defined cases: a null or empty text is one empty line; an empty key is never counted when
 ``least_chars`` is 1 or more; rows that repeat a doc_id are separate documents, each counted;
-an empty table gives an empty result; further columns are kept or ignored.
+an empty table gives an empty result; further columns of any name are kept, but for _lines and
+_dropped, which are made anew. The work of a document is linear in its lines.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantlens.llm.columns import once
 from vacantlens.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,23 +108,28 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 10, least_chars: int
     )
     hashed = stored(seeded, "lines")
     for batch in range(batches):
-        part = hashed.where(F.col("batch") == batch).select(F.explode(F.array_distinct("lines")).alias("h")).where("h IS NOT NULL")
+        # Each key once per document: array_distinct compares all pairs of structs, neighbours in order are few.
+        ordered = once(hashed.where(F.col("batch") == batch), "ordered", F.sort_array("lines"))
+        first = F.filter("ordered", lambda h, i: ~h.eqNullSafe(F.get("ordered", i - 1)))
+        part = ordered.select(F.explode(first).alias("h")).where("h IS NOT NULL")
         runs.add(part.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")))
     frequent = runs.frequent()
     assert frequent is not None
     places = hashed.select("r1", "r2", F.posexplode("lines").alias("pos", "h")).where("h IS NOT NULL").select("r1", "r2", "pos", "h.h1", "h.h2")
     hit = places.join(frequent, ["h1", "h2"]).groupBy("r1", "r2").agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.withColumn("r1", F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text))).withColumn("r2", F.xxhash64(F.col(text), F.col(doc_id)))
-    out = rows.join(hit, ["r1", "r2"], "left")
-    lines = _lines(F.col(text))
-    stay = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    gone = F.coalesce(F.size("_gone"), F.lit(0))
-    return (
-        out.withColumn("_lines", F.size(lines).cast("long"))
-        .withColumn("_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(gone).cast("long"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stay, "\n")))
-        .drop("r1", "r2", "_gone")
+    # A row of any columns travels as one, so that none of its names can clash.
+    rows = docs.select(
+        F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text)).alias("r1"), F.xxhash64(F.col(text), F.col(doc_id)).alias("r2"), F.struct("*").alias("row")
     )
+    out = once(rows.join(hit, ["r1", "r2"], "left"), "lines", _lines(F.col("row").getField(text)))
+    # Places as a set difference: linear in the lines, however many go.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("row").getField(text), F.lit(""))).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    )
+    added = {"_lines": F.size("lines").cast("long"), "_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    own = [kept.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return out.select(*own, *[value.alias(name) for name, value in added.items()])
 
 
 def _keyed(line: Column, least_chars: int) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vacantlens.llm.columns import free_name
 from vacantlens.llm.graph import components
 from vacantlens.llm.text import bounded_batches, distinct_per_text, mix, shingle_hashes, utf8, word_hashes
 from vacantlens.session import ship, stored
@@ -243,9 +244,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, of which one per component stays.
 
-    Rows that repeat a doc_id of a kept document are copies too: one of them stays.
+    Rows that repeat a doc_id and its text are copies too: one of them stays. Rows that share a doc_id
+    but not their text are judged by their doc_id and stay or go together.
     """
     verdict = near_duplicates(docs, shingle, percent)
     gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    # The digest is a column of the rows' own: names of documents stay apart from it.
+    known = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    digest = free_name("_digest", docs.columns)
+    once = known.withColumn(digest, F.sha2("text", 256)).dropDuplicates(["doc_id", digest])
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

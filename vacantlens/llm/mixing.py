@@ -125,18 +125,23 @@ def mixed_documents(docs: DataFrame, seed: int = 42, block: int = BLOCK, ceiling
 
     Documents of which no block was drawn are absent. n_chars, if there, is counted anew.
     """
-    planned = plan_mix(docs, docs.columns, seed=seed, block=block, ceiling=ceiling).where("taken > 0")
+    # By place, so that no column of the documents clashes with one of the plan.
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    given = docs.toDF(*place.values())
+    roles = {role: place[role] for role in ("source", "text", "doc_id")}
+    planned = plan_mix(given, given.columns, **roles, seed=seed, block=block, ceiling=ceiling).where("taken > 0")
+    own = F.col(place["text"])
     extra = F.filter(
-        F.regexp_extract_all(F.col("text"), F.lit(f"({WORDS})"), 1),
+        F.regexp_extract_all(own, F.lit(f"({WORDS})"), 1),
         lambda _, i: F.expr("_r > 0") & _is_extra(i),
     )
     more = F.col("taken") > F.col("_whole") * F.col("size")
-    copies = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
+    copies = F.array_repeat(own, F.col("_whole").cast("int"))
     text = F.array_join(F.when(more, F.concat(copies, F.array(F.array_join(extra, " ")))).otherwise(copies), "\n")
-    out = planned.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = planned.withColumn(place["text"], text)
+    if "n_chars" in place:
+        out = out.withColumn(place["n_chars"], F.char_length(own).cast(docs.schema["n_chars"].dataType))
+    return out.select(*place.values()).toDF(*docs.columns)
 
 
 def _is_extra(index: Column) -> Column:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantlens.llm.columns import free_name
 from vacantlens.llm.text import bounded_batches, mix
 from vacantlens.session import ship, stored
 
@@ -164,11 +165,11 @@ def _parts(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row with score, the probability of label 1 for its whole text."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """``columns`` of every row with ``name``, the probability of label 1 for its whole text."""
     spark = bounded_batches(ship(docs.sparkSession))
     shipped = spark.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("score", "double")
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shipped.value
@@ -181,9 +182,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str],
                     total += float(weights[own].sum(dtype=np.float64))
                     count += len(own)
                 scores.append(1 / (1 + np.exp(-(total / np.sqrt(max(count, 1)) + bias))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*columns, name])
 
-    return docs.select(F.col(text).alias("_scored_text"), *columns).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias(free_name("_scored_text", columns)), *columns).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
