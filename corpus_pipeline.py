@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. Al
 return the columns of documents; the last returns the digests read back from its files. Between
 stages the rows are written as Parquet and read again, so lineage is short and a lost executor
 repeats one stage's work at most.
+
+Defined cases: a null or empty text is never toxic by itself, is no near duplicate, holds no item,
+has no words for the mix and is therefore not drawn; of rows that repeat a doc_id and a text one
+stays; rows without doc_id pass the first two stages by their text alone and leave in the third if they
+hold an item; further columns of any name are kept up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantlens.llm import decontam, minhash, mixing, tokenids, toxicity
+from vacantlens.llm.columns import free_name
 from vacantlens.session import ship, stored
 
 
@@ -19,7 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; fitted on rows that are not held out."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
-    return toxicity.scored(docs, model, docs.columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    name = free_name("score", docs.columns)
+    return toxicity.scored(docs, model, docs.columns, name=name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
