@@ -217,6 +217,18 @@ def _value(label: str, requirement: bool) -> Column:
     return F.get(F.transform(F.slice(fits, 1, 1), lambda x: _raw(F.col("_parts"), x["from"], x["to"])), F.lit(0))
 
 
+def labelled_field(html: Column, label: str, label_class: str, value_class: str) -> Column:
+    """Value beside the first label of a page that contains ``label`` and has a value, by classes of any site."""
+    parts, words = page_parts(html), " ".join(label.split())
+    pairs = label_spans(parts, label_class, label_class, value_class)["pairs"]
+    both = F.transform(
+        F.array_sort(pairs),
+        lambda x: F.struct(_raw(parts, x["at"], x["end"]).alias("label"), _raw(parts, x["value_at"], x["value_end"]).alias("value")),
+    )
+    named = F.zip_with(_read(F.transform(both, lambda x: x["label"])), _read(F.transform(both, lambda x: x["value"])), lambda n, v: F.struct(n.alias("label"), v.alias("value")))
+    return F.get(F.filter(named, lambda x: F.contains(F.regexp_replace(x["label"], _BLANK, " "), F.lit(words))), F.lit(0))["value"]
+
+
 def posting_id() -> Column:
     """Number after 'Nº' in the first requirement label of ``labelled`` rows that has one."""
     numbers = F.transform(
