@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantlens.operators.topics import word_stages
+from vacantlens.operators.topics import fit_words
 from vacantlens.session import spread
 
 
@@ -67,8 +67,9 @@ def text_clusters(
     Each k keeps the cheapest of ``restarts`` fits; ``parallelism`` fits are submitted at a time.
     """
     ready = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    counting = fit_words(ready, words, min_df=1, max_df=None)
     stages = [
-        *word_stages(words, min_df=1, max_df=None),
+        *counting.stages,
         IDF(inputCol="counts", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features"),
     ]
