@@ -56,3 +56,17 @@ def test_far_clusters_are_skipped(spark):
     found = cosine.pruned_cosine(keys, catalog, schema, 3, 0, 100, report)
     assert found.count() >= 600
     assert report["all"] == 200 * 25 and report["met"] < report["all"] // 3
+
+
+def test_keys_are_sent_to_blocks_not_to_clusters(spark):
+    """Directions without clusters, where nothing can be skipped: a key is a row per block and pass."""
+    rng = np.random.default_rng(11)
+    noise = [[float(x) for x in rng.normal(size=16)] for _ in range(400)]
+    kdf, cdf = frames(spark, noise[:100], noise)
+    keys = kdf.select(F.col("key").alias("_key"), F.col("v").alias("_vector"), F.lit("0").alias("_level"))
+    catalog = cdf.select(F.col("code").alias("_code"), F.col("code").cast("long").alias("_position"), F.col("v").alias("_vector"), F.lit("0").alias("_level"))
+    schema = spark.createDataFrame([], "_key int, _code int, _position long, semantic_confidence long, fuzzy_confidence long, best_confidence long").schema
+    report = {}
+    found = cosine.pruned_cosine(keys, catalog, schema, 3, 0, 200, report)
+    assert found.count() >= 300
+    assert report["rows"] <= 100 * 2 * 4 < report["met"]
