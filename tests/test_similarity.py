@@ -89,3 +89,34 @@ def test_top_matches_of_a_large_catalog(spark, tables, threshold, leveled):
                 found.append((-score, c))
         want |= {(k, c, 0, -s, -s, rank) for rank, (s, c) in enumerate(sorted(found)[:3], 1)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def syllables(n, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["an", "er", "ti", "on", "the", "re", "ha", "in"]) for _ in range(rng.randrange(1, 4)))
+    return [" ".join(word() for _ in range(rng.randrange(2, 6))) for _ in range(n)]
+
+
+def test_common_pieces_meet_block_by_block(spark, monkeypatch):
+    """Texts of few syllables share most pieces: no pair of them is a row before its letters are alike enough."""
+    monkeypatch.setattr(similarity, "BLOCK_KEYS", 40)  # several blocks of a length
+    monkeypatch.setattr(similarity, "BLOCK_ENTRIES", 50)
+    keys, catalog = list(enumerate(syllables(300, 1))), list(enumerate(syllables(500, 2)))
+    kdf, cdf = spark.createDataFrame(keys, "key int, words string"), spark.createDataFrame(catalog, "code int, words string")
+    found = []
+    blocks = similarity._by_blocks
+    monkeypatch.setattr(similarity, "_by_blocks", lambda *args: found.append(blocks(*args)) or found[0])
+    got = similarity.similarity_join(kdf, cdf, "key", "code", "words", "words", 90)
+    assert sorted(map(tuple, got.collect())) == brute(keys, catalog, 90)
+    assert found and found[0].count() < 300 * 500 * 0.1
+
+
+def test_letters_in_common_of_short_and_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [sorted(("".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))) for _ in range(60)), key=len) for _ in range(2)]
+    counts = [similarity.np.array([similarity.np.bincount([ord(c) % 32 for c in t], minlength=32) for t in side], "uint16") for side in texts]
+    sizes = [similarity.np.array([len(t) for t in side]) for side in texts]
+    want = {(i, j) for i in range(60) for j in range(60) if 2 * int(similarity.np.minimum(counts[0][i], counts[1][j]).sum()) >= 0.8 * (sizes[0][i] + sizes[1][j])}
+    for levels in (similarity.LEVELS, 0):
+        monkeypatch.setattr(similarity, "LEVELS", levels)
+        assert set(zip(*map(list, similarity.alike_in_block(*counts, *sizes, 0.8)))) == want

@@ -12,7 +12,12 @@ Both conditions become equi joins:
   unbroken inside a word of any similar text that is not longer. Of more pieces the rarest are looked
   up. Lengths must allow the score as well.
 
-What the filters let through is scored by native columns from the shared words; letters are aligned
+Where pieces are common (few letter runs make up all texts), the second join would hold most pairs. A sample of the
+texts tells; then texts of fitting lengths meet in blocks instead, and a matrix product of their letter counts
+lets those through whose letters, in any order, are alike enough. That is a test of every pair of such lengths, but a cheap
+one: memory is bounded by the blocks, no pair is a row before it passed.
+
+What the filters let through is scored in Arrow batches, from the shared words first; letters are aligned
 only for pairs whose bound still reaches the threshold. The result is that of scoring every pair.
 A text that is frequent is joined once: equal word sets are one class until the end. The pieces are
 about 1 / (2 - 2t) letters long, so the join is worth its while from a threshold of about 75.
@@ -39,6 +44,10 @@ from vacantlens.session import spread, stored
 LONGEST_PIECE = 6
 #: Letters of a kind that are counted; longer texts pass without a count.
 COUNTED = 65535
+#: Texts of each side whose pieces are joined to tell how common pieces are, and the share of pairs from which blocks cost less.
+SAMPLE, COMMON = 2000, 1 / 500
+#: Texts of both sides that meet in one block, letter counts of a text that enter a matrix product, and pairs held at once.
+BLOCK_KEYS, BLOCK_ENTRIES, LEVELS, AT_ONCE = 8192, 16384, 1024, 1 << 22
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
@@ -60,12 +69,6 @@ def _enough_letters(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, sh
     return (2 * common >= share * (na + nb) - 1e-6) | (na > COUNTED) | (nb > COUNTED)
 
 
-@pandas_udf(T.IntegerType())
-def _common_letters(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([common_length(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
 def word_classes(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Adds ``words`` (sorted, distinct, comparable) and ``class``, a digest of them; rows without words are left out."""
     worded = df.select(*keep, _distinct_words(text).alias("words")).where(F.size("words") > 0)
@@ -160,6 +163,99 @@ def _by_letters(classes: DataFrame, share: float) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
 
+def _pieces_are_common(classes: DataFrame, share: float) -> bool:
+    """Whether a sample of the texts meets so often by pieces that blocks cost less. Both ways find the same pairs."""
+    order = F.xxhash64("class")
+    sides = [stored(classes.where(F.col("side") == s).orderBy(order, "class").limit(SAMPLE), "sample") for s in (0, 1)]
+    sizes = [side.count() for side in sides]
+    return _by_letters(sides[0].unionByName(sides[1]), share).count() > COMMON * sizes[0] * sizes[1]
+
+
+def _levels(counts: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A column for the first, second, ... letter of each kind: products of such rows count common letters."""
+    return np.concatenate([counts[:, [c]] > np.arange(m) for c, m in enumerate(most)], axis=1).astype(np.float32)
+
+
+def alike_in_block(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` (letter counts; lengths ascending) that have enough letters in common."""
+    most = np.minimum(a.max(axis=0), b.max(axis=0)).astype(np.int64)
+    few = most.sum() <= LEVELS
+    both = (_levels(a, most), _levels(b, most)) if few else (a.astype(np.int32), b.astype(np.int32))
+    low = np.searchsorted(nb, na * (share / (2 - share)) - 1e-6, "left")
+    high = np.searchsorted(nb, na * ((2 - share) / share) + 1e-6, "right")
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    start = 0
+    while start < len(a):
+        # Texts of about one length meet the entries of fitting lengths.
+        end = start + int(np.searchsorted(na[start:], na[start], "right"))
+        lo, hi = low[start], high[start]
+        end = min(end, start + max(1, AT_ONCE // max(1, (hi - lo) * (1 if few else 32))))
+        if hi > lo:
+            if few:
+                common = both[0][start:end] @ both[1][lo:hi].T
+            else:
+                common = np.minimum(both[0][start:end, None], both[1][None, lo:hi]).sum(axis=2)
+            least = share * (na[start] + nb[lo:hi]) - 1e-3
+            i, j = np.nonzero((2 * common >= least) | (na[start] > COUNTED) | (nb[lo:hi] > COUNTED))
+            rows.append(i + start)
+            found.append(j + lo)
+        start = end
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _by_blocks(classes: DataFrame, share: float) -> DataFrame:
+    """(a, b): pairs of texts of fitting lengths whose letters, in any order, are alike enough.
+
+    Lengths are put into cells of a tenth more each. Keys of a cell meet the entries of all lengths that fit,
+    both dealt by hash into pieces of bounded size.
+    """
+
+    def cell(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(np.log(1.1))).cast("int")
+
+    def pieces(df: DataFrame, most: int) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))  # a row per cell
+
+    def part(parts: str) -> Column:
+        return F.pmod(F.xxhash64("class"), F.col(parts)).cast("int")
+
+    texts = [classes.where(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("class", "n", "letters")]) for s in (0, 1)]
+    own = texts[0].withColumn("cell", cell(F.col("n")))
+    # Beyond both ends one cell more, for rounding.
+    fitting = F.sequence(cell(F.col("n") * (share / (2 - share))) - 1, cell(F.col("n") * ((2 - share) / share)) + 1)
+    other = texts[1].withColumn("cell", F.explode(fitting))
+    chunks = stored(pieces(own, BLOCK_KEYS).withColumnRenamed("parts", "chunks"), "chunks")
+    blocks = stored(pieces(other.drop("letters"), BLOCK_ENTRIES).withColumnRenamed("parts", "blocks"), "blocks")
+    sizes = F.broadcast(chunks.join(blocks, "cell"))
+    left = own.join(sizes, "cell").withColumns({"chunk": part("chunks"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    right = other.join(sizes, "cell").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": part("blocks")})
+    kind = classes.schema["class"].dataType
+
+    def meet(keys: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys) or not len(entries):
+            return pd.DataFrame({"a": [], "b": []})
+        sides = [side.sort_values("n", kind="stable") for side in (keys, entries)]
+        counts = [np.frombuffer(b"".join(side["letters"]), np.uint16).reshape(-1, 32) for side in sides]
+        i, j = alike_in_block(*counts, *[side["n"].to_numpy(np.int64) for side in sides], share)
+        return pd.DataFrame({"a": sides[0]["class"].to_numpy()[i], "b": sides[1]["class"].to_numpy()[j]})
+
+    # Few bytes but costly: the explicit number keeps adaptive execution from merging the tasks by size.
+    spark, group = classes.sparkSession, ["cell", "chunk", "block"]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (side.select(*[F.col(c).alias(c) for c in (*group, "class", "n", "letters")]).repartition(tasks, *group).groupBy(*group) for side in (left, right))
+    return left.cogroup(right).applyInPandas(meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _alike(classes: DataFrame, share: float) -> DataFrame:
+    """(a, b): pairs whose letters can be alike enough, by pieces where they are rare, else block by block."""
+    if _pieces_are_common(classes, share):
+        return _by_blocks(classes, share)
+    left = classes.where("side = 0").select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("letters").alias("ca"))
+    right = classes.where("side = 1").select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("cb"))
+    met = spread(_by_letters(classes, share).distinct()).join(left, "a").join(right, "b")
+    return met.where(_enough_letters("ca", "cb", "na", "nb", F.lit(share))).select("a", "b")
+
+
 def similar_classes(keys: DataFrame, catalog: DataFrame, threshold: int) -> DataFrame:
     """(a, b, score) of the word classes (class, words) of two tables that score ``threshold`` or more."""
     if not 0 < threshold <= 100:
@@ -170,44 +266,46 @@ def similar_classes(keys: DataFrame, catalog: DataFrame, threshold: int) -> Data
         tagged[0].unionByName(tagged[1]).withColumns({"n": _length(F.col("words")), "id": F.monotonically_increasing_id(), "letters": _letters("words")}), "classes"
     )
     classes = named.drop("class").withColumnRenamed("id", "class")
-    left = classes.where("side = 0").select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("letters").alias("ca"))
-    right = classes.where("side = 1").select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("cb"))
-    alike = spread(_by_letters(classes, share).distinct()).join(left, "a").join(right, "b").where(_enough_letters("ca", "cb", "na", "nb", F.lit(share)))
-    pairs = spread(_by_words(classes, share).unionByName(alike.select("a", "b")).distinct())
+    pairs = spread(_by_words(classes, share).unionByName(_alike(classes, share)).distinct())
     left = named.where("side = 0").select(F.col("id").alias("a"), F.col("class").alias("key_class"), F.col("words").alias("wa"))
     right = named.where("side = 1").select(F.col("id").alias("b"), F.col("class").alias("entry_class"), F.col("words").alias("wb"))
     found = scored_pairs(pairs.join(left, "a").join(right, "b"), threshold)
     return found.select(F.col("key_class").alias("a"), F.col("entry_class").alias("b"), "score")
 
 
-def scored_pairs(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of sorted distinct words (wa, wb) with ``score`` of ``threshold`` or more."""
-    rows = (
-        pairs.withColumn("ws", F.array_intersect("wa", "wb"))
-        .withColumn("da", F.array_join(F.array_except("wa", "wb"), " "))
-        .withColumn("db", F.array_join(F.array_except("wb", "wa"), " "))
-        .withColumn("s", _length(F.col("ws")))
-        .withColumn("gap", F.when(F.size("ws") > 0, 1).otherwise(0))
-        .withColumn("la", F.char_length("da"))
-        .withColumn("lb", F.char_length("db"))
-        .withColumn("inside", (F.col("gap") == 1) & ((F.col("la") == 0) | (F.col("lb") == 0)))
-    )
-    s, gap, la, lb = (F.col(c) for c in ("s", "gap", "la", "lb"))
+def _score_from(threshold: int):
+    """Scores of pairs of texts (sorted distinct words joined by blanks); null below the threshold."""
+
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in parts:
+            yield pd.Series([score_from(a, b, threshold) for a, b in zip(left, right)], dtype="Int64")
 
-    def ratio(apart: Column, length: Column) -> Column:
-        return 100 - 100 * apart.cast("double") / F.nullif(length, F.lit(0))
+    return pandas_udf(score, T.LongType())
 
-    sides = F.when(F.col("inside"), 100.0).when(gap == 1, F.greatest(ratio(gap + la, 2 * s + gap + la), ratio(gap + lb, 2 * s + gap + lb))).otherwise(0.0)
-    rows = rows.withColumn("sides", sides)
+
+def score_from(a: str, b: str, threshold: int) -> int | None:
+    """Token-set score of two texts of distinct words if it is ``threshold`` or more; letters are
+    aligned only where they can still raise the score that far."""
+    left, right = set(a.split()), set(b.split())
+    shared = left & right
+    if shared and (len(shared) == len(left) or len(shared) == len(right)):
+        return 100
+    gap = 1 if shared else 0
+    s = sum(map(len, shared)) + len(shared) - gap
+    la, lb = (sum(map(len, words)) + len(words) - 1 - (s + gap) for words in (left, right))
     whole = 2 * (s + gap) + la + lb
-    bound = F.greatest(F.col("sides"), ratio(F.abs(la - lb), whole))
-    rows = rows.where(F.rint(bound) >= threshold)
-    # Letters are aligned only where they can still raise the score.
-    open_, done = rows.where(~F.col("inside")), rows.where("inside")
-    aligned = open_.withColumn("common", _common_letters("da", "db")).withColumn("best", F.greatest(F.col("sides"), ratio(la + lb - 2 * F.col("common"), whole)))
-    scored = aligned.drop("common").unionByName(done.withColumn("best", F.lit(100.0)))
-    out = scored.withColumn("score", F.rint("best").cast("long")).where(F.col("score") >= threshold)
-    return out.select(*pairs.columns, "score")
+    sides = max(100 - 100 * (gap + la) / (2 * s + gap + la), 100 - 100 * (gap + lb) / (2 * s + gap + lb)) if shared else 0.0
+    if round(max(sides, 100 - 100 * abs(la - lb) / whole)) < threshold:
+        return None
+    common = common_length(" ".join(sorted(left - shared)), " ".join(sorted(right - shared)))
+    best = round(max(sides, 100 - 100 * (la + lb - 2 * common) / whole))
+    return best if best >= threshold else None
+
+
+def scored_pairs(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of sorted distinct words (wa, wb) with ``score`` of ``threshold`` or more."""
+    scored = pairs.withColumn("score", _score_from(threshold)(F.array_join("wa", " "), F.array_join("wb", " ")))
+    return scored.where(F.col("score").isNotNull()).select(*pairs.columns, "score")
 
 
 def similarity_join(keys: DataFrame, catalog: DataFrame, key: str, code: str, key_text: str, catalog_text: str, threshold: int) -> DataFrame:
