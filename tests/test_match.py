@@ -1,6 +1,7 @@
 """Scoring and top-k matching against brute force, both ways of meeting the catalog."""
 
 import difflib
+import random
 
 import numpy as np
 import pytest
@@ -199,3 +200,20 @@ def test_difflib_agrees_on_plain_ratio():
     # A second opinion on the letter part for texts without common words.
     a, b = "contadora", "contador"
     assert token_set_score(a, b) == round(100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
+def test_a_key_is_taken_apart_once_for_many_entries(monkeypatch):
+    from vacantlens.operators import scoring
+
+    rng = random.Random(4)
+    words = ["ab", "ba", "abc", "c", "dé", "the", "x", "yz", "q"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(5)))
+    keys, entries = [text() for _ in range(60)], [text() for _ in range(90)]
+    for kept in (scoring.RESTS, 1):
+        monkeypatch.setattr(scoring, "RESTS", kept)
+        for key in keys:
+            scorer = scoring.KeyScorer(key)
+            assert [scorer.score(set(e.split())) for e in entries] == [scoring.token_set_score(key, e) for e in entries]
+    monkeypatch.setattr(scoring, "token_set_score", None)  # no pair goes through the plain scorer
+    long = " ".join(f"word{i}" for i in range(80))
+    assert scoring.prepare_catalog(["red tin", "word1 x"], None, 0).top(long, None, 2, 0)[0][0] == 1

@@ -10,6 +10,7 @@ bound can still enter the best k.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +18,8 @@ import numpy as np
 # Characters 128-255 are dropped before comparing, as the published scorer does.
 _DROPPED = {code: None for code in range(128, 256)}
 _NOT_WORD = re.compile(r"(?ui)\W")
+#: Sets of shared words whose rest of a key is kept: bounds the memory of long keys.
+RESTS = 64
 
 
 def comparable(text: str | None) -> str:
@@ -55,6 +58,53 @@ def token_set_score(a: str, b: str) -> int:
     return round(best)
 
 
+class KeyScorer:
+    """``token_set_score`` of one key against many entries: the key is taken apart once, and the places of
+    its letters are kept for every set of words it shares with an entry."""
+
+    def __init__(self, key: str) -> None:
+        self.words = set(key.split())
+        self.rests: dict[frozenset[str], tuple[int, int, dict[str, int]]] = {}
+
+    def _rest(self, shared: frozenset[str]) -> tuple[int, int, dict[str, int]]:
+        """(letters of the shared words, letters of the rest, bits of the rest's places by letter)."""
+        found = self.rests.get(shared)
+        if found is None:
+            rest = " ".join(sorted(self.words - shared))
+            bits: dict[str, int] = {}
+            bit = 1
+            for char in rest:
+                bits[char] = bits.get(char, 0) | bit
+                bit <<= 1
+            if len(self.rests) >= RESTS:
+                self.rests.clear()
+            found = self.rests[shared] = len(" ".join(shared)), len(rest), bits
+        return found
+
+    def score(self, words: set[str]) -> int:
+        """Score of the entry of these words."""
+        if not self.words or not words:
+            return 0
+        shared = frozenset(self.words & words)
+        if shared and (len(shared) == len(self.words) or len(shared) == len(words)):
+            return 100
+        s, da, bits = self._rest(shared)
+        db = " ".join(sorted(words - shared))
+        gap = 1 if shared else 0
+        full = (1 << da) - 1
+        state = full
+        for char in db:  # as in common_length
+            hit = state & bits.get(char, 0)
+            if hit:
+                state = ((state + hit) | (state - hit)) & full
+        common = da - state.bit_count()
+        la, lb = s + gap + da, s + gap + len(db)
+        best = 100 - 100 * (da + len(db) - 2 * common) / (la + lb)
+        if shared:
+            best = max(best, 100 - 100 * (gap + da) / (s + la), 100 - 100 * (gap + len(db)) / (s + lb))
+        return round(best)
+
+
 @dataclass
 class Catalog:
     """A block of catalog entries in catalog order, prepared for scoring."""
@@ -95,10 +145,10 @@ class Catalog:
             if holders:
                 shared[holders] += 1
                 shared_letters[holders] += len(word)
-            for char in word:
-                slot = self.alphabet.get(char)
-                if slot is not None:
-                    bag[slot] += 1
+        for char, times in Counter("".join(words)).items():
+            slot = self.alphabet.get(char)
+            if slot is not None:
+                bag[slot] = times
         rest_a, rest_b = len(words) - shared, self.word_count - shared
         a = sum(map(len, words)) - shared_letters + np.maximum(rest_a - 1, 0)
         b = self.letters - shared_letters + np.maximum(rest_b - 1, 0)
@@ -140,11 +190,12 @@ class Catalog:
         high = np.maximum(base, np.ceil(high))
         exact: dict[int, int] = {}
         best: list[int] = []
+        scorer = KeyScorer(key)
         floor = np.partition(low, size - k)[size - k] if size > k else -np.inf
         for i in np.argsort(-high, kind="stable"):
             if high[i] < floor:
                 break
-            score = token_set_score(key, self.texts[i])
+            score = scorer.score(self.words[i])
             exact[int(i)] = score if score >= threshold else 0
             best.append(max(int(base[i]), exact[int(i)]))
             if len(best) > k:
