@@ -464,3 +464,36 @@ def test_items_of_several_passes_and_rows_without_id(spark):
     got = decontam._pairs(df, bench, at_once=3).where("doc_id IS NOT NULL").collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(8)]
     assert sorted(map(str, (r["text"] for r in decontam.drop_contaminated(df, bench).collect()))) == sorted(["None", words(60, 5)])
+
+
+def test_item_words_bound_every_common_subsequence():
+    """Shared words and the bound equal plain counts, and only the leak's place is left to align."""
+    rng = np.random.default_rng(5)
+    common, rare = rng.integers(0, 1 << 63, 12).astype(np.uint64), rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    words = np.where(rng.random(4000) < 0.6, rng.choice(common, 4000), rng.choice(rare, 4000))
+    items = [(k, np.where(rng.random(n) < 0.5, rng.choice(common, n), rng.choice(rare, n))) for k, n in enumerate([1, 4, 9, 30, 70] * 40)]
+    items.append((len(items), words[1000:1030].copy()))
+    own = decontam.ItemWords(items)
+    numbers = own.number(words)
+    begin, item = np.tile(np.arange(0, 4000, 40), len(items)), np.repeat(np.arange(len(items)), 100)
+    end = np.minimum(begin + 90, 4000)
+    shared, bound = own.shared(numbers, begin, end, item), own.bound(numbers, begin, end, item)
+    assert own.entry.direct
+    own.entry = decontam.Places(np.flatnonzero(own.entry.held >= 0).astype(np.uint64))
+    assert (own.shared(numbers, begin, end, item) == shared).all() and (own.bound(numbers, begin, end, item) == bound).all()
+    for c in rng.choice(len(item), 1500, replace=False).tolist():
+        span, text = items[item[c]][1], words[begin[c] : end[c]]
+        assert shared[c] == np.isin(text[: decontam.WINDOW], span).sum()
+        assert bound[c] == sum((Counter(span.tolist()) & Counter(text.tolist())).values()) >= decontam.common_subsequence(span, text)
+    lengths = np.array([len(w) for _, w in items])[item]
+    left = (bound >= decontam.COVER * lengths) & (lengths >= decontam.LEAST_WORDS)
+    assert left[(item == len(items) - 1) & (begin <= 1000) & (end >= 1030)].all()
+    assert left.sum() < len(left) / 2
+
+
+def test_places_of_crowded_slots():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64))
+    places = decontam.Places(keys)
+    assert len(places.rest)
+    assert (places(keys) == np.arange(len(keys))).all()
+    assert (places(keys + np.uint64(1)) == np.where(np.isin(keys + np.uint64(1), keys), np.searchsorted(keys, keys + np.uint64(1)), -1)).all()

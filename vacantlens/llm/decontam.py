@@ -50,6 +50,8 @@ RANK, OVERSAMPLE = 48, 8
 RARE = 2000
 #: Bits of a word's hash that tell words apart, and that find its slot in the table of weights.
 WORD_BITS, SLOT_BITS = 48, 20
+#: Numbers below 2 ** DIRECT_BITS are their own slots.
+DIRECT_BITS = 22
 #: Distinct words a task holds before it sends their counts on; pairs of runs looked at at a time.
 HELD, PAIRS = 1 << 21, 1 << 20
 COSINE, COVER, SURE, ANSWER, LEAST_WORDS = 0.6, 0.6, 0.75, 3, 6
@@ -72,12 +74,18 @@ def _strides(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[text] + number * step, text
 
 
-def _sums(rows: np.ndarray, terms: np.ndarray, weight: np.ndarray, stride: np.ndarray, n: int) -> np.ndarray:
-    """The weighted rows of the terms added up by stride; ``stride`` rises."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(terms):
-        first = np.flatnonzero(np.append(True, stride[1:] != stride[:-1]))
-        out[stride[first]] = np.add.reduceat(rows[terms] * weight[:, None], first, axis=0)
+def _sums(rows: np.ndarray, which: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The weighted rows added up by stretch; each begins at ``first`` and ends at the next. Stretches of up to a power of two
+    are padded to it and go together."""
+    out = np.empty((len(first), rows.shape[1]), np.float32)
+    end = np.append(first[1:], len(which))
+    power = np.ceil(np.log2(end - first)).astype(np.int64)
+    for size in np.flatnonzero(np.bincount(power)):
+        own = np.flatnonzero(power == size)
+        place = first[own, None] + np.arange(1 << size)
+        inside = place < end[own, None]
+        place = np.minimum(place, len(which) - 1)
+        out[own] = np.matmul((weight[place] * inside)[:, None, :], rows[which[place]])[:, 0]
     return out
 
 
@@ -214,12 +222,12 @@ def _range(docs: DataFrame, weights: Weights, directions: np.ndarray) -> np.ndar
                     continue
                 at, _ = _strides(sizes, WINDOW)
                 terms, weight, stride = _terms(words), weighed(words), _owners(at, len(words))
-                passages = _sums(rows, terms, weight, stride, len(at))
+                passages = _sums(rows, terms, weight, at)
                 # Back: every word of a passage adds the passage's row to its term.
                 order = np.argsort(terms.astype(np.uint16), kind="stable")
                 own = terms[order]
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                total[own[first]] += np.add.reduceat(passages[stride[order]] * weight[order, None], first, axis=0)
+                total[own[first]] += _sums(passages, stride[order], weight[order], first)
         yield from partial(total)
 
     return add_up(docs.select("text").mapInArrow(run, PARTIAL), directions.shape)
@@ -276,21 +284,86 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def _keyed(words: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Hashes of (word, number of the item)."""
-    return mix(words ^ mix(item.astype(np.uint64) + np.uint64(1)))
+class Places:
+    """The place of numbers among distinct rising ``keys``, -1 for others. A slot holds one key; the few
+    keys that share a slot are found by bisection. Numbers ``below`` a few millions have a slot each."""
+
+    def __init__(self, keys: np.ndarray, below: int = 1 << 64) -> None:
+        self.keys, self.direct = keys.astype(np.uint64), below <= 1 << DIRECT_BITS
+        self.shift = np.uint64(64 - max(8, (8 * len(keys)).bit_length()))
+        slot, slots = self._slot(self.keys), below if self.direct else 1 << (64 - int(self.shift))
+        self.held = np.full(slots, -1, np.int32)
+        self.held[slot] = np.arange(len(keys))
+        self.crowded = np.bincount(slot, minlength=slots) > 1
+        self.rest = np.flatnonzero(self.crowded[slot])
+        self.rest_keys = self.keys[self.rest]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        if self.direct:
+            return keys.view(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        slot = self._slot(wanted)
+        at = self.held[slot]
+        if self.direct:
+            return at
+        out = np.where((at >= 0) & (self.keys[at] == wanted), at, -1)
+        if len(self.rest):
+            others = np.flatnonzero((out < 0) & self.crowded[slot])
+            near = np.minimum(np.searchsorted(self.rest_keys, wanted[others]), len(self.rest) - 1)
+            out[others] = np.where(self.rest_keys[near] == wanted[others], self.rest[near], -1)
+        return out
+
 
+class ItemWords:
+    """The words of every item: their numbers, and how often each stands in its item."""
 
-def _shared(words: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """For every candidate, how many words of its passage are words of its item."""
-    count = np.zeros(len(begin), np.int64)
-    for k in range(WINDOW):
-        place = begin + k
-        inside = place < end
-        keys = _keyed(words[np.minimum(place, len(words) - 1)], item)
-        at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-        count += inside & (vocabulary[at] == keys)
-    return count
+    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+        every = np.concatenate([words for _, words in items])
+        kinds = np.unique(every)
+        self.known, self.kinds = Places(kinds), np.uint64(len(kinds))
+        owner = np.repeat(np.arange(len(items), dtype=np.uint64), [len(words) for _, words in items])
+        keys, self.counts = np.unique(self._keys(np.searchsorted(kinds, every).astype(np.uint64), owner), return_counts=True)
+        self.first = np.searchsorted(keys, self._keys(np.uint64(0), np.arange(len(items) + 1)))
+        self.entry = Places(keys, len(items) * (len(kinds) + 1))
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words; ``kinds`` is that of a word no item has."""
+        at = self.known(words)
+        return np.where(at < 0, self.kinds, at.astype(np.uint64))
+
+    def _keys(self, numbers: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return item.astype(np.uint64) * (self.kinds + np.uint64(1)) + numbers
+
+    def shared(self, numbers: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For every candidate, how many words of its passage are words of its item; ``numbers``: of the texts' words."""
+        count = np.zeros(len(begin), np.int64)
+        for place in (begin + k for k in range(WINDOW)):
+            count += (self.entry(self._keys(numbers[np.minimum(place, len(numbers) - 1)], item)) >= 0) & (place < end)
+        return count
+
+    def bound(self, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For every candidate, how many words of its item the words ``low`` to ``high`` hold, each at most as often
+        as it stands in both: no common subsequence is longer."""
+        size, out = high - low, np.zeros(len(item), np.int64)
+        upto, a = np.cumsum(size), 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - size[a] + PAIRS, "right")))
+            own, sizes = item[a:b], size[a:b]
+            which = np.repeat(np.arange(b - a), sizes)
+            number = numbers[np.arange(len(which)) + np.repeat(low[a:b] - (np.cumsum(sizes) - sizes), sizes)]
+            known = np.flatnonzero(number < self.kinds)
+            which, entry = which[known], self.entry(self._keys(number[known], own[which[known]]))
+            which, entry = which[entry >= 0], entry[entry >= 0]
+            # A cell per candidate and distinct word of its item.
+            cells = self.first[own + 1] - self.first[own]
+            base = np.cumsum(cells) - cells
+            found = np.bincount(entry + (base - self.first[own])[which], minlength=int(cells.sum()))
+            most = self.counts[np.arange(len(found)) + np.repeat(self.first[own] - base, cells)]
+            out[a:b] = np.add.reduceat(np.minimum(found, most), base)
+            a = b
+        return out
 
 
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -387,36 +460,39 @@ def _pass(texts: DataFrame, benchmark: DataFrame, cosine: float, cover: float) -
         return spark.createDataFrame([], f"doc_id {kind}, item_id long, cosine double, cover double")
     space = latent_space(texts, np.concatenate([words for _, words in items]))
     # An item longer than a passage has passages of its own: any of them may meet a document's.
-    owner, pieces, keys = [], [], []
+    owner, pieces = [], []
     for k, (_, words) in enumerate(items):
-        keys.append(_keyed(words, np.full(len(words), k)))
         for at in range(0, max(1, len(words) - STRIDE + 1), WINDOW):
             piece = words[at : at + WINDOW]
             pieces.append(space.weights(piece) @ space.projection[_terms(piece)])
             owner.append(k)
     query = _unit(np.array(pieces, np.float32))
-    shipped = spark.sparkContext.broadcast((space.projection, space.weights, query, np.array(owner), items, np.unique(np.concatenate(keys)), ItemRuns(items)))
+    shipped = spark.sparkContext.broadcast((space.projection, space.weights, query, np.array(owner), items, ItemWords(items), ItemRuns(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, weighed, asked, owners, known, vocabulary, runs = shipped.value
         lengths = np.array([len(w) for _, w in known])
+        # Words a passage has in common with the item, and a longest common subsequence.
+        least, most = SHARED * np.minimum(lengths, WINDOW), np.where(lengths >= LEAST_WORDS, cover, 1.0)
         for batch in batches:
             for base, sizes, words in word_hashes(*utf8(batch.column(0))):
                 best: dict[tuple[int, int], tuple[float, float]] = {}
                 at, text = _strides(sizes, STRIDE)
                 if not len(words):
                     continue
-                rows, first = _passages(_sums(projection, _terms(words), weighed(words), _owners(at, len(words)), len(at)), text)
-                rows, ends = _unit(rows), np.cumsum(sizes)
+                rows, first = _passages(_sums(projection, _terms(words), weighed(words), at), text)
+                rows, ends, numbers = _unit(rows), np.cumsum(sizes), vocabulary.number(words)
+                starts = ends - sizes
                 for item, begin, place in runs.among(words, ends):
                     own = np.searchsorted(ends, place, "right")
-                    shared = _shared(words, place, ends[own], item, vocabulary)
-                    for c in np.flatnonzero(shared >= SHARED * np.minimum(lengths[item], WINDOW)).tolist():
+                    keep = np.flatnonzero(vocabulary.shared(numbers, place, ends[own], item) >= least[item])
+                    item, begin, place, own = item[keep], begin[keep], place[keep], own[keep]
+                    low, high = np.maximum(starts[own], begin - lengths[item]), np.minimum(ends[own], begin + 2 * lengths[item])
+                    for c in np.flatnonzero(vocabulary.bound(numbers, low, high, item) / lengths[item] >= most[item]).tolist():
                         k, o = int(item[c]), int(own[c])
                         if best.get((o, k), (0.0, 0.0))[0] == 1:
                             continue
-                        span, low = known[k][1], int(begin[c])
-                        near = words[max(int(ends[o] - sizes[o]), low - len(span)) : min(int(ends[o]), low + 2 * len(span))]
+                        span, near = known[k][1], words[low[c] : high[c]]
                         found, answered = _shown(span, near)
                         if found >= (cover if len(span) >= LEAST_WORDS else 1.0) and (answered or found >= SURE):
                             # The passages of a text begin with it: the one that holds the place.
@@ -424,23 +500,28 @@ def _pass(texts: DataFrame, benchmark: DataFrame, cosine: float, cover: float) -
                             own_pieces = slice(*np.searchsorted(owners, [k, k + 1]))
                             best[o, k] = max(best.get((o, k), (0.0, 0.0)), (found, float((asked[own_pieces] @ rows[p]).max())))
                 step = max(1, min(4096, CELLS // len(asked)))
-                for low in range(0, len(rows), step):
-                    close = rows[low : low + step] @ asked.T
-                    passage, which = np.nonzero(close >= cosine)
-                    if not len(passage):
+                # Words of any item before each word.
+                held = np.append(0, np.cumsum(numbers < vocabulary.kinds))
+                for upto in range(0, len(rows), step):
+                    close = rows[upto : upto + step] @ asked.T
+                    hit = np.flatnonzero((close >= cosine).ravel())
+                    if not len(hit):
                         continue
-                    item, begin = owners[which], at[first[low + passage]]
-                    own = text[first[low + passage]]
-                    shared = _shared(words, begin, ends[own], item, vocabulary)
-                    keep = np.flatnonzero(shared >= SHARED * np.minimum(lengths[item], WINDOW))
+                    passage, which = hit // len(asked), hit % len(asked)
+                    item, begin = owners[which], at[first[upto + passage]]
+                    own = text[first[upto + passage]]
+                    keep = np.flatnonzero(held[np.minimum(begin + WINDOW, ends[own])] - held[begin] >= least[item])
+                    keep = keep[vocabulary.shared(numbers, begin[keep], ends[own[keep]], item[keep]) >= least[item[keep]]]
+                    item, begin, own, passage, which = item[keep], begin[keep], own[keep], passage[keep], which[keep]
+                    # The passage and as much on both sides as the item is long.
+                    low, high = np.maximum(starts[own], begin - lengths[item]), np.minimum(ends[own], begin + WINDOW + lengths[item])
                     tried: set[tuple[int, int]] = set()
-                    for c in keep.tolist():
+                    for c in np.flatnonzero(vocabulary.bound(numbers, low, high, item) / lengths[item] >= most[item]).tolist():
                         if (int(item[c]), int(begin[c])) in tried:
                             continue
                         tried.add((int(item[c]), int(begin[c])))
                         span, o = known[item[c]][1], int(own[c])
-                        # The passage and as much on both sides as the item is long.
-                        near = words[max(int(ends[o] - sizes[o]), int(begin[c]) - len(span)) : min(int(ends[o]), int(begin[c]) + WINDOW + len(span))]
+                        near = words[low[c] : high[c]]
                         found, answered = _shown(span, near)
                         if found >= (cover if len(span) >= LEAST_WORDS else 1.0) and (answered or found >= SURE):
                             pair = (o, int(item[c]))
