@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantlens.operators.topics import fit_words
-from vacantlens.session import spread
+from vacantlens.session import spread, stored
 
 
 def fit_text_vectors(texts: DataFrame, text: str, width: int = 384) -> PipelineModel:
@@ -64,21 +64,19 @@ def text_clusters(
 ) -> DataFrame:
     """Silhouette of k-means over TF-IDF of the most frequent words, one row per k.
 
-    Each k keeps the cheapest of ``restarts`` fits; ``parallelism`` fits are submitted at a time.
+    Each k keeps the cheapest of ``restarts`` fits; ``parallelism`` fits are submitted at a time, each over blocks
+    of rows it keeps.
     """
     ready = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    counting = fit_words(ready, words, min_df=1, max_df=None)
-    stages = [
-        *counting.stages,
-        IDF(inputCol="counts", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features"),
-    ]
-    features = spread(Pipeline(stages=stages).fit(ready).transform(ready).select("features")).persist()
+    # Texts are taken apart once for the words and once for their counts; all else reads the stored counts.
+    counts = stored(fit_words(ready, words, min_df=1, max_df=None).transform(ready).select("counts"), "counts")
+    stages = [IDF(inputCol="counts", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]
+    features = spread(Pipeline(stages=stages).fit(counts).transform(counts).select("features")).persist()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
 
     def fit(job: tuple[int, int]) -> tuple[float, KMeansModel]:
         k, start = job
-        model = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster").fit(features)
+        model = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cluster", solver="block").fit(features)
         return model.summary.trainingCost, model
 
     features.count()
