@@ -511,3 +511,16 @@ def test_batches_of_texts_have_the_ids_of_each_text(monkeypatch):
         got = [ids.tolist() for _, ids in tokenids._tokenised(iter([rows.slice(0, 20), rows.slice(20)]), tok)]
         assert got == [tok.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert not any(len(w) > tokenids.LONGEST for w in [*tok.known, *tok.pieces])
+
+
+def test_plain_words_are_taken_apart_together_and_lanes_are_many():
+    tok, rng = tokenids.WordTokenizer(pytest.importorskip("public_tokenizers").path(tokenids.TOKENIZER)), random.Random(5)
+    texts = [" ".join("".join(rng.choices("abÀéZ09.,-<|", k=rng.randint(1, 9))) for _ in range(rng.randrange(30))) for _ in range(200)]
+    ids, ends = tok.batch(pa.array([*texts, None, "don't", "日本"], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "", "don't", "日本"]]
+    assert set(tok.known) == {"don't", "日本"}  # no word of letters, digits and signs is looked up by itself
+    ids = np.random.default_rng(5).zipf(1.3, 1 << 20).clip(1, 49000).astype(np.uint32)
+    block = idcodec.encode_block(ids, 49408)
+    assert int.from_bytes(block[8:12], "little") == 8192  # numpy's calls are per step of all lanes
+    assert (idcodec.decode_block(block) == ids).all()
+    assert (idcodec.decode_block(idcodec.encode_block(ids[:90000], 49408, 2048)) == ids[:90000]).all()

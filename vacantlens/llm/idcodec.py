@@ -23,16 +23,20 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-BLOCK_IDS, LANES = 1 << 20, 2048
+BLOCK_IDS, LANES = 1 << 21, 8192
 #: Bits of the mixed total and of the order-0 total.
 MIX_BITS, ZERO_BITS = 24, 20
 MIX, ZERO = 1 << MIX_BITS, 1 << ZERO_BITS
-CONTEXT_BITS, LEVELS = 20, 8
+CONTEXT_BITS, LEVEL_BITS = 20, 3
+LEVELS = 1 << LEVEL_BITS
 
 #: Next level of confidence by level, after a miss and after a hit.
-_NEXT = np.array([k >> 1 for k in range(LEVELS)] + [min(k + 1, LEVELS - 1) for k in range(LEVELS)], np.uint8)
+_NEXT = np.array([k >> 1 for k in range(LEVELS)] + [min(k + 1, LEVELS - 1) for k in range(LEVELS)], np.int64)
+#: Factor of the id before the previous one in the hash of both.
+_FIRST = 0x9E3779B1
 
 _U = np.uint64
+_WIDTH = (1 << 32) - 1
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 
 
@@ -44,15 +48,14 @@ class _Model:
         self.counts = np.zeros(vocabulary, np.int64)
         self.fresh: list[np.ndarray] = []
         self.step, self.rebuild = 0, 1
+        # Predicted id times LEVELS plus confidence, by the previous id and by the hash of the previous two.
         self.one = np.zeros(vocabulary + 1, np.int32)
-        self.one_sure = np.zeros(vocabulary + 1, np.uint8)
         self.two = np.zeros(1 << CONTEXT_BITS, np.int32)
-        self.two_sure = np.zeros(1 << CONTEXT_BITS, np.uint8)
         states = LEVELS * LEVELS * 2
         # Hits of order 2, of order 1 alone, and trials, per state of both confidences.
         self.hits = np.tile(np.array([[0.5], [0.5], [4.0]]), (1, states))
         self.last = np.full(lanes, vocabulary, np.int64)
-        self.before = np.full(lanes, vocabulary, np.int64)
+        self.before = self.last * _FIRST
         self._frequencies()
         self._weights()
 
@@ -64,7 +67,8 @@ class _Model:
         spare = ZERO - self.vocabulary
         scaled = 1 + (self.counts * spare) // max(total, 1)
         scaled[int(scaled.argmax())] += ZERO - int(scaled.sum())
-        self.sizes, self.starts = scaled, np.cumsum(scaled) - scaled
+        # Where an id's interval begins, in the upper half, and its width.
+        self.places = ((np.cumsum(scaled) - scaled) << 32) | scaled
         if self.decoding:
             self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), scaled)
 
@@ -80,29 +84,29 @@ class _Model:
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """Per lane: the id that order 2 names, its share, that of order 1, its share, order-0 factor."""
-        self.context = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) >> 5) & ((1 << CONTEXT_BITS) - 1)
-        self.guess_two, self.guess_one = self.two[self.context].astype(np.int64), self.one[self.last].astype(np.int64)
-        sure = self.two_sure[self.context] * np.uint8(LEVELS) + self.one_sure[self.last]
-        self.state = sure.astype(np.int64) * 2 + (self.guess_two == self.guess_one)
-        return self.guess_two, self.share[0][self.state], self.guess_one, self.share[1][self.state], self.rest[self.state]
+        self.context = ((self.before + self.last * 0x85EBCA77) >> 5) & ((1 << CONTEXT_BITS) - 1)
+        self.entry_two, self.entry_one = self.two.take(self.context).astype(np.int64), self.one.take(self.last).astype(np.int64)
+        self.guess_two, self.guess_one = self.entry_two >> LEVEL_BITS, self.entry_one >> LEVEL_BITS
+        self.sure_two, self.sure_one = self.entry_two & (LEVELS - 1), self.entry_one & (LEVELS - 1)
+        self.state = (((self.sure_two << LEVEL_BITS) | self.sure_one) << 1) | (self.guess_two == self.guess_one)
+        return self.guess_two, self.share[0].take(self.state), self.guess_one, self.share[1].take(self.state), self.rest.take(self.state)
 
     def learn(self, ids: np.ndarray) -> None:
-        hit_two, hit_one = ids == self.guess_two, ids == self.guess_one
+        hit_two, hit_one = (ids == self.guess_two).astype(np.int64), (ids == self.guess_one).astype(np.int64)
         states = self.hits.shape[1]
         # Outcome 1: order 2 was right, 2: order 1 alone, 0: neither.
-        outcomes = np.bincount(self.state * 3 + np.where(hit_two, 1, hit_one * 2), minlength=3 * states).reshape(states, 3)
+        outcomes = np.bincount(self.state * 3 + hit_two + 2 * (hit_one & ~hit_two), minlength=3 * states).reshape(states, 3)
         self.hits[0] += outcomes[:, 1]
         self.hits[1] += outcomes[:, 2]
         self.hits[2] += outcomes.sum(axis=1)
-        for table, sure, at, guess, hit in (
-            (self.two, self.two_sure, self.context, self.guess_two, hit_two),
-            (self.one, self.one_sure, self.last, self.guess_one, hit_one),
+        for table, at, guess, sure, hit in (
+            (self.two, self.context, self.entry_two, self.sure_two, hit_two),
+            (self.one, self.last, self.entry_one, self.sure_one, hit_one),
         ):
-            level = sure[at] + hit * np.uint8(LEVELS)
-            sure[at] = _NEXT[level]
+            level = sure + (hit << LEVEL_BITS)
             # A wrong guess without confidence gives way.
-            table[at] = np.where(level == 0, ids, guess)
-        self.before, self.last = self.last, ids
+            table[at] = np.where(level == 0, ids << LEVEL_BITS, guess - sure + _NEXT.take(level))
+        self.before, self.last = self.last * _FIRST, ids
         self.fresh.append(ids)
         self.step += 1
         if self.step == self.rebuild:
@@ -145,7 +149,8 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     for _ in range(4):
         emit(everyone, low)
         low <<= _U(16)
-    owner, word = np.concatenate(owners), np.concatenate(words)
+    # Lanes in 16 bits are ordered by radix.
+    owner, word = np.concatenate(owners).astype(np.uint16 if lanes <= 1 << 16 else np.int64), np.concatenate(words)
     order = np.argsort(owner, kind="stable")
     head = struct.pack("<4sIIII", MAGIC, n, lanes, vocabulary, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
     return head + np.bincount(owner, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
@@ -153,8 +158,9 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
 
 def _interval(model: _Model, ids: np.ndarray, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and width of the mixed intervals of ``ids``, of ``MIX`` in all."""
-    start = model.starts[ids] * zero + wa * (a < ids) + wb * (b < ids)
-    size = model.sizes[ids] * zero + wa * (a == ids) + wb * (b == ids)
+    place = model.places.take(ids)
+    start = (place >> 32) * zero + wa * (a < ids) + wb * (b < ids)
+    size = (place & _WIDTH) * zero + wa * (a == ids) + wb * (b == ids)
     return start.view(np.uint64), size.view(np.uint64)
 
 
@@ -207,13 +213,15 @@ def decode_block(block: bytes) -> np.ndarray:
         part = span >> _U(MIX_BITS)
         target = np.minimum((code - low) // part, _U(MIX - 1)).view(np.int64)
         # Where the intervals of the two candidates begin and end.
-        a_start, b_start = model.starts[a] * zero, model.starts[b] * zero + wa * (a < b)
-        a_end = a_start + model.sizes[a] * zero + wa
-        b_end = b_start + model.sizes[b] * zero + wb + wa * (a == b)
+        a_place, b_place = model.places.take(a), model.places.take(b)
+        a_start, b_start = (a_place >> 32) * zero, (b_place >> 32) * zero + wa * (a < b)
+        a_end = a_start + (a_place & _WIDTH) * zero + wa
+        b_end = b_start + (b_place & _WIDTH) * zero + wb + wa * (a == b)
         plain = target - wa * (target >= a_end) - wb * (target >= b_end)
         # Inside a candidate's interval the quotient means nothing; that lane is set below.
-        place_in = np.minimum(plain.view(np.uint64) // zero.view(np.uint64), _U(ZERO - 1)).view(np.int64)
-        ids = model.inverse[place_in].astype(np.int64)
+        # Both are below 2^25, so the quotient of floats has the right whole part.
+        place_in = np.minimum(np.maximum(plain, 0) / zero, ZERO - 1).astype(np.int64)
+        ids = model.inverse.take(place_in).astype(np.int64)
         ids = np.where((target >= b_start) & (target < b_end), b, ids)
         ids = np.where((target >= a_start) & (target < a_end), a, ids)
         start, size = _interval(model, ids, a, wa, b, wb, zero)
