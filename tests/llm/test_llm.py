@@ -524,3 +524,13 @@ def test_plain_words_are_taken_apart_together_and_lanes_are_many():
     assert int.from_bytes(block[8:12], "little") == 8192  # numpy's calls are per step of all lanes
     assert (idcodec.decode_block(block) == ids).all()
     assert (idcodec.decode_block(idcodec.encode_block(ids[:90000], 49408, 2048)) == ids[:90000]).all()
+
+
+def test_the_driver_never_fits_the_classifier_nor_holds_features(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{'awful' if k % 2 else 'lovely'} thing {k}") for k in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "fit", lambda *args: pytest.fail("fitted on the driver"))
+    weights, bias = toxicity.train(docs, labels)
+    assert weights.shape == (1 << toxicity.FEATURE_BITS,) and weights.any()
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, (weights, bias), ["doc_id"]).collect()}
+    assert min(scores[k] for k in range(1, 60, 2)) > max(scores[k] for k in range(0, 60, 2))

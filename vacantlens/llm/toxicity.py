@@ -3,7 +3,7 @@
 A text's features are the distinct hashed runs of 3 to 5 characters of it in lower case, white
 space as one blank. Each is scaled by the log ratio of its smoothed shares in toxic and other
 training rows; a logistic regression with an L2 penalty is fitted to the scaled features in
-numpy on the driver. The classifier is fitted on a bounded sample (``SAMPLE`` labelled rows, by
+numpy in one task. The classifier is fitted on a bounded sample (``SAMPLE`` labelled rows, by
 hash of their id); scoring is one pass over whole texts that ships only the weights.
 
 Defined cases: a null or empty text has no feature and scores the fitted bias; a row without
@@ -127,7 +127,7 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, penalty:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled rows of (doc_id, ``label``), the lowest by hash."""
     spark = bounded_batches(ship(docs.sparkSession))
-    # A sample of bounded size: its ids are broadcast, its features come to the driver.
+    # A sample of bounded size: its ids are broadcast, its features go to one task.
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
@@ -144,14 +144,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = texts.mapInArrow(run, "doc_id long, label int, features binary")
-    # Rows are ordered and cut by narrow columns: only the features of chosen rows come to the driver, once.
+    # Rows are ordered and cut by narrow columns: only the features of chosen rows go to the task that fits, once.
     once = stored(rows.dropDuplicates(["doc_id", "label", "features"]), "features")
     place = [F.xxhash64("doc_id", "label"), F.col("doc_id"), F.col("label"), F.xxhash64("features")]
     if once.count() > sample:
         last = once.select(F.struct(*place).alias("place")).orderBy("place").limit(sample).agg(F.max("place").alias("last"))
         once = once.join(F.broadcast(last), F.struct(*place) <= F.col("last")).drop("last")  # one row
-    table = once.toArrow()
-    return fit(_parts(table), table.column("label").to_numpy().astype(np.int64))
+    found = once.select("label", "features").repartition(1).mapInArrow(_fitted, "weights binary, bias double").first()
+    return (np.frombuffer(found["weights"], np.float32), found["bias"]) if found else fit([], np.zeros(0, np.int64))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(weights, bias) of all rows (label, features) of the task; the driver holds none of them."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        weights, bias = fit(_parts(table), table.column("label").to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
 
 def _parts(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
