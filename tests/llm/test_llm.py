@@ -534,3 +534,24 @@ def test_the_driver_never_fits_the_classifier_nor_holds_features(spark, monkeypa
     assert weights.shape == (1 << toxicity.FEATURE_BITS,) and weights.any()
     scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, (weights, bias), ["doc_id"]).collect()}
     assert min(scores[k] for k in range(1, 60, 2)) > max(scores[k] for k in range(0, 60, 2))
+
+
+def test_a_batch_of_windows_works_on_all_classes_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    around = rng.integers(0, lm.VOCABULARY + 1, (lm.BATCH, 2 * lm.SIDE)).astype(np.int32)
+    centre = np.sort(rng.integers(0, lm.VOCABULARY, lm.BATCH)).astype(np.int32)
+    exps = []
+    exp = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda *args, **named: exps.append(1) or exp(*args, **named))
+    net = lm.Network.start()
+    net.train(around, centre, 0.3)
+    net.embed *= 30  # also logits that differ by more than SPREAD
+    net.words[:, -1] += np.linspace(-90, 90, lm.CLASSES, dtype=np.float32)
+    got = net.log_probabilities(around, centre)
+    assert len(exps) == 4  # classes and words, for training and for scores; not once per class
+    hidden = net.hidden(around).astype(np.float64)
+    want = np.zeros(len(centre))
+    for k, c in enumerate(centre):
+        for logits, at in ((hidden[k] @ net.classes, c // lm.CLASSES), (hidden[k] @ net.words[c // lm.CLASSES], c % lm.CLASSES)):
+            want[k] += logits[at] - logits.max() - np.log(exp(logits - logits.max()).sum())
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)

@@ -70,47 +70,46 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """Hidden layer of windows (n, 2 SIDE), with a constant 1 at the end."""
-        total = self.embed[0][around[:, 0]]
+        total = self.embed[0].take(around[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total = total + self.embed[k][around[:, k]]
+            total += self.embed[k].take(around[:, k], axis=0)
         out = np.ones((len(around), WIDTH + 1), np.float32)
         np.tanh(total, out=out[:, :WIDTH])
         return out
 
+    def inner(self, hidden: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Logits of the words of every window's class; ``group`` sorted."""
+        out = np.empty((len(group), CLASSES), np.float32)
+        for low, high, c in _runs(group):
+            np.matmul(hidden[low:high], self.words[c], out=out[low:high])
+        return out
+
     def log_probabilities(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """Of each window's masked word; ``centre`` sorted by class."""
         hidden = self.hidden(around)
         group, word = centre // CLASSES, centre % CLASSES
-        outer = _log_softmax(hidden @ self.classes)
-        out = outer[np.arange(len(centre)), group]
-        for low, high, c in _runs(group):
-            inner = _log_softmax(hidden[low:high] @ self.words[c])
-            out[low:high] += inner[np.arange(high - low), word[low:high]]
-        return out
+        return _log_chosen(hidden @ self.classes, group) + _log_chosen(self.inner(hidden, group), word)
 
     def train(self, around: np.ndarray, centre: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log-loss; ``centre`` sorted by class."""
         n = len(centre)
         hidden = self.hidden(around)
         group, word = centre // CLASSES, centre % CLASSES
-        outer = np.exp(_log_softmax(hidden @ self.classes))
+        outer, inner = _softmax(hidden @ self.classes), _softmax(self.inner(hidden, group))
         outer[np.arange(n), group] -= 1
-        back = outer @ self.classes.T
+        inner[np.arange(n), word] -= 1
         step = rate / n
-        changes = []
+        back = np.empty((n, WIDTH + 1), np.float32)
         for low, high, c in _runs(group):
-            own = hidden[low:high]
-            inner = np.exp(_log_softmax(own @ self.words[c]))
-            inner[np.arange(high - low), word[low:high]] -= 1
-            back[low:high] += inner @ self.words[c].T
+            own = inner[low:high]
+            np.matmul(own, self.words[c].T, out=back[low:high])
             # A rare class takes a larger share of the step, up to that of its own mean.
-            changes.append((c, own.T @ inner * (rate / max(high - low, n // CLASSES))))
+            self.words[c] -= hidden[low:high].T @ own * (rate / max(high - low, n // CLASSES))
+        back += outer @ self.classes.T
         self.classes -= step * CLASSES**0.5 * (hidden.T @ outer)
-        for c, change in changes:
-            self.words[c] -= change
         slope = back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
         for k in range(2 * SIDE):
-            order = np.argsort(around[:, k], kind="stable")
+            order = np.argsort(around[:, k].astype(np.uint16), kind="stable")  # by radix
             ids = around[order, k]
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             counts = np.diff(np.append(first, n))
@@ -119,9 +118,43 @@ class Network:
             self.embed[k][ids[first]] -= scale * np.add.reduceat(slope[order], first, axis=0)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+#: Logits that differ by less are moved by one number: none of their exponentials vanishes.
+SPREAD = 60
+
+
+def _shift(logits: np.ndarray) -> None:
+    """Moves every row so that its exponentials neither overflow nor all vanish."""
+    if len(logits):
+        top = logits.max()
+        logits -= top if top - logits.min() < SPREAD else logits.max(axis=1, keepdims=True)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Of every row, in place."""
+    _shift(logits)
+    np.exp(logits, out=logits)
+    logits /= _sums(logits)[:, None]
+    return logits
+
+
+def _log_chosen(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Every row's log-softmax at one column; the rows are used up."""
+    _shift(logits)
+    out = logits[np.arange(len(chosen)), chosen]
+    np.exp(logits, out=logits)
+    return out - np.log(_sums(logits))
+
+
+def _by_class(entries: np.ndarray) -> np.ndarray:
+    """Order of the entries by class, by radix."""
+    return np.argsort((entries // CLASSES).astype(np.uint8), kind="stable")
+
+
+assert CLASSES <= 256 and VOCABULARY < 1 << 16
 
 
 def _runs(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -261,7 +294,7 @@ def learn(docs: DataFrame, text: str = "text", seed: int = 42) -> tuple[Vocabula
             for around, centre in _examples(batch.column(0), known, pairs):
                 for at in range(0, len(centre), BATCH):
                     own = centre[at : at + BATCH]
-                    order = np.argsort(own // CLASSES, kind="stable")
+                    order = _by_class(own)
                     network.train(around[at : at + BATCH][order], own[order], RATE / (1 + steps / 2000))
                     trained, steps = trained + len(own), steps + 1
         if trained:
@@ -318,7 +351,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], columns: list[str]
                 sums[first : first + len(counts)] += np.bincount(owner, spelt, len(counts))
                 for at in range(0, len(entries), 2 * BATCH):
                     own = entries[at : at + 2 * BATCH]
-                    order = np.argsort(own // CLASSES, kind="stable")
+                    order = _by_class(own)
                     logs = network.log_probabilities(around[at : at + 2 * BATCH][order], own[order])
                     sums[first : first + len(counts)] += np.bincount(owner[at : at + 2 * BATCH][order], logs, len(counts))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes), pa.array(sums)], names=[*columns, "n_words", "log_likelihood"])
