@@ -107,7 +107,7 @@ class _Model:
             # A wrong guess without confidence gives way.
             table[at] = np.where(level == 0, ids << LEVEL_BITS, guess - sure + _NEXT.take(level))
         self.before, self.last = self.last * _FIRST, ids
-        self.fresh.append(ids)
+        self.fresh.append(ids.astype(np.int32))
         self.step += 1
         if self.step == self.rebuild:
             self.rebuild += max(1, self.rebuild // 2)
@@ -126,19 +126,21 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     """One block of at least one id, each below ``vocabulary``."""
     n = len(ids)
     lanes, steps = _lanes(n, lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    # Lanes in 16 bits are ordered by radix.
+    lane = np.uint16 if lanes <= 1 << 16 else np.int64
     model = _Model(vocabulary, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     owners, words = [], []
     everyone = np.arange(lanes)
 
     def emit(of: np.ndarray, bottom: np.ndarray) -> None:
-        owners.append(of)
+        owners.append(of.astype(lane))
         words.append((bottom >> _U(48)).astype(np.uint16))
 
-    for symbols in grid:
+    for symbols in map(np.int64, grid):
         a, wa, b, wb, zero = model.predict()
         part = span >> _U(MIX_BITS)
         start, size = _interval(model, symbols, a, wa, b, wb, zero)
@@ -149,8 +151,7 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = LANES) -> bytes:
     for _ in range(4):
         emit(everyone, low)
         low <<= _U(16)
-    # Lanes in 16 bits are ordered by radix.
-    owner, word = np.concatenate(owners).astype(np.uint16 if lanes <= 1 << 16 else np.int64), np.concatenate(words)
+    owner, word = np.concatenate(owners), np.concatenate(words)
     order = np.argsort(owner, kind="stable")
     head = struct.pack("<4sIIII", MAGIC, n, lanes, vocabulary, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
     return head + np.bincount(owner, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
@@ -186,23 +187,23 @@ def decode_block(block: bytes) -> np.ndarray:
         raise ValueError("not a block")
     _, n, lanes, vocabulary, crc = struct.unpack_from("<4sIIII", block)
     lengths = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
-    words = np.frombuffer(block, "<u2", -1, 20 + 4 * lanes).astype(np.uint64)
+    words = np.frombuffer(block, "<u2", -1, 20 + 4 * lanes)
     if int(lengths.sum()) != len(words) or not n:
         raise ValueError("block cut off")
-    words = np.concatenate([words, np.zeros(4, np.uint64)])
+    words = np.concatenate([words, np.zeros(4, words.dtype)])
     place, final = np.cumsum(lengths) - lengths, len(words) - 1
     steps = -(-n // lanes)
     model = _Model(vocabulary, lanes, decoding=True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _U(16)) | words[place]
+        code = (code << _U(16)) | words[place].astype(np.uint64)
         place += 1
     out = np.empty((steps, lanes), np.int32)
 
     def take(of: np.ndarray, bottom: np.ndarray) -> None:
         at = place[of]
-        code[of] = (code[of] << _U(16)) | words[np.minimum(at, final)]
+        code[of] = (code[of] << _U(16)) | words[np.minimum(at, final)].astype(np.uint64)
         place[of] = at + 1
 
     for step in range(steps):

@@ -36,7 +36,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: of the longest of them.
 REMEMBERED, LONGEST = 1 << 20, 64
 #: Bytes of texts taken apart at a time, more only for one text.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 #: The tokenizer's own split into pieces, the words for which the pattern after it does the same
 #: in lower case (ASCII and the letters of Latin-1, which no normal form changes), and that pattern, with a blank
 #: after each word.

@@ -30,7 +30,7 @@ FEATURE_BITS = 18
 SAMPLE = 4000
 PIECE = 1 << 16
 #: Training rows the fit works on at a time.
-CHUNK = 512
+CHUNK = 128
 THRESHOLD = 0.7
 
 _SPACE = np.zeros(128, bool)
