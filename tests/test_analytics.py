@@ -228,3 +228,18 @@ def test_profiles_skip_nulls(spark):
     assert {(r.metric, r.rows) for r in profile.coverage(df, {"k": "k", "v": "v"}, "all").collect()} == {("k", 3), ("v", 2), ("all", 1)}
     variants = repeats.with_variant(spark.createDataFrame([("Técnico superior",), ("otro",), (None,)], "t string"), "t", "TÉCNICO SUPERIOR", "S", "P")
     assert [r.variant for r in variants.collect()] == ["S", "P", None]
+
+
+def test_values_of_small_keys_are_shuffled_once_and_dropped_keys_stay_out(spark):
+    df = spark.range(9000).selectExpr("if(id < 6000, id % 3, id) as k", "if(id % 7 = 0, null, pmod(id * 37, 101) - 50.0d) as v")
+    few = df.where("k >= 2000")
+    plan = bracketed(few, [["k"]], "v", {0.5: "m"}, {"n": F.count("v")})
+    assert exchanges(plan) <= 2  # the values once, the statistics once
+    got = bracketed(df, [["k"], []], "v", {0.5: "m"}, {"n": F.count("v")}, having=(F.col("n") == 0) | (F.col("n") > 1) & F.coalesce(F.col("k") != 1, F.lit(True)), accuracy=200)
+    values, want = df.toPandas(), {}
+    for k, own in values.groupby("k")["v"]:
+        n = int(own.count())
+        if n != 1 and k != 1:
+            want[0, k] = (n, float(own.median()) if n else None)
+    want[1, None] = (int(values["v"].count()), float(values["v"].median()))
+    assert {(r["_level"], r["k"]): (r["n"], r["m"]) for r in got.collect()} == want

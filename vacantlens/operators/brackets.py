@@ -1,9 +1,10 @@
 """Statistics and exact quantiles of several levels of keys, from one pass over the facts.
 
-The facts' columns are written once, narrow. One aggregation gives all statistics. Keys of more than
-2 ACCURACY rows then get a quantile sketch, made in parts before the shuffle; its rank error is bounded, so two of
+The facts' columns are written once, narrow. One aggregation gives all statistics. Values of keys of up to
+2 ACCURACY rows are ordered as they are, after one shuffle. Larger keys get a quantile
+sketch, made in parts before the shuffle; its rank error is bounded, so two of
 its values bracket each wanted rank for certain. A last pass over the narrow rows counts how many lie
-below the bracket and each value within. No task holds a key's rows: a key of N rows leaves at
+below the bracket and each value within. No task holds a large key's rows: a key of N rows leaves at
 most about 4 N / ACCURACY values, or 2 ACCURACY if it is small, to one ordering.
 
 Coarser keys share all passes. A missing key of the finest level leaves a row out of all levels.
@@ -59,17 +60,39 @@ def bracketed(
         rows = facts.withColumn("_key", F.explode(F.array(*own))).select("_key.*", *[c for c in facts.columns if c not in keys])
     v = F.col(value).cast("double")
     summary = rows.groupBy(*group).agg(*[c.alias(name) for name, c in stats.items()], F.count(value).alias("_n"))
-    summary = stored(summary if having is None else summary.where(having), "summary")
+    summary = stored(summary.withColumn("_keep", F.lit(True) if having is None else having), "summary")
     values = rows.where(F.col(value).isNotNull()).select(*group, v.alias("_v"))
 
-    # In keys of few rows everything is inside, as single ranks may fall between a sketch's percentages.
-    large = summary.where(F.col("_n") > 2 * accuracy).select(*group)
+    # In keys of few rows everything is inside, as single ranks may fall between a sketch's percentages: their
+    # values are ordered as they are. The large ones are at most one in 2 accuracy rows, a table of its own small size.
+    large = stored(summary.where(F.col("_n") > 2 * accuracy).select(*group, "_n", "_keep"), "large")
     if large.isEmpty():
-        bounded = summary.select(*group, "_n", F.lit(None).cast("array<double>").alias("_edges"))
+        chosen = _ordered(values, group, quantiles)
     else:
-        edges = [min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in quantiles for side in (-1, 1)]
-        sketches = _joined(values, large, group).groupBy(*group).agg(F.percentile_approx("_v", edges, accuracy).alias("_edges"))
-        bounded = _joined(summary.select(*group, "_n"), stored(sketches, "sketches"), group, "left")
+        small = _joined(values, large.select(*group), group, "left_anti")
+        chosen = _ordered(small, group, quantiles).unionByName(_within_brackets(values, large.where("_keep").drop("_keep"), group, quantiles, accuracy))
+    return _joined(summary.where("_keep"), chosen, group, "left").select(*group, *stats, *quantiles.values())
+
+
+def _ordered(values: DataFrame, group: Sequence[str], quantiles: Mapping[float, str]) -> DataFrame:
+    """The quantiles of keys of few rows: one shuffle, which also serves the last grouping."""
+    # Zeros of either sign are one value.
+    values = values.withColumn("_v", F.col("_v") + F.lit(0.0))
+    key = W.partitionBy(*group)
+    ranked = values.withColumns({"_r": F.row_number().over(key.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(key)})
+    out = []
+    for p, name in quantiles.items():
+        position = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = (F.max(F.when(F.col("_r") == rank, F.col("_v"))) for rank in (F.floor(position), F.ceil(position)))
+        out.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
+    return ranked.groupBy(*group).agg(*out)
+
+
+def _within_brackets(values: DataFrame, large: DataFrame, group: Sequence[str], quantiles: Mapping[float, str], accuracy: int) -> DataFrame:
+    """The quantiles of the keys in ``large``, from the values within the brackets of a sketch."""
+    edges = [min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in quantiles for side in (-1, 1)]
+    sketches = _joined(values, large.select(*group), group).groupBy(*group).agg(F.percentile_approx("_v", edges, accuracy).alias("_edges"))
+    bounded = _joined(large, stored(sketches, "sketches"), group, "left")
 
     slots = [
         F.struct(
@@ -79,7 +102,7 @@ def bracketed(
         )
         for i, p in enumerate(quantiles)
     ]
-    brackets = bounded.where("_n > 0").select(*group, "_n", F.array(*slots).alias("_slots"))
+    brackets = stored(bounded.select(*group, "_n", F.array(*slots).alias("_slots")), "brackets")
     inside = _joined(values, brackets, group)
     placed = inside.select(*group, "_n", "_v", F.explode("_slots").alias("_s")).where("_s.hi IS NULL OR _v <= _s.hi")
     counted = (
@@ -102,5 +125,4 @@ def bracketed(
         low, high = value_at(i, F.floor(position)), value_at(i, F.ceil(position))
         found = low + (high - low) * F.max(position - F.floor(position))
         out.append(F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(found).alias(name))
-    chosen = located.groupBy(*group).agg(*out)
-    return _joined(summary, chosen, group, "left").select(*group, *stats, *quantiles.values())
+    return located.groupBy(*group).agg(*out)
