@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacantlens.operators import match, similarity
+from vacantlens.operators import alike, match, similarity
 from vacantlens.operators.scoring import comparable, token_set_score
 
 STEMS = ["tecnico", "tecnica", "técnico", "salud", "salubre", "abogado", "abogada", "de", "en", "la", "a", "finanzas", "finanza", "ñ", "archivo", "i", "ii", "jefe"]
@@ -120,3 +121,55 @@ def test_letters_in_common_of_short_and_long_texts(monkeypatch):
     for levels in (similarity.LEVELS, 0):
         monkeypatch.setattr(similarity, "LEVELS", levels)
         assert set(zip(*map(list, similarity.alike_in_block(*counts, *sizes, 0.8)))) == want
+
+
+def few_words(n, seed, most=7):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(STEMS + ["licenciado", "contador", "principal", "del", "area"]) for _ in range(rng.randrange(2, most))) for _ in range(n)]
+
+
+def test_candidates_of_common_words_are_no_rows(spark, monkeypatch):
+    """Texts of few words: nearly every pair shares words, but only results become rows."""
+    keys, catalog = list(enumerate(few_words(250, 1))), list(enumerate(few_words(900, 2)))
+    kdf, cdf = spark.createDataFrame(keys, "key int, words string"), spark.createDataFrame(catalog, "code int, words string")
+    rows, spread = [], similarity.spread
+    monkeypatch.setattr(similarity, "spread", lambda df: rows.append(df.count()) or spread(df))
+    got = similarity.similarity_join(kdf, cdf, "key", "code", "words", "words", 90)
+    assert sorted(map(tuple, got.collect())) == brute(keys, catalog, 90)
+    assert sum(rows) <= 4 * (250 + 900)
+
+
+@pytest.mark.parametrize("often", [True, False])
+def test_rows_and_blocks_agree(spark, tables, monkeypatch, often):
+    """Keys without code, copies on both sides, items that are no strings."""
+    monkeypatch.setattr(similarity, "_many_candidates", lambda *args: often)
+    keys, catalog, kdf, cdf = tables
+    cdf = cdf.withColumn("code", F.when(F.col("code") != 3, F.struct("code", F.col("words").alias("w"))))
+    got = similarity.similarity_join(kdf, cdf, "key", "code", "words", "words", 82)
+    assert sorted((r[0], -1 if r[1] is None else r[1][0], r[2]) for r in got.collect()) == sorted((k, -1 if c == 3 else c, s) for k, c, s in brute(keys, catalog, 82))
+
+
+def test_texts_in_both_tables_are_no_common_pieces(spark):
+    """Every text has its copy and hardly anything else that is alike: that is what the joins are for."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = spark.createDataFrame([(i, " ".join(sorted({word() for _ in range(4)})), 0) for i in range(9000)], "row long, text string, item int")
+    assert not similarity._many_candidates((texts, texts), [9000, 9000], 0.975)
+
+
+@pytest.mark.parametrize("share", [0.295, 0.745, 0.895, 0.995])
+@pytest.mark.parametrize("at_once", [None, 64])
+def test_candidates_of_a_block_miss_no_pair(monkeypatch, share, at_once):
+    """Also texts of many words, letters beyond the counted groups, and pieces of every size."""
+    if at_once:
+        for name in ("AT_ONCE", "FOUND", "LETTERS", "APART"):
+            monkeypatch.setattr(alike, name, at_once if name != "APART" else 1)
+    rng = random.Random(11)
+    long = [" ".join(rng.choice(STEMS) + str(rng.randrange(30)) for _ in range(rng.randrange(40, 90))) for _ in range(12)]
+    long += [t + " uno" for t in long[:6]] + [t[: len(t) * 9 // 10] for t in long[6:]]
+    sides = [sorted({" ".join(sorted(set(comparable(t).split()))) for t in few_words(60, s, 9) + names(60, s + 2) + syllables(60, s + 4) + long + ["𝕏𝕐 ñandú", "x"]} - {""}) for s in (21, 22)]
+    a, b = (alike.Texts(pa.array(side)) for side in sides)
+    found = [p for i, j in alike.candidates(a, b, share) for p in zip(i.tolist(), j.tolist())]
+    least = round(100 * share + 0.5)
+    want = {(i, j) for i, t in enumerate(sides[0]) for j, u in enumerate(sides[1]) if token_set_score(t, u) >= least}
+    assert len(found) == len(set(found)) and want <= set(found)

@@ -12,14 +12,14 @@ Both conditions become equi joins:
   unbroken inside a word of any similar text that is not longer. Of more pieces the rarest are looked
   up. Lengths must allow the score as well.
 
-Where pieces are common (few letter runs make up all texts), the second join would hold most pairs. A sample of the
-texts tells; then texts of fitting lengths meet in blocks instead, and a matrix product of their letter counts
-lets those through whose letters, in any order, are alike enough. That is a test of every pair of such lengths, but a cheap
-one: memory is bounded by the blocks, no pair is a row before it passed.
+Where words or pieces are common (few words or letter runs make up all texts), the joins would hold far more pairs than
+there are texts. A sample of the texts tells; then chunks of keys meet blocks of entries instead, each pair of them in one
+task, which looks for pairs by the same conditions (``alike``) and scores them there. That is a test of every pair, but a cheap one: memory is
+bounded by the blocks, a text is a row for every block it meets, and no pair is a row before it is a result.
 
-What the filters let through is scored in Arrow batches, from the shared words first; letters are aligned
+What the joins let through is scored in Arrow batches, from the shared words first; letters are aligned
 only for pairs whose bound still reaches the threshold. The result is that of scoring every pair.
-A text that is frequent is joined once: equal word sets are one class until the end. The pieces are
+A text that is frequent is joined once: equal word sets are one class until the end (in a block, one text). The pieces are
 about 1 / (2 - 2t) letters long, so the join is worth its while from a threshold of about 75.
 """
 
@@ -28,31 +28,36 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from vacantlens.operators import alike
+from vacantlens.operators.alike import COUNTED, LEVELS
 from vacantlens.operators.scoring import common_length, comparable
 from vacantlens.session import spread, stored
 
 #: Letters of a piece beyond which it is cut off: rare enough, and fewer runs to look up.
 LONGEST_PIECE = 6
-#: Letters of a kind that are counted; longer texts pass without a count.
-COUNTED = 65535
-#: Texts of each side whose pieces are joined to tell how common pieces are, and the share of pairs from which blocks cost less.
-SAMPLE, COMMON = 2000, 1 / 500
-#: Texts of both sides that meet in one block, letter counts of a text that enter a matrix product, and pairs held at once.
-BLOCK_KEYS, BLOCK_ENTRIES, LEVELS, AT_ONCE = 8192, 16384, 1024, 1 << 22
+#: Texts of each side whose words and pieces are joined to tell how many candidates there are.
+SAMPLE = 2000
+#: Share of all pairs, and candidates per text, from which blocks cost less time or less disk than rows.
+COMMON, PER_TEXT = 1 / 4000, 4
+#: Texts of both sides that meet in one block, bytes of their texts, and results handed on at once.
+BLOCK_KEYS, BLOCK_ENTRIES, BLOCK_BYTES, BATCH = 1 << 18, 1 << 18, 32 << 20, 1 << 16
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
+@pandas_udf(T.StringType())
 def _distinct_words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: sorted(set(comparable(text).split())))
+    return texts.map(lambda text: " ".join(sorted(set(comparable(text).split()))))
 
 
 @pandas_udf(T.BinaryType())
@@ -69,10 +74,15 @@ def _enough_letters(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, sh
     return (2 * common >= share * (na + nb) - 1e-6) | (na > COUNTED) | (nb > COUNTED)
 
 
-def word_classes(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Adds ``words`` (sorted, distinct, comparable) and ``class``, a digest of them; rows without words are left out."""
-    worded = df.select(*keep, _distinct_words(text).alias("words")).where(F.size("words") > 0)
-    return worded.withColumn("class", F.sha2(F.array_join("words", " "), 256))
+def word_rows(df: DataFrame, item: str, text: str) -> DataFrame:
+    """(row, item, text): a number, and the sorted distinct comparable words joined by blanks; rows without words are left out."""
+    worded = df.select(F.col(item).alias("item"), _distinct_words(text).alias("text")).where(F.col("text") != "")
+    return worded.withColumn("row", F.monotonically_increasing_id())
+
+
+def word_classes(rows: DataFrame) -> DataFrame:
+    """(item, words, class): ``class`` is a digest of the words."""
+    return rows.select("item", F.split("text", " ").alias("words"), F.sha2("text", 256).alias("class"))
 
 
 def _length(words: Column) -> Column:
@@ -90,7 +100,9 @@ def _by_words(classes: DataFrame, share: float) -> DataFrame:
     marked = words.withColumn("is_first", rest >= F.col("n") * (share / (2 - share)) - 1e-9)
     left = marked.where("side = 0").select("e", F.col("class").alias("a"), F.col("is_first").alias("first_a"))
     right = marked.where("side = 1").select("e", F.col("class").alias("b"), F.col("is_first").alias("first_b"))
-    return left.join(right, "e").where("first_a OR first_b").select("a", "b")
+    # Two joins, so that a word that is no first word of one side never meets its copies there.
+    both = left.where("first_a").join(right, "e"), left.where("NOT first_a").join(right.where("first_b"), "e")
+    return both[0].select("a", "b").unionByName(both[1].select("a", "b"))
 
 
 def _with_needed(texts: DataFrame, share: float) -> DataFrame:
@@ -163,104 +175,152 @@ def _by_letters(classes: DataFrame, share: float) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
 
-def _pieces_are_common(classes: DataFrame, share: float) -> bool:
-    """Whether a sample of the texts meets so often by pieces that blocks cost less. Both ways find the same pairs."""
-    order = F.xxhash64("class")
-    sides = [stored(classes.where(F.col("side") == s).orderBy(order, "class").limit(SAMPLE), "sample") for s in (0, 1)]
-    sizes = [side.count() for side in sides]
-    return _by_letters(sides[0].unionByName(sides[1]), share).count() > COMMON * sizes[0] * sizes[1]
+def _sample(rows: DataFrame, size: int, side: int) -> DataFrame:
+    """Up to ``SAMPLE`` distinct texts, the same for the same texts of a side; both sides are sampled independently."""
+    digest, parts = F.xxhash64("text", F.lit(side)), 1 << 40
+    some = rows.where(F.pmod(digest, F.lit(parts)) < ceil(parts * min(1.0, 4 * SAMPLE / max(1, size))))
+    return some.select("text").distinct().orderBy(digest, "text").limit(SAMPLE)
 
 
-def _levels(counts: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """A column for the first, second, ... letter of each kind: products of such rows count common letters."""
-    return np.concatenate([counts[:, [c]] > np.arange(m) for c, m in enumerate(most)], axis=1).astype(np.float32)
+def _many_candidates(sides: tuple[DataFrame, DataFrame], sizes: list[int], share: float) -> bool:
+    """Whether a sample of the texts meets so often by words or pieces that blocks cost less. Both ways find the same pairs."""
+    texts = [_sample(rows, size, i).withColumn("side", F.lit(i)) for i, (rows, size) in enumerate(zip(sides, sizes))]
+    numbered = texts[0].unionByName(texts[1]).select("side", F.monotonically_increasing_id().alias("class"), F.split("text", " ").alias("words"))
+    classes = stored(numbered.withColumn("n", _length(F.col("words"))), "sample")
+    seen = {r["side"]: r["count"] for r in classes.groupBy("side").count().collect()}
+    if len(seen) < 2:
+        return False
+    met = _by_words(classes, share).unionByName(_by_letters(classes, share)).distinct().count()
+    at_least = max(0.0, met - 3 * sqrt(met)) / (seen[0] * seen[1])  # a few pairs may have met by chance
+    return at_least > COMMON or at_least * sizes[0] * sizes[1] > PER_TEXT * sum(sizes)
 
 
 def alike_in_block(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and of ``b`` (letter counts; lengths ascending) that have enough letters in common."""
-    most = np.minimum(a.max(axis=0), b.max(axis=0)).astype(np.int64)
-    few = most.sum() <= LEVELS
-    both = (_levels(a, most), _levels(b, most)) if few else (a.astype(np.int32), b.astype(np.int32))
-    low = np.searchsorted(nb, na * (share / (2 - share)) - 1e-6, "left")
-    high = np.searchsorted(nb, na * ((2 - share) / share) + 1e-6, "right")
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    start = 0
-    while start < len(a):
-        # Texts of about one length meet the entries of fitting lengths.
-        end = start + int(np.searchsorted(na[start:], na[start], "right"))
-        lo, hi = low[start], high[start]
-        end = min(end, start + max(1, AT_ONCE // max(1, (hi - lo) * (1 if few else 32))))
-        if hi > lo:
-            if few:
-                common = both[0][start:end] @ both[1][lo:hi].T
-            else:
-                common = np.minimum(both[0][start:end, None], both[1][None, lo:hi]).sum(axis=2)
-            least = share * (na[start] + nb[lo:hi]) - 1e-3
-            i, j = np.nonzero((2 * common >= least) | (na[start] > COUNTED) | (nb[lo:hi] > COUNTED))
-            rows.append(i + start)
-            found.append(j + lo)
-        start = end
-    return np.concatenate(rows), np.concatenate(found)
-
-
-def _by_blocks(classes: DataFrame, share: float) -> DataFrame:
-    """(a, b): pairs of texts of fitting lengths whose letters, in any order, are alike enough.
-
-    Lengths are put into cells of a tenth more each. Keys of a cell meet the entries of all lengths that fit,
-    both dealt by hash into pieces of bounded size.
+    """Rows of ``a`` and of ``b`` (letter counts, lengths) that have enough letters in common."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *alike.alike_slices(a, b, na, nb, share, LEVELS)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _expanded(i: np.ndarray, j: np.ndarray, scores: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of rows for pairs of distinct texts, ``BATCH`` at once; ``rows`` has the order, starts and numbers of a text's rows."""
+    (order_a, start_a, size_a), (order_b, start_b, size_b) = rows
+    times = size_a[i] * size_b[j]
+    total = np.cumsum(times)
+    for at in range(0, int(total[-1]) if len(total) else 0, BATCH):
+        place = np.arange(at, min(at + BATCH, int(total[-1])))
+        of = np.searchsorted(total, place, "right")
+        copy = place - (total[of] - times[of])
+        yield order_a[start_a[i[of]] + copy // size_b[j[of]]], order_b[start_b[j[of]] + copy % size_b[j[of]]], scores[of]
+
+
+def _met(keys: pa.Table, entries: pa.Table, share: float, threshold: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of two tables (text, and an item each) whose texts score ``threshold`` or more."""
+    sides, rows = [], []
+    for table in (keys, entries):
+        coded = table["text"].combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        size = np.bincount(codes, minlength=len(coded.dictionary))
+        rows.append((order, np.cumsum(size) - size, size))
+        sides.append(alike.Texts(coded.dictionary))
+    a, b = sides
+    left, right = keys["item"].combine_chunks(), entries["entry"].combine_chunks()
+    for i, j in alike.candidates(a, b, share):
+        scored = [score_from(a.texts[x], b.texts[y], threshold) for x, y in zip(i.tolist(), j.tolist())]
+        kept = np.flatnonzero([score is not None for score in scored])
+        scores = np.array([scored[k] for k in kept.tolist()], np.int64)
+        for x, y, score in _expanded(i[kept], j[kept], scores, rows):
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(x)), right.take(pa.array(y)), pa.array(score)], names=names)
+
+
+def _packed(rows: DataFrame, pieces: int) -> DataFrame:
+    """(piece, pack): rows dealt in turn into pieces; those of a task and piece are packed once, however often they are sent."""
+
+    def pack(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(tables)
+        piece = pa.array(table["row"].to_numpy() % pieces, pa.int32())
+        order = pc.sort_indices(pa.table({"piece": piece, "text": table["text"]}), [("piece", "ascending"), ("text", "ascending")])
+        piece, table = piece.take(order).to_numpy(), table.drop_columns("row").take(order)
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        packs = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(piece)]):
+            sink = pa.BufferOutputStream()
+            with pa.CompressedOutputStream(sink, "zstd") as out, pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table.slice(start, end - start).combine_chunks())
+            packs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(piece[starts]), pa.array(packs, pa.binary())], names=["piece", "pack"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held, size = [*held, batch], size + batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return rows.mapInArrow(packs, "piece int, pack binary")
+
+
+def _unpacked(pack: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(pack), "zstd")).read_all()
+
+
+def _by_blocks(keys: DataFrame, entries: DataFrame, sizes: list[int], share: float, threshold: int) -> DataFrame:
+    """(item, entry, score): all rows (row, item, text) of two tables that score ``threshold`` or more.
+
+    Rows are dealt in turn into chunks of keys and blocks of entries of bounded size. Every chunk meets every block in a task of its own.
     """
 
-    def cell(n: Column) -> Column:
-        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(np.log(1.1))).cast("int")
-
-    def pieces(df: DataFrame, most: int) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))  # a row per cell
-
-    def part(parts: str) -> Column:
-        return F.pmod(F.xxhash64("class"), F.col(parts)).cast("int")
-
-    texts = [classes.where(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("class", "n", "letters")]) for s in (0, 1)]
-    own = texts[0].withColumn("cell", cell(F.col("n")))
-    # Beyond both ends one cell more, for rounding.
-    fitting = F.sequence(cell(F.col("n") * (share / (2 - share))) - 1, cell(F.col("n") * ((2 - share) / share)) + 1)
-    other = texts[1].withColumn("cell", F.explode(fitting))
-    chunks = stored(pieces(own, BLOCK_KEYS).withColumnRenamed("parts", "chunks"), "chunks")
-    blocks = stored(pieces(other.drop("letters"), BLOCK_ENTRIES).withColumnRenamed("parts", "blocks"), "blocks")
-    sizes = F.broadcast(chunks.join(blocks, "cell"))
-    left = own.join(sizes, "cell").withColumns({"chunk": part("chunks"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    right = other.join(sizes, "cell").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": part("blocks")})
-    kind = classes.schema["class"].dataType
-
-    def meet(keys: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(keys) or not len(entries):
-            return pd.DataFrame({"a": [], "b": []})
-        sides = [side.sort_values("n", kind="stable") for side in (keys, entries)]
-        counts = [np.frombuffer(b"".join(side["letters"]), np.uint16).reshape(-1, 32) for side in sides]
-        i, j = alike_in_block(*counts, *[side["n"].to_numpy(np.int64) for side in sides], share)
-        return pd.DataFrame({"a": sides[0]["class"].to_numpy()[i], "b": sides[1]["class"].to_numpy()[j]})
-
-    # Few bytes but costly: the explicit number keeps adaptive execution from merging the tasks by size.
-    spark, group = classes.sparkSession, ["cell", "chunk", "block"]
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left, right = (side.select(*[F.col(c).alias(c) for c in (*group, "class", "n", "letters")]).repartition(tasks, *group).groupBy(*group) for side in (left, right))
-    return left.cogroup(right).applyInPandas(meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    def pieces(rows: DataFrame, size: int, most: int) -> int:
+        letters = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        return max(1, ceil(size / most), ceil(letters / BLOCK_BYTES))
+
+    chunks, blocks = pieces(keys, sizes[0], BLOCK_KEYS), pieces(entries, sizes[1], BLOCK_ENTRIES)
+    # Smaller pieces where cores would be idle.
+    finer = max(1.0, sqrt(4 * keys.sparkSession.sparkContext.defaultParallelism / (chunks * blocks)))
+    chunks, blocks = ceil(chunks * finer), ceil(blocks * finer)
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = _packed(keys, chunks).select(F.lit(True).alias("is_key"), "pack", F.col("piece").alias("chunk"), every(blocks).alias("block"))
+    right = _packed(entries.withColumnRenamed("item", "entry"), blocks).select(F.lit(False).alias("is_key"), "pack", F.col("piece").alias("block"), every(chunks).alias("chunk"))
+    met = left.unionByName(right).select((F.col("chunk") * blocks + F.col("block")).alias("pair"), "is_key", "pack")
+    names = ["item", "entry", "score"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, tuple[list[pa.Table], list[pa.Table]]] = {}
+        for batch in batches:
+            for pair, is_key, pack in zip(batch["pair"].to_pylist(), batch["is_key"].to_pylist(), batch["pack"]):
+                parts.setdefault(pair, ([], []))[0 if is_key else 1].append(_unpacked(pack.as_buffer()))
+        while parts:
+            own = parts.popitem()[1]
+            if all(own):
+                yield from _met(pa.concat_tables(own[0]), pa.concat_tables(own[1]), share, threshold, names)
+
+    kinds = [keys.schema["item"].dataType, entries.schema["item"].dataType, T.LongType()]
+    # Costly tasks of few bytes: each pair of pieces is a task, whatever adaptive execution would merge.
+    return met.repartitionById(chunks * blocks, F.col("pair")).mapInArrow(meet, T.StructType([T.StructField(n, kind) for n, kind in zip(names, kinds)]))
 
 
 def _alike(classes: DataFrame, share: float) -> DataFrame:
-    """(a, b): pairs whose letters can be alike enough, by pieces where they are rare, else block by block."""
-    if _pieces_are_common(classes, share):
-        return _by_blocks(classes, share)
+    """(a, b): pairs whose letters can be alike enough, by pieces."""
     left = classes.where("side = 0").select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("letters").alias("ca"))
     right = classes.where("side = 1").select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("cb"))
     met = spread(_by_letters(classes, share).distinct()).join(left, "a").join(right, "b")
     return met.where(_enough_letters("ca", "cb", "na", "nb", F.lit(share))).select("a", "b")
 
 
+def _share(threshold: int) -> float:
+    return (threshold - 0.5) / 100  # scores are rounded
+
+
 def similar_classes(keys: DataFrame, catalog: DataFrame, threshold: int) -> DataFrame:
     """(a, b, score) of the word classes (class, words) of two tables that score ``threshold`` or more."""
-    if not 0 < threshold <= 100:
-        raise ValueError("a filter join needs a threshold from 1 to 100")
-    share = (threshold - 0.5) / 100  # scores are rounded
+    share = _share(threshold)
     tagged = [t.groupBy("class").agg(F.first("words").alias("words")).withColumn("side", F.lit(side)) for side, t in enumerate((keys, catalog))]
     named = stored(
         tagged[0].unionByName(tagged[1]).withColumns({"n": _length(F.col("words")), "id": F.monotonically_increasing_id(), "letters": _letters("words")}), "classes"
@@ -313,11 +373,14 @@ def similarity_join(keys: DataFrame, catalog: DataFrame, key: str, code: str, ke
 
     Texts that are null or without words match nothing. Rows that repeat a key or code count each.
     """
-    left = stored(word_classes(keys.select(F.col(key).alias("_key"), F.col(key_text).alias("_text")), "_text", "_key"), "keys")
-    right = stored(word_classes(catalog.select(F.col(code).alias("_code"), F.col(catalog_text).alias("_text")), "_text", "_code"), "entries")
-    classes = similar_classes(left, right, threshold)
-    return (
-        classes.join(left.select(F.col("class").alias("a"), "_key"), "a")
-        .join(right.select(F.col("class").alias("b"), "_code"), "b")
-        .select(F.col("_key").alias(key), F.col("_code").alias(code), "score")
-    )
+    if not 0 < threshold <= 100:
+        raise ValueError("a filter join needs a threshold from 1 to 100")
+    left, right = stored(word_rows(keys, key, key_text), "keys"), stored(word_rows(catalog, code, catalog_text), "entries")
+    sizes = [left.count(), right.count()]
+    if _many_candidates((left, right), sizes, _share(threshold)):
+        found = _by_blocks(left, right, sizes, _share(threshold), threshold)
+    else:
+        left, right = word_classes(left), word_classes(right)
+        classes = similar_classes(left, right, threshold)
+        found = classes.join(left.select(F.col("class").alias("a"), "item"), "a").join(right.select(F.col("class").alias("b"), F.col("item").alias("entry")), "b")
+    return found.select(F.col("item").alias(key), F.col("entry").alias(code), "score")

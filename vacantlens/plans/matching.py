@@ -67,9 +67,9 @@ def level_restricted_match(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, root: str, name: str, most: int) -> DataFrame:
-    """Distinct sentences of a table's texts with 12 to ``most`` characters."""
+    """Distinct sentences of a table's texts with 12 to ``most`` characters. Telling texts apart deals them out, so whole texts needn't be."""
     parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"[.\n]"), lambda part: F.trim(part))
-    found = text_table(spark, root, name).select(F.explode(parts).alias("sentence"))
+    found = table(spark, root, name).select(F.explode(parts).alias("sentence"))
     return found.where(F.char_length("sentence").between(12, most)).distinct()
 
 
